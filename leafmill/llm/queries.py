@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linedup, mixing, neardup_vectors, packing, quality
+from . import ann, langid, linedup, mixing, neardup_vectors, packing, pii, quality
 from .base import held_out, table
 
 
@@ -39,6 +39,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), every=100, k=10)
 
@@ -47,7 +51,7 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_ann, op4_mixing, op7_packing, op8_vector_dedup, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_ann, op4_mixing, op7_packing, op8_vector_dedup, op9_quality, op10_line_dedup)}
 
 _LINES = r"""SELECT doc_id, pos, line, lower_key AS key FROM (
   SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
