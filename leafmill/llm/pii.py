@@ -33,7 +33,7 @@ PATTERNS = {
     "address": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "person": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9])|(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|-[0-9])",
+    "phone": r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+(?!1[ (.-])[0-9]{1,3}(?:[ -]?\(?[0-9]{1,4}\)?){2,5}(?![0-9]|\.[0-9])|(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9])",
 }
 COUNTS = tuple(f"n_{kind}" for kind in PATTERNS)
