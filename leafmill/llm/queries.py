@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linedup, mixing, neardup_vectors, ngram_join, packing, pii, quality
+from . import ann, langid, linedup, mixing, neardup_vectors, ngram_join, packing, pii, quality, suffix_dedup
 from .base import held_out, table
 
 
@@ -33,6 +33,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
@@ -55,7 +59,7 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_ann, op4_mixing, op5_ngram_join, op7_packing, op8_vector_dedup, op9_quality, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_ann, op4_mixing, op5_ngram_join, op6_suffix_dedup, op7_packing, op8_vector_dedup, op9_quality, op10_line_dedup)}
 
 _LINES = r"""SELECT doc_id, pos, line, lower_key AS key FROM (
   SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
