@@ -53,11 +53,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", importance: str | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
-    """(row, doc_id, size, source_size, target, copies) for each row of docs; row numbers the rows of docs as read."""
+    """(row, doc_id, source, digest, size, source_size, target, copies) for each row of docs; row numbers them, digest is a hash of the text."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))), 11).cast("double") + 0.5) / float(1 << 53)
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), uniform.alias("u"), (F.col(importance).cast("double") if importance else F.lit(1.0)).alias("importance")
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("digest"), words(F.col(text)).alias("size"), uniform.alias("u"), (F.col(importance).cast("double") if importance else F.lit(1.0)).alias("importance")
     )
     sized = scratch.keep(sized, "sized")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("mass"))
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     # q / (1 + q) for q = (u / (1 - u)) / (p / (1 - p)): in (0, 1) and in the order of q
     up = F.col("u") * (1 - F.col("p"))
     place = F.when(F.col("p") > 0, up / (up + (1 - F.col("u")) * F.col("p")))
-    spread = scratch.keep(spread.withColumn("place", place).select("row", "doc_id", "source", "size", "source_size", "target", "whole", "place", F.floor(place * BINS).cast("int").alias("bin")), "spread")
+    spread = scratch.keep(spread.withColumn("place", place).select("row", "doc_id", "source", "digest", "size", "source_size", "target", "whole", "place", F.floor(place * BINS).cast("int").alias("bin")), "spread")
     scratch.drop("sized")
 
     need = spread.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
@@ -99,4 +99,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             left = need.where(F.col("need") >= 1).select(F.col("source").alias("s"), F.col("need").alias("room"))
             open_ = scratch.keep(open_.join(got.select("row"), "row", "left_anti").join(left, F.col("source").eqNullSafe(F.col("s"))).where(F.col("size") <= F.col("room")).drop("s", "room"), f"open{i}")
     copies = spread.join(taken.select("row", F.lit(1).alias("one")), "row", "left")
-    return copies.select("row", "doc_id", "size", "source_size", "target", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("bigint").alias("copies"))
+    return copies.select("row", "doc_id", "source", "digest", "size", "source_size", "target", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("bigint").alias("copies"))
+
+
+def repeated(docs: DataFrame, mixed: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """Each row of docs as often as the mix takes it; texts without words are left out.  Rows equal in id, source and text share their copies evenly."""
+    names = mixed.where("copies > 0 AND size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest")).agg(F.round(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__copies"))
+    same = F.col(key).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.xxhash64(text) == F.col("__digest"))
+    taken = docs.join(names, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return taken.select(*docs.columns)

@@ -1,19 +1,52 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline.
+
+Each takes (spark, docs, sf_dir) with the columns of documents and returns the same columns, but for the
+last, which returns the packed pieces.  Null texts go at the first stage (they have no letter).
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from ..session import ready
+from . import langid, linedup, mixing, ngram_join, packing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without any letter (``und``) go."""
+    ready(spark)
     model = langid.fit(docs)
     return langid.predict(docs, model, keep=COLUMNS).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 
-STAGES = [("language", language)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines that many documents hold stay in one of them only."""
+    ready(spark)
+    return linedup.drop_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.char_length("text").cast("bigint")).select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near copies the document of the smallest id stays (with rows that repeat that id)."""
+    ready(spark)
+    found = ngram_join.near_duplicates(docs.select("doc_id", "text"))
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: each document as often as its source's target takes it."""
+    ready(spark)
+    return mixing.repeated(docs, mixing.mix(docs)).select(*COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: the token pieces of each copy of each document."""
+    ready(spark)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("mixture", mixture), ("pieces", pieces)]
