@@ -1 +1,2 @@
 """Imports every module that registers queries."""
+from . import relational, retrieval  # noqa: F401
