@@ -45,15 +45,26 @@ def ranges(starts: DataFrame, start: str, by: list[str] | None = None) -> DataFr
     return starts.withColumn("end", F.lead(start).over(w) - 1)
 
 
+#: Intervals that may be sent to every task.
+FEW_INTERVALS = 10_000
+
+
 def assign(rows: DataFrame, at: str, intervals: DataFrame, start: str, payload: list[str], by: list[str] | None = None) -> DataFrame:
-    """Each row with the payload of the greatest start not above it.  The union of both sides is carried
-    forward in one sort, so neither side is broadcast and no range join is made."""
+    """Each row with the payload of the greatest start not above it (null before the first).
+
+    Few intervals without a key are broadcast and met by range.  Else the union of both sides is carried forward
+    in one sort for each key, so that neither side is broadcast and no range join is made."""
     by = by or []
-    tagged = rows.withColumn("__kind", F.lit(1)).withColumn("__at", F.col(at))
-    marks = intervals.select(*by, F.col(start).alias("__at"), F.struct(*payload).alias("__payload")).withColumn("__kind", F.lit(0))
-    both = tagged.unionByName(marks, allowMissingColumns=True)
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__payload", F.last("__payload", ignorenulls=True).over(w)).where(F.col("__kind") == 1)
+    marks = intervals.select(*by, F.col(start).alias("__at"), F.struct(*payload).alias("__payload"))
+    if not by and marks.limit(FEW_INTERVALS + 1).count() <= FEW_INTERVALS:
+        spans = marks.withColumn("__next", F.lead("__at").over(Window.orderBy("__at")))
+        inside = (F.col(at) >= F.col("__at")) & (F.col("__next").isNull() | (F.col(at) < F.col("__next")))
+        found = rows.join(F.broadcast(spans), inside, "left")
+    else:
+        tagged = rows.withColumn("__kind", F.lit(1)).withColumn("__at", F.col(at))
+        both = tagged.unionByName(marks.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+        w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("__payload", F.last("__payload", ignorenulls=True).over(w)).where(F.col("__kind") == 1)
     return found.select(*rows.columns, *(F.col("__payload")[p].alias(p) for p in payload))
 
 

@@ -1,2 +1,2 @@
 """Imports every module that registers queries."""
-from . import relational, retrieval  # noqa: F401
+from . import extensions, relational, retrieval, sequences, text_rules  # noqa: F401
