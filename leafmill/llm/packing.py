@@ -15,12 +15,12 @@ ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -29,8 +29,11 @@ from .base import slices
 END = 1
 LONGEST = 2048
 #: Words that a worker keeps at most.
-CACHE_WORDS = 400_000
-_word = re.compile(r"[^\x20\x09-\x0D]+")
+CACHE_WORDS = 1_000_000
+_GAPS = "\t\n\x0b\x0c\r"
+#: Letters that are one pre-token by themselves, and marks (no apostrophe) that are one where they follow.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SPLIT = rf"^(?P<word>[{_LETTERS}]+)(?P<marks>[!-&(-/:-@\[-`{{-~]*)$"
 
 
 def cut(n: int, longest: int = LONGEST) -> list[int]:
@@ -39,23 +42,62 @@ def cut(n: int, longest: int = LONGEST) -> list[int]:
 
 
 class WordIds:
-    """Ids of whole texts through a table of the ids of words."""
+    """Ids of whole texts through a table of the ids of words.
+
+    Words are found and numbered by Arrow, so that Python sees each distinct word of a slice once.  White space always
+    ends a pre-token, letters one after another are one, and so are the marks behind them: the table holds
+    letters (in lower case, as the tokenizer has them) and marks apart where a word is just these two, else whole words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            self.known.update(zip(part, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.uint32)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.words = pa.array([""])  # the word without ids
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def learn(self, fresh: pa.Array) -> None:
+        """fresh: distinct words that aren't in the table."""
+        words = fresh.to_pylist()
+        ids, sizes = [self.ids], [self.sizes]
+        for i in range(0, len(words), 20_000):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of some distinct words is in the table."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            self.learn(words.filter(pc.is_null(at)))
+            at = pc.index_in(words, value_set=self.words)
+        return np.asarray(at)
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the number of each text's."""
+        column = pa.array(texts, pa.large_string())
+        for gap in _GAPS:
+            column = pc.replace_substring(column, gap, " ")
+        lists = pc.split_pattern(column, " ")
+        coded = lists.values.dictionary_encode()
+        whole = coded.dictionary.cast(pa.string())
+        parts = pc.extract_regex(whole, _SPLIT)
+        cores = pc.coalesce(pc.ascii_lower(pc.struct_field(parts, "word")), whole).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
+        if len(self.words) + len(cores.dictionary) > CACHE_WORDS:
+            self.forget()
+        word_at = self.places(cores.dictionary)[np.asarray(cores.indices)]
+        mark_at = self.places(marks.dictionary)[np.asarray(marks.indices)]
+        order = np.stack([word_at, mark_at], axis=1)[np.asarray(coded.indices)].ravel()
+        starts = np.cumsum(self.sizes) - self.sizes
+        counts = self.sizes[order]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[order], counts)]
+        return out, np.diff(ends[2 * np.asarray(lists.offsets)])
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -75,11 +117,11 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
             at, rows, held = [], [], []
-            for start_row, texts in slices(batch.column(1).to_pylist()):
-                split = [_word.findall(t) for t in texts]
-                table.learn(set(chain.from_iterable(split)))
-                for i, words in enumerate(split, start_row):
-                    ids = np.append(table.ids(words), np.uint32(END)).astype("<u4")
+            for start_row, texts in slices(batch.column(1).to_pylist(), 6_000_000):
+                ids_of_all, sizes = table.of(texts)
+                ends = np.cumsum(sizes)
+                for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist()), start_row):
+                    ids = np.append(ids_of_all[end - n : end], np.uint32(END)).astype("<u4")
                     start = 0
                     for length in cut(len(ids), longest):
                         piece = ids[start : start + length]
