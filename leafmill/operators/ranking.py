@@ -9,7 +9,7 @@ RRF_K = 60
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint"))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -35,7 +35,7 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], text: str,
         df = df.withColumn("__n", inner).where(F.col(group).isNull() | (F.col("__n") <= group_cap)).drop("__n")
     line = Window.partitionBy(*by).orderBy(*order)
     spent = F.coalesce(F.sum(F.char_length(text)).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    df = df.withColumn("left", F.lit(budget) - spent).withColumn("place", F.row_number().over(line))
+    df = df.withColumn("left", F.lit(budget) - spent).withColumn("place", F.row_number().over(line).cast("bigint"))
     df = df.where(F.col("left") > least)
     if most:
         df = df.where(F.col("place") <= most)

@@ -244,7 +244,7 @@ def keyed_update(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY p_name, p_partkey) AS id, p_partkey FROM part")
 def surrogate_ids(spark, sf_dir):
     """B2: ids from the natural order, the same at every run."""
-    return t(spark, sf_dir, "part").select(F.row_number().over(Window.orderBy("p_name", "p_partkey")).alias("id"), "p_partkey")
+    return t(spark, sf_dir, "part").select(F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("bigint").alias("id"), "p_partkey")
 
 
 @query("SELECT page_id, replace(url, '/', chr(92)) AS stored, url AS repaired FROM pages")

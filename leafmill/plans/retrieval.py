@@ -19,7 +19,7 @@ _POSTINGS = """
   SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents) GROUP BY ALL"""
 _OR = f"""
   SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT query_id, doc_id, round(0.1 * sum(tf), 6) AS score FROM ({_POSTINGS}) JOIN ({_TERMS}) USING (term) GROUP BY ALL)"""
+    SELECT query_id, doc_id, round(0.1::DOUBLE * sum(tf), 6) AS score FROM ({_POSTINGS}) JOIN ({_TERMS}) USING (term) GROUP BY ALL)"""
 
 
 def _queries(spark, sf_dir):
@@ -117,7 +117,7 @@ def vector_storage(spark, sf_dir):
 
 _HITS = f"""
   WITH terms AS ({_TERMS}),
-  scored AS (SELECT query_id, doc_id, round(0.1 * sum(tf), 6) AS score FROM ({_POSTINGS}) JOIN terms USING (term) GROUP BY ALL),
+  scored AS (SELECT query_id, doc_id, round(0.1::DOUBLE * sum(tf), 6) AS score FROM ({_POSTINGS}) JOIN terms USING (term) GROUP BY ALL),
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored),
   want AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
   first AS (SELECT query_id, min(rank) AS first FROM top JOIN want USING (query_id, doc_id) WHERE rank <= 20 GROUP BY ALL)"""

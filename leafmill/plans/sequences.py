@@ -23,7 +23,7 @@ def section_of_page(spark, sf_dir):
     """Sections from their starts, each page with the greatest start not above it."""
     p = t(spark, sf_dir, "pages").select("page_id")
     starts = p.where("page_id % 25 = 0").select(F.col("page_id").alias("page_start"))
-    sections = starts.withColumn("number", F.row_number().over(Window.orderBy("page_start"))).withColumn("page_end", F.lead("page_start").over(Window.orderBy("page_start")) - 1)
+    sections = starts.withColumn("number", F.row_number().over(Window.orderBy("page_start")).cast("bigint")).withColumn("page_end", F.lead("page_start").over(Window.orderBy("page_start")) - 1)
     return sequence.assign(p, "page_id", sections, "page_start", ["number", "page_start", "page_end"]).select("page_id", "number", "page_start", "page_end")
 
 
@@ -62,7 +62,7 @@ def carried_context(spark, sf_dir):
     return e.select("event_id", sequence.before(F.when(error, F.col("value")), ["user_id"], order, True).alias("context"), sequence.before(F.when(error, F.col("event_id")), ["user_id"], order, True).alias("step"))
 
 
-@query("""SELECT event_id, label_run, last_value(side IGNORE NULLS) OVER (PARTITION BY user_id, label_run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS side FROM (
+@query("""SELECT event_id, label_run::BIGINT AS label_run, last_value(side IGNORE NULLS) OVER (PARTITION BY user_id, label_run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS side FROM (
   SELECT *, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS label_run,
     CASE WHEN value < 10 THEN 'IN' WHEN value < 20 THEN 'EX' END AS side FROM events)""")
 def fill_down(spark, sf_dir):
@@ -80,7 +80,7 @@ def alternate_backfill(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", value.alias("value"))
 
 
-@query("""SELECT user_id, cluster, count(*) AS n, CAST(trunc(avg(epoch(ts))) AS BIGINT) AS centre FROM (
+@query("""SELECT user_id, cluster::BIGINT AS cluster, count(*) AS n, CAST(trunc(avg(epoch(ts))) AS BIGINT) AS centre FROM (
   SELECT user_id, ts, sum(CASE WHEN gap > 86400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cluster FROM (
     SELECT *, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL""")
 def gap_clusters(spark, sf_dir):
@@ -110,7 +110,7 @@ def page_layout(spark, sf_dir):
 
 
 @query("""WITH cuts AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, floor(value / 10)::INT AS cut FROM events)
-SELECT user_id, event_id, i + max(cut - i) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS cut FROM cuts""")
+SELECT user_id, event_id, CAST(i + max(cut - i) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INT) AS cut FROM cuts""")
 def cut_adjustment(spark, sf_dir):
     """headings of a page that fall on one block are moved one behind another."""
     cuts = t(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value") / 10).cast("int").alias("cut"))
@@ -118,7 +118,7 @@ def cut_adjustment(spark, sf_dir):
 
 
 @query("""WITH slices AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS slice FROM conversations)
-SELECT conv_id, slice, count(*) AS n_blocks, min(turn) AS first_block, max(turn) AS last_block, string_agg(text, ' ' ORDER BY turn) AS text FROM slices WHERE slice > 0 GROUP BY conv_id, slice""")
+SELECT conv_id, slice::BIGINT AS slice, count(*) AS n_blocks, min(turn) AS first_block, max(turn) AS last_block, string_agg(text, ' ' ORDER BY turn) AS text FROM slices WHERE slice > 0 GROUP BY conv_id, slice""")
 def procedure_slices(spark, sf_dir):
     """Blocks between one heading and the next, joined."""
     c = t(spark, sf_dir, "conversations")
@@ -142,7 +142,7 @@ def micro_procedures(spark, sf_dir):
 n AS (SELECT *, prev IS NULL OR starts OR (regexp_matches(prev, '[.:)]$') AND regexp_matches(text, '^\\p{Lu}')) AS fresh FROM l),
 g AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS paragraph, prev LIKE '%-' AND regexp_matches(text, '^\\p{Ll}') AND NOT fresh AS glue FROM n),
 h AS (SELECT *, coalesce(lead(glue) OVER (PARTITION BY conv_id ORDER BY turn), false) AS cut FROM g)
-SELECT conv_id, paragraph, count(*) AS n_lines, string_agg(CASE WHEN fresh OR coalesce(glue, false) THEN '' ELSE ' ' END || CASE WHEN cut THEN left(text, length(text) - 1) ELSE text END, '' ORDER BY turn) AS text FROM h GROUP BY conv_id, paragraph""".replace("\\\\p", "\\p"))
+SELECT conv_id, paragraph::BIGINT AS paragraph, count(*) AS n_lines, string_agg(CASE WHEN fresh OR coalesce(glue, false) THEN '' ELSE ' ' END || CASE WHEN cut THEN left(text, length(text) - 1) ELSE text END, '' ORDER BY turn) AS text FROM h GROUP BY conv_id, paragraph""".replace("\\\\p", "\\p"))
 def paragraphs(spark, sf_dir):
     """Lines to paragraphs, with hyphens joined."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -174,7 +174,7 @@ def callouts_unrepeated(spark, sf_dir):
 @query("""SELECT conv_id, turn, n FROM (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS r FROM conversations) WHERE r <= 2""")
 def two_per_procedure(spark, sf_dir):
     """At most two chunks of each procedure."""
-    c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
+    c = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").cast("bigint").alias("n"))
     return ranking.top_k(c, ["conv_id"], [F.desc("n"), F.col("turn")], 2, "r").drop("r")
 
 

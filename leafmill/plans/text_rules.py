@@ -23,8 +23,8 @@ ID = ["doc_id", "pos"]
 
 def lines(spark, sf_dir):
     """(doc_id, pos, line): all lines of all documents, and the literal lines under negative ids."""
-    own = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("pos", F.col("pos") + 1)
-    return own.unionByName(literal(spark, [(-i, 1, x) for i, x in enumerate(LITERALS, 1)], "doc_id long, pos int, line string"))
+    own = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("pos", F.col("pos").cast("bigint") + 1)
+    return own.unionByName(literal(spark, [(-i, 1, x) for i, x in enumerate(LITERALS, 1)], "doc_id long, pos long, line string"))
 
 
 def rules(body: str) -> str:
@@ -64,7 +64,7 @@ def page_blocks(spark, sf_dir):
     """Blocks of a page in reading order, without junk and unsure lines."""
     alnum = F.length(F.regexp_replace("line", "[^A-Za-z0-9]", ""))
     kept = lines(spark, sf_dir).where((alnum >= 2) & ((F.col("pos") % 100 >= 55) | (F.col("pos") == 1)))
-    return kept.select(*ID, alnum.alias("alnum"), X.is_heading(F.col("line")).alias("heading"), X.is_junk(F.col("line"), F.col("pos") % 100).alias("junk"))
+    return kept.select(*ID, alnum.cast("bigint").alias("alnum"), X.is_heading(F.col("line")).alias("heading"), X.is_junk(F.col("line"), F.col("pos") % 100).alias("junk"))
 
 
 @query(rules(r"""SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^(.+)$') THEN
