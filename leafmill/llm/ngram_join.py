@@ -247,18 +247,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     maps = sets.groupBy("cls").agg(F.any_value("map").alias("map"))
-    tiles = met.distinct().join(maps, "cls").select("list", "n", "cls", "map").repartition("list").sortWithinPartitions("list", "n", "cls")
+    tiles = met.distinct().hint("merge").join(maps, "cls").select("list", "n", "cls", "map").repartition("list").sortWithinPartitions("list", "n", "cls")
     families = scratch.keep(components(tiles.mapInArrow(screen, "u bigint, v bigint"), scratch, "maybe"), "families").withColumnRenamed("node", "cls").withColumnRenamed("component", "family")
     scratch.drop("lists")
 
     # exact intersections within families; those above a tile are cut into size bands and blocks of bounded size
     step = float(np.log(SIMILAR[1] / SIMILAR[0]))
-    member = families.join(sets, "cls").dropDuplicates(["cls"]).withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int"))
-    member = scratch.keep(member, "members")
+    # where a class goes is found from ids and sizes alone; the sets themselves are dealt out once by class and once by family
+    narrow = rows.where(F.col("hashes").isNotNull()).select("cls", "n").distinct()
+    member = scratch.keep(families.join(narrow, "cls").withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int")), "members")
     whole = member.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
     bands = member.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     here = member.join(whole, "family")
-    small = here.where(F.col("total") <= TILE).select("family", F.lit(0).cast("bigint").alias("tile"), "n", "cls", "map", "hashes")
+    small = here.where(F.col("total") <= TILE).select("family", F.lit(0).cast("bigint").alias("tile"), "cls")
     large = here.where(F.col("total") > TILE).join(bands, ["family", "band"])
     near = [bands.select("family", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
     for other in near:
@@ -277,10 +278,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
             pairs(F.concat_ws("-", band - 1, band), F.col("below"), lambda o: o, lambda o: block),
         )
     )
-    large = large.select("family", F.explode(keys).alias("tile"), "n", "cls", "map", "hashes")
+    large = large.select("family", F.explode(keys).alias("tile"), "cls")
 
     def verify(batches):
-        for starts, table in _groups(batches, 2):
+        for _, table in _groups(batches, 2):
+            # tasks of the first pass may each have given a class's set
+            names = np.asarray(table.column("cls"))
+            starts = np.ones(len(names), bool)
+            starts[1:] = names[1:] != names[:-1]
+            for k in ("family", "tile"):
+                own = np.asarray(table.column(k))
+                starts[1:] |= own[1:] != own[:-1]
+            table = table.filter(pa.array(starts))
+            change = np.zeros(max(0, table.num_rows - 1), bool)
+            for k in ("family", "tile"):
+                own = np.asarray(table.column(k))
+                change |= own[1:] != own[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(change) + 1])
             ids, sizes, maps, raw = np.asarray(table.column("cls")), np.asarray(table.column("n")), table.column("map").to_pylist(), table.column("hashes").to_pylist()
             ends = np.append(starts[1:], table.num_rows)
             u, v = [], []
@@ -296,7 +310,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
                     u.append(ids[a + x]), v.append(ids[a + y])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    checked = small.unionByName(large).repartition("family", "tile").sortWithinPartitions("family", "tile", "n", "cls").mapInArrow(verify, "u bigint, v bigint")
+    placed = small.unionByName(large).hint("merge").join(sets, "cls").select("family", "tile", "n", "cls", "map", "hashes")
+    checked = placed.repartition("family", "tile").sortWithinPartitions("family", "tile", "n", "cls").mapInArrow(verify, "u bigint, v bigint")
     linked = components(checked, scratch, "links").withColumnRenamed("node", "cls").withColumnRenamed("component", "group")
 
     smallest = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("least")).join(linked, "cls", "left").withColumn("group", F.coalesce("group", "cls"))
