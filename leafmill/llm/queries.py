@@ -73,4 +73,16 @@ marked AS (SELECT l.doc_id, l.pos, l.line, k.owner IS NOT NULL AND k.owner <> l.
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id""",
+    "op5_ngram_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(node, top) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.v, r.top FROM reach r JOIN links l ON l.u = r.node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.top) AS component_id FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY ALL""",
+    "op8_vector_dedup": """
+WITH RECURSIVE links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9),
+reach(node, top) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.v, r.top FROM reach r JOIN links l ON l.u = r.node),
+heads AS (SELECT node, min(top) AS component_id FROM reach GROUP BY node), counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT node AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, node = component_id AS kept FROM heads LEFT JOIN counts ON u = node""",
 }
