@@ -7,12 +7,12 @@ into one of the next level, so a key is rewritten once a level.  When all batche
 index tells for each key its number of documents and its owner, and one more pass drops the lines.
 
 A key is a line stripped of white space at both ends, A-Z lower-cased; it is held as 128 hash bits.
-Keys are made distinct inside each document and counted within each task before rows are dealt out,
-so a line that a third of all documents hold is one row a task; the pass that drops lines joins
-on the key, where adaptive execution splits a hot key.
+The lines are parsed once, to rows of numbers and hashes.  Keys are made distinct by document and counted within each task
+before rows are dealt out, so a line that a third of all documents hold is one row a task; the pass that drops
+lines joins on the key, where adaptive execution splits a hot key.
 
 Cases: a null or empty text is one empty line; a null id ranks below every id and such rows keep
-null as their id; rows that repeat an id count as documents of their own and all rows of the largest
+null as their id; rows that repeat an id are one document when documents are counted, and all rows of the largest
 id keep the line; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -27,7 +27,7 @@ MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
 BATCHES = 4
 FANOUT = 2
-_BLANK = r"[\x20\x09-\x0D]"
+_BLANK = " \t\n\x0b\x0c\r"
 _ABC = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -37,8 +37,10 @@ def lines(text: Column) -> Column:
 
 def key_of(line: Column) -> Column:
     """The key's hash of a line that is long enough to count, else null."""
-    key = F.translate(F.regexp_replace(line, rf"^{_BLANK}+|{_BLANK}+$", ""), _ABC, _ABC.lower())
-    return F.when(F.char_length(line) >= MIN_LENGTH, F.when(F.char_length(key) >= MIN_LENGTH, F.unhex(F.md5(key))))
+    key = F.btrim(line, F.lit(_BLANK))
+    # A-Z alone are lower-cased: for ASCII text that is lower()
+    low = F.when(F.char_length(key) == F.octet_length(key), F.lower(key)).otherwise(F.translate(key, _ABC, _ABC.lower()))
+    return F.when(F.char_length(key) >= MIN_LENGTH, F.unhex(F.md5(low)))
 
 
 def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -102,12 +104,11 @@ def _batched(docs: DataFrame, key: str, batches: int) -> Column:
 def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", batches: int = BATCHES, scratch: Scratch | None = None) -> DataFrame:
     """docs with the lines that lose removed from ``text``, and n_lines and n_dropped added."""
     scratch = scratch or Scratch(docs.sparkSession, "linedup")
-    held = (
-        docs.select(F.col(key).alias("doc"), _batched(docs, key, batches).alias("batch"), F.explode(F.array_distinct(F.transform(lines(F.col(text)), key_of))).alias("key"))
-        .where(F.col("key").isNotNull())
-        .groupBy("batch", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("owner"))
-    )
+    hashed = F.xxhash64(text)
+    # rows of one id and text lose the same lines, so these two name a row in every read
+    parsed = docs.select(F.col(key).alias("doc"), hashed.alias("hash"), _batched(docs, key, batches).alias("batch"), F.posexplode(F.transform(lines(F.col(text)), key_of)).alias("pos", "key"))
+    parsed = scratch.keep(parsed.where(F.col("key").isNotNull()), "parsed")
+    held = parsed.select("batch", "key", "doc").distinct().groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("owner"))
     deltas = scratch.keep(held, "deltas", "batch")
     index = LineIndex(scratch)
     for b in range(batches):
@@ -115,10 +116,8 @@ def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", batches
     common = scratch.keep(index.merged().where(F.col("n") >= MIN_DOCUMENTS).select("key", "owner"), "common")
     scratch.drop("deltas")
 
-    # rows of one id and text lose the same lines, so these two name a row in both reads
-    rows = docs.withColumn("__text", F.xxhash64(text))
-    where = rows.select("__text", F.col(key).alias("doc"), F.posexplode(F.transform(lines(F.col(text)), key_of)).alias("pos", "key")).where(F.col("key").isNotNull())
-    lost = where.join(common, "key").where(~F.col("doc").eqNullSafe(F.col("owner"))).groupBy(F.col("doc").alias("__doc"), F.col("__text").alias("__hash")).agg(F.collect_set("pos").alias("__lost"))
+    rows = docs.withColumn("__text", hashed)
+    lost = parsed.join(common, "key").where(~F.col("doc").eqNullSafe(F.col("owner"))).groupBy(F.col("doc").alias("__doc"), F.col("hash").alias("__hash")).agg(F.collect_set("pos").alias("__lost"))
     kept = rows.join(lost, F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left")
     all_lines = lines(F.col(text))
     stays = F.when(F.col("__lost").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__lost"), i)))

@@ -48,7 +48,7 @@ def test_line_dedup(docs):
     holders = {}
     for i, r in enumerate(rows):
         for k in {key(x) for x in (r.text or "").split("\n")}:
-            holders.setdefault(k, []).append(r.doc_id)
+            holders.setdefault(k, set()).add(r.doc_id)
     want = []
     for r in rows:
         lines = (r.text or "").split("\n")
@@ -238,3 +238,16 @@ def test_null_ids(spark):
     for run in (linedup.drop_lines, ngram_join.near_duplicates, suffix_dedup.remove_repeats, mixing.mix, pii.pseudonymise):
         assert len(run(rows).collect()) == 3
     assert len({r.doc_id for r in packing.pack(rows, path).collect()}) == 2
+
+
+def test_clashing_columns(spark):
+    names = ["key", "doc", "n", "n_lines", "owner", "row", "size", "copies", "target", "cls", "hash", "pos", "batch", "lang_pred", "score"]
+    rows = [(i, f"a line that is long enough to count {i % 2}", "s", *[1] * len(names)) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    assert sorted(r.n_dropped for r in linedup.drop_lines(docs).collect()) == [0, 0, 0, 1, 1]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for run in (ngram_join.near_duplicates, suffix_dedup.remove_repeats, mixing.mix, pii.pseudonymise):
+        assert run(docs).count() == 5
+    assert packing.pack(docs, path).count() >= 5
+    assert mixing.repeated(docs, mixing.mix(docs)).columns == docs.columns
+    assert langid.predict(docs, langid.fit(docs, lang="source")).count() == 5
