@@ -47,6 +47,19 @@ def test_near_duplicates_in_blocks(frame, monkeypatch):
     assert sorted(tuple(r) for r in neardup_vectors.near_duplicates(frame, window=16).collect()) == whole
 
 
+def test_hub_with_noisy_copies(spark):
+    rng = np.random.default_rng(6)
+    hub = rng.normal(size=64)
+    hub /= np.linalg.norm(hub)
+    aside = rng.normal(size=(400, 64))
+    aside -= (aside @ hub)[:, None] * hub
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    x = np.vstack([0.905 * hub + np.sqrt(1 - 0.905**2) * aside, hub])
+    got = neardup_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    assert {r.component_id for r in got} == {0} and [r.vec_id for r in got if r.kept] == [0]
+    assert {r.vec_id: r.n_links for r in got}[400] == 400
+
+
 def test_search(frame, rows):
     got = ann.nearest(frame, 10, 5).collect()
     x = np.array([r[1] for r in rows[:300]], np.float64)
