@@ -60,6 +60,30 @@ def test_hub_with_noisy_copies(spark):
     assert {r.vec_id: r.n_links for r in got}[400] == 400
 
 
+def test_dense_group_and_common_direction(spark, monkeypatch):
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 128)
+    rng = np.random.default_rng(7)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=-1, keepdims=True)
+
+    def at(v, cosine):
+        aside = rng.normal(size=v.shape)
+        return cosine * v + np.sqrt(1 - cosine**2) * unit(aside - (aside * v).sum(axis=-1, keepdims=True) * v)
+
+    hub, common = unit(rng.normal(size=64)), unit(rng.normal(size=64))
+    copies = at(np.tile(hub, (1500, 1)), 0.91)
+    alike = unit(np.sqrt(0.7) * common + np.sqrt(0.3) * unit(rng.normal(size=(1200, 64))))
+    x = np.vstack([hub, copies, alike, at(alike[:300], 0.91)])
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(df, window=16).collect()}
+    u, v = np.nonzero(near)
+    joined = np.array([got[i].component_id == got[k].component_id for i, k in zip(u.tolist(), v.tolist())])
+    assert joined[(u <= 1500)].mean() >= 0.98 and joined[u > 1500].mean() >= 0.98
+
+
 def test_search(frame, rows):
     got = ann.nearest(frame, 10, 5).collect()
     x = np.array([r[1] for r in rows[:300]], np.float64)
