@@ -3,7 +3,10 @@
 Each vector is a sum of one word from each of BOOKS full-dimensional codebooks, trained as
 residual k-means on a bounded sample.  Encoding is a beam search over the books; the norm of the
 approximation is stored with the codes.  A query makes a table of its products with all words, so that
-a candidate's score is a sum of BOOKS look-ups, and the best of each block are measured exactly.
+a candidate's score is a sum of BOOKS look-ups.  The best of each block are measured exactly, and so is every other
+candidate that, by the stored error of its approximation, may be as near as the k-th found so far; so dense groups and ties are right.
+
+Equal vectors are one candidate with its first ids: of a hot group of copies no more than k besides the query can be returned.
 
 Queries are the stated set, taken in blocks of bounded size against all candidates.  Cases: vectors
 that are null, zero, of another dimension than most, or hold null or non-finite components take no
@@ -26,7 +29,7 @@ BOOKS, WORDS = 12, 256
 SAMPLE_ROWS = 12_000
 ROUNDS = 6
 BEAM = 4
-#: Candidates of each block of BLOCK that are measured exactly for a query.
+#: Candidates of each block of BLOCK that are measured exactly for a query before the others are judged by their bounds.
 RERANK, BLOCK = 256, 4096
 #: Queries that are held at once.
 QUERY_BLOCK = 2048
@@ -77,8 +80,20 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
     return codes, norms
 
 
-def index(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """(vec_id, vector, codes, norm) of all vectors, and the codebooks."""
+def distinct(vectors: DataFrame, k: int) -> DataFrame:
+    """(vec_id, vector, ids): each distinct vector with its k + 1 smallest ids in order, a repeated id up to k times."""
+    text = F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")
+    marked = vectors.withColumns({"hash": F.xxhash64("vector"), "hash2": F.md5(text)})
+    each = marked.groupBy("hash", "hash2", "vec_id").agg(F.count(F.lit(1)).alias("n"), F.any_value("vector").alias("vector"))
+    each = each.withColumn("place", F.row_number().over(Window.partitionBy("hash", "hash2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    found = each.groupBy("hash", "hash2").agg(
+        F.min("vec_id").alias("vec_id"), F.any_value("vector").alias("vector"), F.array_sort(F.flatten(F.collect_list(F.array_repeat("vec_id", F.least("n", F.lit(k)).cast("int"))))).alias("ids")
+    )
+    return found.select("vec_id", "vector", "ids")
+
+
+def index(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """(vec_id, vector, ids, codes, norm, error) of all distinct vectors, error the distance to the approximation, and the codebooks."""
     sample = bounded(vectors, SAMPLE_ROWS, "vec_id").select("vector").toPandas()
     books = train(np.array(sample["vector"].tolist())) if len(sample) else np.zeros((BOOKS, WORDS, 1), np.float32)
     sent = vectors.sparkSession.sparkContext.broadcast(books)
@@ -88,9 +103,15 @@ def index(vectors: DataFrame, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
             x = matrix(batch.column(1))
             if len(x):
                 codes, norms = encode(x, sent.value)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], ["vec_id", "vector", "codes", "norm"])
+                made = sum(words[codes[:, m]].astype(np.float64) for m, words in enumerate(sent.value))
+                errors = np.sqrt(((x - made) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), batch.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(errors)],
+                    ["vec_id", "vector", "ids", "codes", "norm", "error"],
+                )
 
-    return scratch.keep(vectors.mapInArrow(run, "vec_id bigint, vector array<double>, codes binary, norm float"), "index"), books
+    kind = "vec_id bigint, vector array<double>, ids array<bigint>, codes binary, norm float, error double"
+    return scratch.keep(distinct(vectors, k).mapInArrow(run, kind), "index"), books
 
 
 def search(indexed: DataFrame, books: np.ndarray, queries: DataFrame, k: int, scratch: Scratch, rerank: int = RERANK) -> DataFrame:
@@ -110,24 +131,42 @@ def search(indexed: DataFrame, books: np.ndarray, queries: DataFrame, k: int, sc
             # the table of products, and what each query has found so far in this task
             table = np.einsum("qd,mkd->mqk", q.astype(np.float32), words)
             best_d, best_v = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+            # lengths and a share that bound the rounding of a score
+            reach, length = np.sqrt((words.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum(), np.sqrt((q**2).sum(axis=1))
+            share = np.finfo(np.float32).eps * (q.shape[1] + len(words))
+
+            def measure(i, some, x, v, starts, ends):
+                d = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
+                some, d = some[near_enough := d <= best_d[i, -1]], d[near_enough]
+                held = ends[some] - starts[some]
+                at = np.repeat(starts[some] - np.cumsum(held) + held, held) + np.arange(held.sum())
+                w, d = v[at], np.repeat(d, held)
+                d, w = np.concatenate([best_d[i], d[w != ids[i]]]), np.concatenate([best_v[i], w[w != ids[i]]])
+                order = np.lexsort((w, d))[:k]
+                best_d[i], best_v[i] = d[order], w[order]
+
             for batch in batches:
-                all_v, all_x = np.asarray(batch.column(0)), matrix(batch.column(1))
-                all_codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(all_v), -1)
-                all_norms = np.asarray(batch.column(3))
-                for lo in range(0, len(all_v), BLOCK):
-                    v, x, codes, norms = (y[lo : lo + BLOCK] for y in (all_v, all_x, all_codes, all_norms))
-                    r = min(rerank, len(v))
+                all_x, lists = matrix(batch.column(1)), batch.column(2)
+                v, all_offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+                all_codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(all_x), -1)
+                all_norms, all_errors = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+                for lo in range(0, len(all_x), BLOCK):
+                    x, codes, norms, errors, starts, ends = (y[lo : lo + BLOCK] for y in (all_x, all_codes, all_norms, all_errors, all_offsets[:-1], all_offsets[1:]))
+                    r = min(rerank, len(x))
                     for s in range(0, len(q), 64):
                         far = norms[None, :].repeat(min(64, len(q) - s), axis=0)
                         for m in range(len(words)):
                             far -= 2 * table[m, s : s + 64][:, codes[:, m]]
                         near = np.argpartition(far, r - 1, axis=1)[:, :r]
                         for i, some in enumerate(near, s):
-                            some = some[v[some] != ids[i]]
-                            d = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
-                            d, w = np.concatenate([best_d[i], d]), np.concatenate([best_v[i], v[some]])
-                            order = np.lexsort((w, d))[:k]
-                            best_d[i], best_v[i] = d[order], w[order]
+                            measure(i, some, x, v, starts, ends)
+                            # not (beyond the bound): what can't be compared is measured too
+                            square = far[i - s] + length[i] ** 2
+                            slack = share * (2 * length[i] * reach + norms + length[i] ** 2)
+                            left = ~(np.sqrt(np.maximum(square - slack, 0)) > (best_d[i, -1] + errors) * (1 + 1e-9))
+                            left[some] = False
+                            if left.any():
+                                measure(i, np.flatnonzero(left), x, v, starts, ends)
             ok = np.isfinite(best_d)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[ok]), pa.array(best_v[ok]), pa.array(best_d[ok])], ["query_id", "vec_id", "score"])
 
@@ -142,5 +181,6 @@ def search(indexed: DataFrame, books: np.ndarray, queries: DataFrame, k: int, sc
 def nearest(df: DataFrame, every: int, k: int, vector: str = "embedding", key: str = "vec_id", scratch: Scratch | None = None) -> DataFrame:
     """Queries are the rows whose id is divisible by ``every``, candidates all other rows."""
     scratch = scratch or Scratch(df.sparkSession, "ann")
-    indexed, books = index(sound(df, vector, key).repartition("vec_id"), scratch)
-    return search(indexed, books, indexed.where(F.col("vec_id") % every == 0).select("vec_id", "vector"), k, scratch)
+    vectors = sound(df, vector, key).repartition("vec_id")
+    indexed, books = index(vectors, k, scratch)
+    return search(indexed, books, vectors.where(F.col("vec_id") % every == 0), k, scratch)

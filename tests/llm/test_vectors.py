@@ -96,6 +96,22 @@ def test_search(frame, rows):
     assert {r.query_id for r in got} == set(range(0, 300, 10))
 
 
+def test_search_in_dense_groups(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16))
+    x[::3] = x[0]
+    x[1::3] = x[1] + 0.001 * rng.normal(size=(2000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, 250, 10).collect()
+    for q in range(0, 6000, 250):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        d, ids = np.append(d, d[7]), np.append(np.arange(6000), 7)
+        want = np.lexsort((ids, d))[:10]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in mine] == ids[want].tolist() and [r.score for r in mine] == pytest.approx(d[want].tolist())
+
+
 def test_recall_of_codes():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16))
