@@ -3,7 +3,8 @@
 Every value found is validated (check digits, calendar, octets, area codes) and permuted within its own
 format by a keyed Feistel network: payment cards and account numbers keep length, separators and a
 right check digit, dates stay dates in their notation, network addresses stay addresses, and telephone
-numbers keep their country code and stay dialable.  The permutation depends on the value, its kind and
+numbers keep their country code and stay dialable.  Where a match fails its check, the shorter lengths at its group borders are tried, and an account number's
+length is its country's.  The permutation depends on the value, its kind and
 the key alone, so equal values stay linked across documents and different ones stay different.  Whatever
 fails its validation stays as it is.  All of it is DataFrame functions; texts without a digit, an at sign
 or a key word are passed by after one look.
@@ -25,19 +26,28 @@ ROUNDS = 8
 _ALPHABETS = {"d": "0123456789", "n": "23456789", "h": "0123456789abcdef", "l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 #: Days from 1900-01-01 that dates are permuted among, as 270 x 271.
 _DAY_SIDES = (270, 271)
-#: Kinds in the order in which they are tried; each pattern takes a whole value.
+#: Characters of an account number by country; those of other countries are tried at their group borders.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _LENGTHS.items())
+#: Kinds in the order in which they are tried; each pattern takes a whole value, that of cards a whole run of groups.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|pwd|secret|token|api_?key)[ \t]{0,3}[=:][ \t]{0,3}[\"']?[A-Za-z0-9+/_-]{8,}[\"']?",
-    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "account": rf"(?<![A-Za-z0-9])(?:{_BY_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "address": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "person": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "phone": r"(?<![0-9+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9+])\+(?!1[ (.-])[0-9]{1,3}(?:[ -]?\(?[0-9]{1,4}\)?){2,5}(?![0-9]|\.[0-9])|(?<![0-9-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9]|-[0-9])",
-    "card": r"(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[.-][0-9])",
+    "card": r"(?<![0-9])(?<![0-9][.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?!\.[0-9])(?:[ -][0-9]++(?!\.[0-9]))*+",
 }
 COUNTS = tuple(f"n_{kind}" for kind in PATTERNS)
-_ANY = "|".join(PATTERNS.values())
+#: Cards are looked for in what the other kinds leave, so that a run of groups doesn't take their values in.
+_ANY = "|".join(p for kind, p in PATTERNS.items() if kind != "card")
 _WORTH_A_LOOK = r"[0-9@]|(?i:pass|pwd|secret|token|key)"
 
 
@@ -124,13 +134,43 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, b: a + b) % 10
 
 
-def _card(v: Column, key: str) -> Column:
-    def fresh(d: Column) -> Column:
-        body = F.substring(d, F.lit(1), F.length(d) - 1)
-        new = feistel(body, F.repeat(F.lit("d"), F.length(body)), "card", key)
-        return _let(new, lambda b: F.concat(b, F.pmod(10 - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+def _fresh_card(d: Column, key: str) -> Column:
+    body = F.substring(d, F.lit(1), F.length(d) - 1)
+    new = feistel(body, F.repeat(F.lit("d"), F.length(body)), "card", key)
+    return _let(new, lambda b: F.concat(b, F.pmod(10 - luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+
+
+def _cards(v: Column, key: str) -> Column:
+    """(new, n): a run of groups of digits with its n cards replaced.  From each group on, the longest 13 to 19 digits that end
+    with a group and pass their check are a card.  Where that isn't the whole run, the groups are as cards have them: the first of
+    4, 6, 8 or at least 13 digits and none of less than 4 but the last, so that lists of other numbers are left."""
+
+    def span(groups: Column, i: Column, j: Column) -> Column:
+        return F.array_join(F.slice(groups, i, j - i + 1), "")
+
+    def fits(groups: Column, i: Column, j: Column) -> Column:
+        def passes(part: Column) -> Column:
+            shaped = part.rlike("^[ -]?(?:[0-9]{4}|[0-9]{6}|[0-9]{8}|[0-9]{13,19})(?![0-9])(?:[ -][0-9]{4,})*(?:[ -][0-9]+)?$")
+            whole = (i == 1) & (j == F.size(groups))
+            return (whole | shaped) & _let(_digits(part), lambda d: F.length(d).between(13, 19) & (luhn(d) == 0))
+
+        return _let(span(groups, i, j), passes)
+
+    def take(groups: Column, state: Column, i: Column) -> Column:
+        def card(j: Column) -> Column:
+            new = _let(span(groups, i, j), lambda x: _let(_fresh_card(_digits(x), key), lambda f: _refill(x, f, "[^0-9]")))
+            return F.struct(F.concat(state["parts"], F.array(span(groups, state["done"] + 1, i - 1), new)).alias("parts"), j.alias("done"), (state["n"] + 1).alias("n"))
 
-    return _let(_digits(v), lambda d: F.when(luhn(d) == 0, _let(fresh(d), lambda f: _refill(v, f, "[^0-9]"))))
+        ends = F.filter(F.sequence(i, F.least(F.size(groups), i + 18)), lambda j: fits(groups, i, j))
+        return F.when(i <= state["done"], state).otherwise(_let(F.array_max(ends), lambda j: F.when(j.isNull(), state).otherwise(card(j))))
+
+    def fold(groups: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("done"), F.lit(0).alias("n"))
+        done = F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, lambda st, i: take(groups, st, i))
+        return _let(done, lambda st: F.struct(F.concat(F.array_join(st["parts"], ""), span(groups, st["done"] + 1, F.size(groups))).alias("new"), st["n"].alias("n")))
+
+    # each group but the first begins with its separator
+    return _let(F.regexp_extract_all(v, F.lit("[ -]?[0-9]+"), F.lit(0)), fold)
 
 
 def _mod97(s: Column) -> Column:
@@ -150,7 +190,15 @@ def _account(v: Column, key: str) -> Column:
         new = feistel(body, _mask(body), "account", key)
         return _let(new, lambda b: _let(F.concat(F.substring(s, 1, 2), F.lit("00"), b), lambda z: F.concat(F.substring(s, 1, 2), F.lpad((98 - _mod97(z)).cast("string"), 2, "0"), b)))
 
-    return _let(F.regexp_replace(v, " ", ""), lambda s: F.when((F.length(s) >= 15) & (_mod97(s) == 1), _let(fresh(s), lambda f: _refill(v, f, " "))))
+    def whole(x: Column) -> Column:
+        return _let(F.regexp_replace(x, " ", ""), lambda s: F.when((F.length(s) >= 15) & (_mod97(s) == 1), _let(fresh(s), lambda f: _refill(x, f, " "))))
+
+    # the whole match, or else the longest part of whole groups from its start that passes
+    def longest(groups: Column) -> Column:
+        tries = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.concat(whole(F.array_join(F.slice(groups, F.lit(1), n), "")), F.array_join(F.slice(groups, n + 1, F.size(groups)), "")))
+        return F.try_element_at(F.filter(tries, lambda t: t.isNotNull()), F.lit(1))
+
+    return _let(F.regexp_extract_all(v, F.lit(" ?[A-Z0-9]+"), F.lit(0)), longest)
 
 
 def _address(v: Column, key: str) -> Column:
@@ -223,7 +271,7 @@ def _secret(v: Column, key: str) -> Column:
     return _let(head, fresh)
 
 
-_MAKE = {"email": _email, "secret": _secret, "account": _account, "address": _address, "date": _date, "person": _person, "phone": _phone, "card": _card}
+_MAKE = {"email": _email, "secret": _secret, "account": _account, "address": _address, "date": _date, "person": _person, "phone": _phone}
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
@@ -232,16 +280,28 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
     found = F.when(look, F.regexp_extract_all(F.col(text), F.lit(_ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
     def renewed(v: Column) -> Column:
-        kind = reduce(lambda e, k: e.when(v.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)), PATTERNS, F.when(F.lit(False), F.lit("")))
-        return _let(kind, lambda k: _let(reduce(lambda e, x: e.when(k == x, _MAKE[x](v, key)), PATTERNS, F.when(F.lit(False), F.lit(""))), lambda new: F.struct(F.when(new.isNotNull(), k).alias("kind"), F.coalesce(new, v).alias("new"))))
+        kind = reduce(lambda e, k: e.when(v.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)), _MAKE, F.when(F.lit(False), F.lit("")))
+        return _let(kind, lambda k: _let(reduce(lambda e, x: e.when(k == x, _MAKE[x](v, key)), _MAKE, F.when(F.lit(False), F.lit(""))), lambda new: F.struct(F.when(new.isNotNull(), k).alias("kind"), F.coalesce(new, v).alias("new"))))
+
+    def weave(gaps: Column, values: Column) -> Column:
+        return F.array_join(F.flatten(F.zip_with(gaps, values, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
+
+    def carded(gap: Column) -> Column:
+        runs = F.transform(F.regexp_extract_all(gap, F.lit(PATTERNS["card"]), F.lit(0)), lambda v: _cards(v, key))
+        with_cards = _let(runs, lambda r: F.struct(weave(F.split(gap, PATTERNS["card"], -1), F.transform(r, lambda x: x["new"])).alias("new"), F.aggregate(r, F.lit(0), lambda n, x: n + x["n"]).alias("n")))
+        return F.when(gap.rlike(PATTERNS["card"]), with_cards).otherwise(F.struct(gap.alias("new"), F.lit(0).alias("n")))
 
     rows = docs.drop(*COUNTS).withColumn("__found", found)
-    rows = rows.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", renewed)))
-    gaps = F.split(F.col(text), _ANY, -1)
-    woven = F.array_join(F.flatten(F.zip_with(gaps, F.transform("__new", lambda x: x["new"]), lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
+    rows = rows.withColumn("__new", F.when(look, F.transform("__found", renewed)))
+    rows = rows.withColumn("__gaps", F.when(look, F.transform(F.split(F.col(text), _ANY, -1), carded)))
+    woven = weave(F.transform("__gaps", lambda g: g["new"]), F.transform("__new", lambda x: x["new"]))
 
     def count(kind: str) -> Column:
-        return F.when(F.col("__new").isNull(), 0).otherwise(F.size(F.filter("__new", lambda x: x["kind"] == kind))).cast("bigint")
+        if kind == "card":
+            n = F.aggregate("__gaps", F.lit(0), lambda a, g: a + g["n"])
+        else:
+            n = F.size(F.filter("__new", lambda x: x["kind"] == kind))
+        return F.when(F.col("__new").isNull(), 0).otherwise(n).cast("bigint")
 
     rows = rows.withColumns({c: count(c[2:]) for c in COUNTS})
-    return rows.withColumn(text, F.when(F.col("__new").isNull(), F.col(text)).otherwise(woven)).drop("__found", "__new")
+    return rows.withColumn(text, F.when(F.col("__new").isNull(), F.col(text)).otherwise(woven)).drop("__found", "__new", "__gaps")

@@ -216,6 +216,39 @@ def test_pseudonyms(spark):
     assert sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2]) in range(0, 200, 10)
 
 
+BESIDE = {
+    "4111 1111 1111 1111 12/27": ("4111 1111 1111 1111", "n_card"), "card 4111 1111 1111 1111 123": ("4111 1111 1111 1111", "n_card"),
+    "12/27 4111 1111 1111 1111.": ("4111 1111 1111 1111", "n_card"), "in 2027 4111 1111 1111 1111": ("4111 1111 1111 1111", "n_card"),
+    "No.4111111111111111": ("4111111111111111", "n_card"), "card-4111-1111-1111-1111": ("4111-1111-1111-1111", "n_card"),
+    "AT61 1904 3002 3457 3201 BIC X": ("AT61 1904 3002 3457 3201", "n_account"), "ES91 2100 0418 4502 0005 1332 BIC X": ("ES91 2100 0418 4502 0005 1332", "n_account"),
+    "ZZ44 1904 3002 3457 3201 BIC X": ("ZZ44 1904 3002 3457 3201", "n_account"),
+}
+
+
+def test_values_beside_others(spark):
+    def check(digits):
+        return str(98 - int("".join(str(int(c, 36)) for c in digits[4:] + digits[:2] + "00")) % 97).zfill(2)
+
+    cases = {}
+    for text, (value, kind) in BESIDE.items():
+        right = value[:2] + check(value.replace(" ", "")) + value[4:] if value.startswith("ZZ") else value
+        cases[text.replace(value, right)] = (right, kind)
+    two = "4111 1111 1111 1111 5500 0000 0000 0004 and AT61 1904 3002 3457 3201 4111 1111 1111 1111 078-05-1120"
+    out = [r.asDict() for r in pii.pseudonymise(spark.createDataFrame([(i, x) for i, x in enumerate([*cases, two])], "doc_id long, text string")).orderBy("doc_id").collect()]
+    for row, (text, (value, kind)) in zip(out, cases.items()):
+        before, after = text.split(value)
+        assert row["text"].startswith(before) and row["text"].endswith(after) and value not in row["text"] and len(row["text"]) == len(text), row
+        assert row[kind] == 1 and sum(row[c] for c in pii.COUNTS) == 1
+    assert out[-1]["n_card"] == 3 and out[-1]["n_account"] == 1 and out[-1]["n_person"] == 1
+    assert len(out[-1]["text"]) == len(two) and "1111" not in out[-1]["text"] and "1120" not in out[-1]["text"]
+
+
+def test_long_lists_of_numbers(spark):
+    text = " ".join(str(i) for i in range(10000, 30000)) + " 1 2 3 4111 1111 1111 1111 12 5.5"
+    row = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_card == 1 and len(row.text) == len(text) and "4111 1111 1111 1111" not in row.text and row.text[:100_000] == text[:100_000]
+
+
 def test_pseudonyms_are_a_permutation(spark):
     from pyspark.sql import functions as F
 
