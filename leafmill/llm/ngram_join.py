@@ -224,12 +224,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
                     out.append((np.full(c, name, np.uint64), n[s : s + c], cls[s : s + c]))
                     continue
                 blocks = range(s, s + c, TILE)
-                for i, a in enumerate(blocks):
-                    for j, b in enumerate(blocks):
-                        if j > i and n[min(a + TILE, s + c) - 1] * SIMILAR[1] >= n[b] * SIMILAR[0]:
-                            at = np.r_[a : a + TILE, b : min(b + TILE, s + c)]
-                            tile = (name ^ (i * 1_000_003 + j) * 0x9E3779B97F4A7C15) & (2**64 - 1)
-                            out.append((np.full(len(at), tile, np.uint64), n[at], cls[at]))
+                pairs = [(i, j) for i, a in enumerate(blocks) for j, b in enumerate(blocks) if j > i and n[min(a + TILE, s + c) - 1] * SIMILAR[1] >= n[b] * SIMILAR[0]]
+                # a block that can't link to another is compared with itself alone
+                pairs += [(i, i) for i in sorted(set(range(len(blocks))) - {k for pair in pairs for k in pair})]
+                for i, j in pairs:
+                    a, b = blocks[i], blocks[j]
+                    at = np.r_[a : min(a + TILE, s + c), b : min(b + TILE, s + c)] if i < j else np.arange(a, min(a + TILE, s + c))
+                    tile = (name ^ (i * 1_000_003 + j) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+                    out.append((np.full(len(at), tile, np.uint64), n[at], cls[at]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], ["list", "n", "cls"])
 

@@ -90,6 +90,14 @@ def test_ngram_join_tiles(docs, monkeypatch):
     assert len({r[2] for r in before}) == 1
 
 
+def test_ngram_join_block_that_links_to_no_other(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    base, more = [f"w{i}" for i in range(60)], [f"m{i}" for i in range(60)]
+    texts = [[*base, f"x{i}"] for i in range(4)] + [[*base, *more, f"y{i}"] for i in range(8)] + [[*more, *(f"z{i}u{k}" for k in range(200))] for i in range(20)]
+    found = ngram_join.near_duplicates(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: 0 if i < 4 else 4 if i < 12 else i for i in range(32)}
+
+
 def test_passages(docs):
     rows = docs.collect()
     low = {}
