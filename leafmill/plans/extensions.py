@@ -54,7 +54,7 @@ def synthetic_entries(spark, sf_dir):
 
 @query()
 def stemmed_search(spark, sf_dir):
-    """L1-L4: stems, AND of all words, rank by cover density."""
+    """L1, L3, L4 and the plain AND of L2: stems, AND of all words, rank by cover density."""
     index = U.stemmed_postings(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     terms = U.stemmed_postings(t(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text").select(F.col("item_id").alias("query_id"), "lexeme")
     need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))

@@ -96,7 +96,7 @@ WITH terms AS ({_TERMS}), need AS (SELECT query_id, count(DISTINCT term) AS need
 SELECT query_id, doc_id, tf FROM (SELECT query_id, doc_id, count(DISTINCT term) AS have, sum(tf)::BIGINT AS tf FROM ({_POSTINGS}) JOIN terms USING (term) GROUP BY ALL)
 JOIN need USING (query_id) WHERE have = need""")
 def lexical_and(spark, sf_dir):
-    """L2, L3: documents that hold every word of a query."""
+    """L3 and the plain AND of L2 (no OR, phrases or minus): documents that hold every word of a query."""
     return search.all_terms(search.postings(_docs(spark, sf_dir)), _terms(spark, sf_dir))
 
 
