@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import Scratch, bounded
+from .base import Scratch, bounded, lean
 from .vectors import matrix, sound
 
 BOOKS, WORDS = 12, 256
@@ -99,7 +99,7 @@ def index(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, np.n
     sent = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             x = matrix(batch.column(1))
             if len(x):
                 codes, norms = encode(x, sent.value)
@@ -145,7 +145,7 @@ def search(indexed: DataFrame, books: np.ndarray, queries: DataFrame, k: int, sc
                 order = np.lexsort((w, d))[:k]
                 best_d[i], best_v[i] = d[order], w[order]
 
-            for batch in batches:
+            for batch in lean(batches):
                 all_x, lists = matrix(batch.column(1)), batch.column(2)
                 v, all_offsets = np.asarray(lists.values), np.asarray(lists.offsets)
                 all_codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(all_x), -1)

@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready
 
+#: Rows and bytes of an Arrow batch: documents are long, and a worker holds a batch several times over.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of this process only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one of this process only where that is unset and all runs in one process.
+
+    Elsewhere executors couldn't see each other's files, so a cluster without the setting is an error."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="leafmill-")
@@ -29,10 +37,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written in the shared folder: they cut lineage and survive lost executors."""
+    """Tables written in the shared folder: they cut lineage and survive lost executors.
+
+    All tables of an application are under one root, which is removed when the driver ends."""
+
+    _roots: set[str] = set()
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        self.spark = spark
+        for k, v in ARROW.items():
+            spark.conf.set(k, v)
+        home = f"{shared_folder(spark)}/leafmill-{spark.sparkContext.applicationId}"
+        if home not in self._roots:
+            self._roots.add(home)
+            system, path = self._hadoop(home)
+            system.mkdirs(path)
+            system.deleteOnExit(path)
+        self.root = f"{home}/{label}-{uuid.uuid4().hex[:12]}"
+
+    def _hadoop(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def keep(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -42,10 +67,9 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more (all of them without names)."""
-        jvm = self.spark.sparkContext._jvm
         for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            system, path = self._hadoop(f"{self.root}/{name}" if name else self.root)
+            system.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +86,29 @@ def bounded(df: DataFrame, rows: int, *key: str) -> DataFrame:
     there = df.count()
     if there <= rows:
         return df
-    return df.where(F.pmod(F.xxhash64(*key, F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * rows / there))
+    # the whole hash is compared, so a share of any smallness is met
+    return df.where(F.shiftrightunsigned(F.xxhash64(*key, F.lit(17)), 1) < int(rows * (1 << 63) // there))
+
+
+def _trim() -> None:
+    """Gives the memory that a batch has needed back to the system: executors share it with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(batches: Iterable) -> Iterator:
+    """The batches of a Python worker, with memory given back after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        _trim()
+    _trim()
 
 
-def slices(texts: list[str | None], size: int = 1_500_000) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: list[str | None], size: int = 256_000) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about ``size`` characters, each with its first position; null becomes ''."""
     start, held, n = 0, [], 0
     for i, text in enumerate(texts):

@@ -5,9 +5,14 @@ labelled rows, broadcast, and applied to whole texts in numpy: each n-gram gathe
 matrix and a segmented sum gives each text its log likelihoods.  Only the n-grams present are
 touched, so a text costs its length and no dense vector is built.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0; null labels train nothing;
-with no labelled row at all every text is ``und``; repeated rows are predicted alike; extra columns
-are ignored.  Ties go to the language first by code point.
+Languages are taken to be equally likely beforehand: their shares in the sample say how a corpus was
+collected, not what a text is.  A language counts if at least MIN_ROWS sampled rows have it, so the matrix has at most
+SAMPLE_ROWS / MIN_ROWS columns whatever the labels hold; with fewer rows a label is noise (unless no label has more).
+
+Cases: a null text, or one without a letter, is ``und`` with score 0, an empty one too; null labels and null texts train
+nothing; with no labelled row, or an empty table to fit on, every text is ``und``; an empty table to predict gives
+an empty result; repeated rows are predicted alike, and a null id stays null; very long texts are read whole; ties go to the
+language first by code point; extra columns are ignored, and only those in ``keep`` are returned.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded, slices
+from .base import bounded, lean, slices
 
 #: Fit on about so many labelled rows at most, of all languages together.
 SAMPLE_ROWS = 20_000
@@ -30,6 +35,8 @@ ALPHA = 0.05
 #: A text's evidence counts as that of so many n-grams at most, else each score would be 0 or 1.
 EVIDENCE = 60.0
 UNKNOWN = "und"
+#: Sampled rows that a language needs to be learned.
+MIN_ROWS = 20
 _letters: list[np.ndarray] = []
 
 
@@ -69,12 +76,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> dict:
-    """{langs, logp (BUCKETS + 1, languages) float32, prior}; the last row of logp is zero."""
+    """{langs, logp (BUCKETS + 1, languages) float32}; the last row of logp is zero."""
     known = bounded(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), rows, key).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # bounded by the sample
+    seen = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    often = [k for k, n in seen.items() if n >= min(MIN_ROWS, max(seen.values()))]
+    known = known.where(F.col("lang").isin(often))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in lean(batches):
             names = np.array(batch.column(0).to_pylist(), object)
             for start, texts in slices(batch.column(1).to_pylist()):
                 buckets, starts, _ = grams(texts)
@@ -95,30 +106,32 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         freq[counted["bucket"].to_numpy(), counted["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()] = counted["n"].to_numpy()
     total = freq.sum(axis=0)
     logp = np.log(freq + ALPHA) - np.log(total + ALPHA * BUCKETS)
-    return {"langs": langs, "logp": np.vstack([logp, np.zeros((1, logp.shape[1]))]).astype(np.float32), "prior": np.zeros(len(langs))}
+    return {"langs": langs, "logp": np.vstack([logp, np.zeros((1, logp.shape[1]))]).astype(np.float32)}
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` with lang_pred and score, for each row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string, score double"])
-    ready = docs.select(*keep, F.col(text).alias("__text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    # the text crosses to Python once, also where it is to be kept
+    read = text if text in keep else "__text"
+    sources = [F.col(k) for k in keep] + ([] if text in keep else [F.col(text).alias(read)])
+    ready = docs.select(*sources, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
 
     def score(batches):
         m = sent.value
         langs = np.array([*m["langs"], UNKNOWN], object)
-        for batch in batches:
+        for batch in lean(batches):
             n = batch.num_rows
             name, best = np.full(n, UNKNOWN, object), np.zeros(n)
             letter = batch.column(batch.schema.get_field_index("__letter")).to_numpy(zero_copy_only=False).astype(bool)
             if m["langs"]:
-                for start, texts in slices(batch.column(batch.schema.get_field_index("__text")).to_pylist()):
+                for start, texts in slices(batch.column(batch.schema.get_field_index(read)).to_pylist()):
                     buckets, starts, counts = grams(texts)
                     loglik = np.zeros((len(texts), len(m["langs"])))
                     for row in buckets:
                         loglik += np.add.reduceat(m["logp"][row], starts, axis=0, dtype=np.float64)
                     loglik *= np.minimum(1.0, EVIDENCE / np.maximum(counts, 1))[:, None]
-                    loglik += m["prior"]
                     odds = np.exp(loglik - loglik.max(axis=1, keepdims=True))
                     odds /= odds.sum(axis=1, keepdims=True)
                     at, ok = odds.argmax(axis=1), letter[start : start + len(texts)]

@@ -103,8 +103,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Each row of docs as often as the mix takes it; texts without words are left out.  Rows equal in id, source and text share their copies evenly."""
-    names = mixed.where("copies > 0 AND size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest")).agg(F.round(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__copies"))
+    """Each row of docs as often as the mix takes it; texts without words are left out.  Rows equal in id, source and text share
+    their copies: each gets the whole part of the mean, and the first ones (by a hash of the row) one more."""
+    names = (
+        mixed.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("digest").alias("__digest"))
+        .agg(F.sum(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+        .where(F.col("__copies") > 0)
+    )
     same = F.col(key).eqNullSafe(F.col("__id")) & F.col(source).eqNullSafe(F.col("__source")) & (F.xxhash64(text) == F.col("__digest"))
-    taken = docs.join(names, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    alone = docs.join(names.where(F.col("__rows") == 1), same)
+    place = F.row_number().over(Window.partitionBy("__id", "__source", "__digest").orderBy(F.xxhash64(*docs.columns)))
+    several = docs.join(names.where(F.col("__rows") > 1), same).withColumn("__place", place)
+    several = several.withColumn("__copies", F.expr("__copies div __rows + int(__place <= __copies % __rows)")).drop("__place")
+    taken = alone.unionByName(several).where(F.col("__copies") > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return taken.select(*docs.columns)

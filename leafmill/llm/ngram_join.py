@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, mix, slices
+from .base import Scratch, lean, mix, slices
 from .components import components
 from .shingles import packed, shingle_sets, unpacked
 
@@ -39,7 +39,7 @@ TILE = 2048
 #: Frequent shingles that are put last in the order, at most; an order of any kind gives the same links.
 FREQUENT = 50_000
 #: Classes that a task remembers so as not to emit them twice.
-REMEMBER = 500_000
+REMEMBER = 100_000
 
 
 def needed(a, b):
@@ -103,28 +103,27 @@ def search(sizes: np.ndarray, maps: list[bytes], exact: Callable[[int, int], boo
 
 def _groups(batches, n_keys: int) -> Iterator[tuple[list, pa.Table]]:
     """Tables of the runs of equal keys (the first n_keys columns) in sorted batches; small runs come several to a table,
-    with the first row of each."""
-    held: list[pa.RecordBatch] = []
-
-    def starts(table: pa.Table) -> np.ndarray:
-        change = np.zeros(max(0, table.num_rows - 1), bool)
-        for k in range(n_keys):
-            key = np.asarray(table.column(k))
-            change |= key[1:] != key[:-1]
-        return np.concatenate([[0], np.flatnonzero(change) + 1])
-
-    for batch in batches:
+    with the first row of each.  Each row is looked at once, however long its run is."""
+    held, rows, last = [], 0, None
+    for batch in lean(batches):
         if not batch.num_rows:
             continue
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        at = starts(table)
-        if len(at) > 1:
-            yield at[:-1], table.slice(0, int(at[-1]))
-            held = table.slice(int(at[-1])).combine_chunks().to_batches()
+        keys = [np.asarray(batch.column(k)) for k in range(n_keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            change[1:] |= key[1:] != key[:-1]
+        change[0] = last is not None and any(key[0] != old for key, old in zip(keys, last))
+        last = [key[-1] for key in keys]
+        at = np.flatnonzero(change)
+        if len(at):
+            end = int(at[-1])
+            yield np.concatenate([[0], rows + at[:-1]]), pa.Table.from_batches([*held, batch.slice(0, end)])
+            held, rows = [batch.slice(end)], batch.num_rows - end
+        else:
+            held.append(batch)
+            rows += batch.num_rows
     if held:
-        table = pa.Table.from_batches(held)
-        yield starts(table), table
+        yield np.zeros(1, np.int64), pa.Table.from_batches(held)
 
 
 def shingled(docs: DataFrame, text: str, key: str) -> DataFrame:
@@ -132,7 +131,7 @@ def shingled(docs: DataFrame, text: str, key: str) -> DataFrame:
 
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in lean(batches):
             n, cls, hashes, maps = [], [], [], []
             for _, texts in slices(batch.column(1).to_pylist()):
                 for s in shingle_sets(texts, WORDS):
@@ -157,12 +156,12 @@ def frequent(sets: DataFrame) -> np.ndarray:
     """Shingles that are in several sets of one chunk, the most frequent FREQUENT of them, sorted."""
 
     def count(batches):
-        for batch in batches:
+        for batch in lean(batches):
             lists = [unpacked(h) for h in batch.column(0).to_pylist()]
             at = 0
             while at < len(lists):
                 end, total = at, 0
-                while end < len(lists) and total < 1_500_000:
+                while end < len(lists) and total < 500_000:
                     total += len(lists[end])
                     end += 1
                 values, n = np.unique(np.concatenate(lists[at:end]), return_counts=True)
@@ -185,7 +184,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
 
     def prefixes(batches):
         late = last.value
-        for batch in batches:
+        for batch in lean(batches):
             tokens, which = [], []
             for i, raw in enumerate(batch.column(2).to_pylist()):
                 s = unpacked(raw)

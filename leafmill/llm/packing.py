@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,12 +25,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .base import slices
+from .base import lean, mix
+from .shingles import _upto
 
 END = 1
 LONGEST = 2048
 #: Words that a worker keeps at most.
 CACHE_WORDS = 1_000_000
+#: Bytes of the texts that are split into words at once.
+SLICE = 1_000_000
 _GAPS = "\t\n\x0b\x0c\r"
 #: Letters that are one pre-token by themselves, and marks (no apostrophe) that are one where they follow.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -41,45 +45,69 @@ def cut(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 2, -1, -1) if n % longest >> k & 1]
 
 
+def _names(words: pa.StringArray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each of some words, from their bytes."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    buf = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    up, down = _upto(len(buf) + 1)
+    out = []
+    for byte in np.random.default_rng([7, seed]).integers(1, 2**63, (2, 256), dtype=np.uint64):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(byte[buf] * up[: len(buf)])])
+        out.append(mix((sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1]] + np.diff(ends).astype(np.uint64)))
+    return out[0], out[1]
+
+
 class WordIds:
     """Ids of whole texts through a table of the ids of words.
 
     Words are found and numbered by Arrow, so that Python sees each distinct word of a slice once.  White space always
     ends a pre-token, letters one after another are one, and so are the marks behind them: the table holds
-    letters (in lower case, as the tokenizer has them) and marks apart where a word is just these two, else whole words."""
+    letters (in lower case, as the tokenizer has them) and marks apart where a word is just these two, else whole words.
+    The table is a sorted array of 64-bit names with a second hash of each word to tell apart words of one name."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.seed = Tokenizer.from_file(path), 0
         self.forget()
 
     def forget(self) -> None:
-        self.words = pa.array([""])  # the word without ids
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.name, self.check, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def learn(self, fresh: pa.Array) -> None:
+    def learn(self, fresh: pa.Array, name: np.ndarray, check: np.ndarray) -> None:
         """fresh: distinct words that aren't in the table."""
         words = fresh.to_pylist()
         ids, sizes = [self.ids], [self.sizes]
         for i in range(0, len(words), 20_000):
             found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
             ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-        self.words = pa.concat_arrays([self.words, fresh])
+        self.row = np.concatenate([self.row, np.arange(len(words)) + len(self.sizes)])
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.name, self.check = np.concatenate([self.name, name]), np.concatenate([self.check, check])
+        order = np.argsort(self.name, kind="stable")
+        self.name, self.check, self.row = self.name[order], self.check[order], self.row[order]
 
-    def places(self, words: pa.Array) -> np.ndarray:
+    def places(self, words: pa.StringArray) -> np.ndarray:
         """Where each of some distinct words is in the table."""
-        at = pc.index_in(words, value_set=self.words)
-        if at.null_count:
-            self.learn(words.filter(pc.is_null(at)))
-            at = pc.index_in(words, value_set=self.words)
-        return np.asarray(at)
+        while True:
+            name, check = _names(words, self.seed)
+            for again in (True, False):
+                at = np.minimum(np.searchsorted(self.name, name), max(0, len(self.name) - 1))
+                known = (self.name[at] == name) & (self.check[at] == check) if len(self.name) else np.zeros(len(name), bool)
+                if known.all():
+                    return self.row[at]
+                if again:
+                    self.learn(words.filter(pa.array(~known)), name[~known], check[~known])
+            # two words share a name: name all anew
+            self.seed += 1
+            self.forget()
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and the number of each text's."""
-        column = pa.array(texts, pa.large_string())
         for gap in _GAPS:
             column = pc.replace_substring(column, gap, " ")
         lists = pc.split_pattern(column, " ")
@@ -88,18 +116,31 @@ class WordIds:
         parts = pc.extract_regex(whole, _SPLIT)
         cores = pc.coalesce(pc.ascii_lower(pc.struct_field(parts, "word")), whole).dictionary_encode()
         marks = pc.fill_null(pc.struct_field(parts, "marks"), "").dictionary_encode()
-        if len(self.words) + len(cores.dictionary) > CACHE_WORDS:
+        if len(self.name) + len(cores.dictionary) > CACHE_WORDS:
             self.forget()
-        word_at = self.places(cores.dictionary)[np.asarray(cores.indices)]
-        mark_at = self.places(marks.dictionary)[np.asarray(marks.indices)]
+        # one look-up of both, so that the table can't be renamed between them
+        both = pc.unique(pa.concat_arrays([cores.dictionary, marks.dictionary]))
+        place = self.places(both)
+        word_at = place[np.asarray(pc.index_in(cores.dictionary, value_set=both))][np.asarray(cores.indices)]
+        mark_at = place[np.asarray(pc.index_in(marks.dictionary, value_set=both))][np.asarray(marks.indices)]
         order = np.stack([word_at, mark_at], axis=1)[np.asarray(coded.indices)].ravel()
-        starts = np.cumsum(self.sizes) - self.sizes
         counts = self.sizes[order]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        out = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - starts[order], counts)]
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        out = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[order], counts)]
         return out, np.diff(ends[2 * np.asarray(lists.offsets)])
 
 
+def _runs(column: pa.Array) -> Iterator[tuple[int, pa.LargeStringArray]]:
+    """Runs of whole texts of about SLICE bytes, each with its first position; null becomes ''."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    ends = np.cumsum(np.asarray(pc.binary_length(column)) + 1)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        yield at, column.slice(at, end - at)
+        at = end
+
+
 _tokenizers: dict[str, WordIds] = {}
 
 
@@ -115,12 +156,12 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
             _tokenizers[tokenizer] = WordIds(tokenizer)
         table = _tokenizers[tokenizer]
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
-        for batch in batches:
+        for batch in lean(batches):
             at, rows, held = [], [], []
-            for start_row, texts in slices(batch.column(1).to_pylist(), 6_000_000):
+            for first, texts in _runs(batch.column(1)):
                 ids_of_all, sizes = table.of(texts)
                 ends = np.cumsum(sizes)
-                for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist()), start_row):
+                for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist()), first):
                     ids = np.append(ids_of_all[end - n : end], np.uint32(END)).astype("<u4")
                     start = 0
                     for length in cut(len(ids), longest):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, bounded, slices
+from .base import Scratch, bounded, lean, slices
 
 #: Fit on about so many labelled rows at most.
 SAMPLE_ROWS = 20_000
@@ -94,7 +94,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     known = bounded(labelled.where(F.col(label).isNotNull()), rows, key).select(F.col(text).alias("text"), F.col(label).cast("double").alias("y"))
 
     def measure(batches):
-        for batch in batches:
+        for batch in lean(batches):
             stats = np.vstack([np.zeros((0, N_STATS)), *(statistics(t) for _, t in slices(batch.column(0).to_pylist()))])
             yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), N_STATS).cast(pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
@@ -112,7 +112,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
 
     def normal(batches):
         total = 0
-        for batch in batches:
+        for batch in lean(batches):
             x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, N_STATS)
             if len(x):
                 a = np.hstack([_cosines(x, sent.value), np.asarray(batch.column(1))[:, None]])
@@ -139,7 +139,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
 
     def run(batches):
         m = sent.value
-        for batch in batches:
+        for batch in lean(batches):
             found = [np.zeros(0)]
             for _, texts in slices(batch.column(batch.num_columns - 1).to_pylist()):
                 if m["weights"] is None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, mix, slices
+from .base import Scratch, lean, mix, slices
 from .ngram_join import _groups
 
 LENGTH = 50
@@ -100,7 +100,7 @@ def phrases(docs: DataFrame) -> DataFrame:
     """(trigger, phrase, doc), each once for a row of docs (doc, text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             doc = np.asarray(batch.column(0))
             for start, texts in slices(batch.column(1).to_pylist()):
                 p = Parse(texts)
@@ -117,7 +117,7 @@ def settle(parsed: DataFrame) -> DataFrame:
     def run(batches):
         # state of the open trigger: its name, the open phrase with its smallest document, whether that is the first and unasked
         trigger, phrase, least, alone = None, None, None, False
-        for batch in batches:
+        for batch in lean(batches):
             if not batch.num_rows:
                 continue
             t, p, d = (np.asarray(batch.column(k)) for k in range(3))
@@ -157,7 +157,7 @@ def dictionary(docs: DataFrame, asked: DataFrame) -> DataFrame:
     wanted = asked.groupBy("doc").agg(F.collect_list("phrase").alias("phrases"))
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             doc, lists = np.asarray(batch.column(0)), batch.column(2)
             names, ends = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
             for start, texts in slices(batch.column(1).to_pylist()):
@@ -215,7 +215,7 @@ def strip(docs: DataFrame, gone: DataFrame, with_text: bool) -> DataFrame:
     joined = docs.join(of_doc, F.col("doc") == F.col("d"), "left").select("doc_id", "text", F.coalesce("gone", F.array().cast("array<struct<phrase:bigint,mask:bigint>>")).alias("gone"))
 
     def run(batches):
-        for batch in batches:
+        for batch in lean(batches):
             lists = batch.column(2)
             flat = lists.flatten()
             names, masks = np.asarray(flat.field(0)), np.asarray(flat.field(1))
