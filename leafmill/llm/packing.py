@@ -2,7 +2,8 @@
 
 A document's ids, with the end id, are cut into pieces of binary lengths: as many of the longest
 length as fit, then the binary digits of the rest, longest first.  Each piece is a sequence of its
-own in the bucket of its length, so no sequence crosses documents and nothing is padded.
+own in the bucket of its length; the sequences of a bucket are put into batches of equal lengths and
+as many tokens as the longest sequence has.  So no sequence crosses documents and nothing is padded.
 
 Words repeat, so each worker keeps the ids of the words it has met (a bounded table, emptied when
 full): white space always ends a pre-token, so a text's ids are those of its words one after another.
@@ -33,7 +34,7 @@ LONGEST = 2048
 #: Words that a worker keeps at most.
 CACHE_WORDS = 1_000_000
 #: Bytes of the texts that are split into words at once.
-SLICE = 1_000_000
+SLICE = 4_000_000
 _GAPS = "\t\n\x0b\x0c\r"
 #: Letters that are one pre-token by themselves, and marks (no apostrophe) that are one where they follow.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -144,39 +145,59 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, pa.LargeStringArray]]:
 _tokenizers: dict[str, WordIds] = {}
 
 
+def pieces_of(sizes: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and length of the pieces of documents of these sizes, as ``cut`` gives them, in order."""
+    top = longest.bit_length() - 1
+    full = sizes >> top
+    owner, digit = np.nonzero((sizes & (longest - 1))[:, None] >> np.arange(top - 1, -1, -1) & 1)
+    doc = np.concatenate([np.repeat(np.arange(len(sizes)), full), owner])
+    length = np.concatenate([np.full(full.sum(), longest), np.int64(1) << (top - 1 - digit)])
+    order = np.argsort(doc, kind="stable")  # whole lengths first, then the digits, longest first
+    doc, length = doc[order], length[order]
+    ends = np.cumsum(length)
+    return doc, ends - length - (np.cumsum(sizes) - sizes)[doc], length
+
+
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", longest: int = LONGEST, with_ids: bool = True) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, its ids.
-    sequence_id numbers the pieces of each task from a range of the task's own."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket, batch_id and, if asked for, its ids.
+
+    ``bucket`` is the binary logarithm of the length.  A task fills a batch of each bucket after the other: batch_id names
+    ``longest // length`` sequences of one length, longest tokens together (the last batch of a task may hold fewer), so a batch is
+    a rectangle without padding.  sequence_id is the batch's id times ``longest`` plus the place in it."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids array<int>" * with_ids
+    schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, bucket int, batch_id bigint" + ", ids array<int>" * with_ids
+    names = [x.split()[0] for x in schema.split(", ")]
+    top = longest.bit_length() - 1
+    assert longest == 1 << top and top < 16
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if tokenizer not in _tokenizers:
             _tokenizers[tokenizer] = WordIds(tokenizer)
         table = _tokenizers[tokenizer]
-        sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        # ids of batches: 24 bits of task, 4 of bucket, 24 of number; the place in a batch has at most 11 more
+        task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 28
+        filled = np.zeros(top + 1, np.int64)  # sequences of each bucket so far
         for batch in lean(batches):
-            at, rows, held = [], [], []
             for first, texts in _runs(batch.column(1)):
-                ids_of_all, sizes = table.of(texts)
-                ends = np.cumsum(sizes)
-                for i, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist()), first):
-                    ids = np.append(ids_of_all[end - n : end], np.uint32(END)).astype("<u4")
-                    start = 0
-                    for length in cut(len(ids), longest):
-                        piece = ids[start : start + length]
-                        at.append(i)
-                        rows.append((start, length, zlib.crc32(piece.tobytes()), len(ids), sequence))
-                        if with_ids:
-                            held.append(piece.astype(np.int32))
-                        start += length
-                        sequence += 1
-            if rows:
-                start, length, crc, n, seq = (np.array(x, np.int64) for x in zip(*rows))
-                cols = [batch.column(0).take(pa.array(at)), *map(pa.array, (start, length, crc, n, seq, np.zeros(len(rows), np.int64)))]
+                flat, sizes = table.of(texts)
+                ids = np.insert(flat, np.cumsum(sizes), END).astype("<u4")
+                sizes = sizes + 1
+                doc, start, length = pieces_of(sizes, longest)
+                ends = np.cumsum(length)
+                raw = memoryview(ids.tobytes())
+                crc = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip((4 * (ends - length)).tolist(), (4 * ends).tolist())), np.int64, len(ends))
+                bucket = np.bitwise_count(length - 1).astype(np.int64)
+                place = np.zeros(len(length), np.int64)
+                for k in np.unique(bucket):
+                    mine = np.flatnonzero(bucket == k)
+                    place[mine] = filled[k] + np.arange(len(mine))
+                    filled[k] += len(mine)
+                batch_id = (task | bucket << 24) + (place >> (top - bucket))
+                sequence = (batch_id << top) + (place & ((1 << (top - bucket)) - 1))
+                cols = [batch.column(0).take(pa.array(first + doc)), *map(pa.array, (start, length, crc, sizes[doc], sequence, np.zeros(len(doc), np.int64), bucket.astype(np.int32), batch_id))]
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(length))).astype(np.int32), pa.array(np.concatenate(held))))
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in schema.split(", ")])
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(key, text).mapInArrow(run, schema)

@@ -132,19 +132,30 @@ def test_packing(docs):
     pieces = packing.pack(frame, path).collect()
     texts = {r.doc_id: r.text for r in frame.collect()}
     seen = {}
-    for p in sorted(pieces, key=lambda p: (p.doc_id, p.sequence_id)):
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
         assert p.length & (p.length - 1) == 0 and p.length <= 2048 and p.offset == 0
         assert zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
-        seen.setdefault(p.doc_id, []).extend(p.ids)
+        seen.setdefault(p.doc_id, []).append((p.start, p.ids))
     assert len({p.sequence_id for p in pieces}) == len(pieces)
+    batches = {}
+    for p in pieces:
+        assert 1 << p.bucket == p.length and p.sequence_id >> 11 == p.batch_id
+        batches.setdefault(p.batch_id, []).append(p)
+    assert all(len({p.length for p in b}) == 1 and len(b) * b[0].length <= 2048 for b in batches.values())
+    # in each task only the last batch of a bucket may be short
+    assert sum(len(b) * b[0].length < 2048 for b in batches.values()) <= 12 * frame.rdd.getNumPartitions()
     for doc, text in texts.items():
         want = tok.encode(text or "", add_special_tokens=False).ids + [1]
-        assert seen[doc] in (want, want + want)  # one row is repeated
+        each = len(seen[doc]) // len(packing.cut(len(want)))  # one row is repeated
+        assert [x for _, ids in seen[doc][::each] for x in ids] == want and seen[doc][::each] == seen[doc][each - 1 :: each]
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 2047, 2048, 2049, 10_000])
 def test_cut(n):
     assert sum(packing.cut(n)) == n and all(x & (x - 1) == 0 and x <= 2048 for x in packing.cut(n))
+    doc, start, length = packing.pieces_of(np.array([n, 3, n]))
+    assert length.tolist() == [*packing.cut(n), 2, 1, *packing.cut(n)] and doc.tolist() == sorted(doc.tolist())
+    assert start[doc == 2].tolist() == (np.cumsum(packing.cut(n)) - packing.cut(n)).tolist()
 
 
 def test_mixing(docs):
