@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch
+from .base import Scratch, unused
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -116,14 +116,17 @@ def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", batches
     common = scratch.keep(index.merged().where(F.col("n") >= MIN_DOCUMENTS).select("key", "owner"), "common")
     scratch.drop("deltas")
 
-    rows = docs.withColumn("__text", hashed)
-    lost = parsed.join(common, "key").where(~F.col("doc").eqNullSafe(F.col("owner"))).groupBy(F.col("doc").alias("__doc"), F.col("hash").alias("__hash")).agg(F.collect_set("pos").alias("__lost"))
-    kept = rows.join(lost, F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__text") == F.col("__hash")), "left")
+    c_text, c_doc, c_hash, c_lost = unused(docs, "__text", "__doc", "__hash", "__lost")
+    rows = docs.withColumn(c_text, hashed)
+    lost = parsed.join(common, "key").where(~F.col("doc").eqNullSafe(F.col("owner"))).groupBy(F.col("doc").alias(c_doc), F.col("hash").alias(c_hash)).agg(F.collect_set("pos").alias(c_lost))
+    kept = rows.join(lost, F.col(key).eqNullSafe(F.col(c_doc)) & (F.col(c_text) == F.col(c_hash)), "left")
     all_lines = lines(F.col(text))
-    stays = F.when(F.col("__lost").isNull(), all_lines).otherwise(F.filter(all_lines, lambda x, i: ~F.array_contains(F.col("__lost"), i)))
+    # an anti-join of places within the row, so a text costs its lines however many of them go
+    places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(c_lost))
+    stays = F.when(F.col(c_lost).isNull(), F.col(text)).otherwise(F.element_at(F.transform(F.array(all_lines), lambda held: F.array_join(F.transform(places, lambda i: F.get(held, i)), "\n")), 1))
     return (
         kept.withColumn("n_lines", F.size(all_lines).cast("bigint"))
-        .withColumn("n_dropped", F.when(F.col("__lost").isNull(), 0).otherwise(F.size("__lost")).cast("bigint"))
-        .withColumn(text, F.array_join(stays, "\n"))
-        .drop("__text", "__doc", "__hash", "__lost")
+        .withColumn("n_dropped", F.when(F.col(c_lost).isNull(), 0).otherwise(F.size(c_lost)).cast("bigint"))
+        .withColumn(text, F.coalesce(stays, F.lit("")))
+        .drop(c_text, c_doc, c_hash, c_lost)
     )
