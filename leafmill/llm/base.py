@@ -53,7 +53,7 @@ class Scratch:
             system, path = self._hadoop(home)
             system.mkdirs(path)
             system.deleteOnExit(path)
-        self.root = f"{home}/{label}-{uuid.uuid4().hex[:12]}"
+        self.root, self.tables = f"{home}/{label}-{uuid.uuid4().hex[:12]}", {}
 
     def _hadoop(self, name: str):
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
@@ -65,8 +65,19 @@ class Scratch:
         (writer.partitionBy(*by) if by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_sorted(self, df: DataFrame, name: str, key: str, *by: str) -> DataFrame:
+        """A table in buckets of ``key``, each one sorted file (one for each value of ``by``): joins of such tables by key need no shuffle."""
+        n, table_ = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"leafmill_{uuid.uuid4().hex}"
+        writer = df.repartition(n, key).sortWithinPartitions(*by, key).write.format("parquet").option("path", f"{self.root}/{name}").bucketBy(n, key).sortBy(key)
+        (writer.partitionBy(*by) if by else writer).saveAsTable(table_)
+        self.tables[name] = table_
+        return self.spark.table(table_)
+
     def drop(self, *names: str) -> None:
         """Deletes tables that nothing reads any more (all of them without names)."""
+        for name in names or tuple(self.tables):
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         for name in names or ("",):
             system, path = self._hadoop(f"{self.root}/{name}" if name else self.root)
             system.delete(path, True)

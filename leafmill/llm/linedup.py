@@ -1,7 +1,7 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Documents come in batches, largest ids first.  A batch's distinct keys are anti-joined with the runs
-written so far: fresh keys get this batch's largest document as their owner, seen keys only add to
+Documents come in batches, largest ids first.  A batch's distinct keys are merge-anti-joined with the runs
+written so far, bucket by bucket without a shuffle: fresh keys get this batch's largest document as their owner, seen keys only add to
 their count, and the batch's own rows become a new sorted run.  FANOUT runs of a level are merged
 into one of the next level, so a key is rewritten once a level.  When all batches are in, the merged
 index tells for each key its number of documents and its owner, and one more pass drops the lines.
@@ -13,7 +13,8 @@ lines joins on the key, where adaptive execution splits a hot key.
 
 Cases: a null or empty text is one empty line; a null id ranks below every id and such rows keep
 null as their id; rows that repeat an id are one document when documents are counted, and all rows of the largest
-id keep the line; an empty table gives an empty result; extra columns are ignored.
+id keep the line (ties: rows of the largest id all keep it); very long texts are split whole, and a text's cost is its lines, however many go; an empty table gives
+an empty result; extra columns are kept, and those named n_lines and n_dropped are replaced.
 """
 
 from __future__ import annotations
@@ -44,14 +45,18 @@ def key_of(line: Column) -> Column:
 
 
 def _merge(runs: list[DataFrame]) -> DataFrame:
+    """One run of several: an outer merge join of their buckets (greatest() and coalesce() pass over nulls)."""
     out = runs[0]
     for run in runs[1:]:
-        out = out.unionByName(run)
-    return out.groupBy("key").agg(F.sum("n").alias("n"), F.max("owner").alias("owner"))
+        other = run.select("key", F.col("n").alias("n2"), F.col("owner").alias("owner2"))
+        n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+        out = out.join(other, "key", "full").select("key", n.alias("n"), F.greatest("owner", "owner2").alias("owner"))
+    return out
 
 
 class LineIndex:
-    """Levelled runs of (key, n, owner), each sorted by key within its files."""
+    """Levelled runs of (key, n, owner), one row a key, each in sorted buckets of the key: a batch meets a run by merging
+    their buckets where they lie."""
 
     def __init__(self, scratch: Scratch, fanout: int = FANOUT):
         self.scratch, self.fanout, self.levels, self.made = scratch, fanout, [], 0
@@ -62,20 +67,15 @@ class LineIndex:
     def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
         self.made += 1
         name = f"run{self.made}"
-        return name, self.scratch.keep(df.sortWithinPartitions("key"), name)
+        return name, self.scratch.keep_sorted(df, name, "key")
 
     def add(self, batch: DataFrame) -> None:
-        """batch: (key, n, owner), one row a key."""
-        run = batch
-        if known := self.runs():
-            seen = known[0].select("key")
-            for other in known[1:]:
-                seen = seen.union(other.select("key"))
-            seen = seen.distinct() if len(known) > 1 else seen
-            fresh = batch.join(seen, "key", "left_anti")
-            again = batch.join(seen, "key", "left_semi").withColumn("owner", F.lit(None).cast(batch.schema["owner"].dataType))
-            run = fresh.unionByName(again)
-        self._put(0, self._write(run))
+        """batch: (key, n, owner), one row a key, in buckets like the runs.  Keys that a run has already keep no owner of their own."""
+        run, known = batch, F.lit(False)
+        for i, other in enumerate(self.runs()):
+            run = run.join(other.select("key", F.lit(True).alias(f"seen{i}")), "key", "left")
+            known = known | F.coalesce(f"seen{i}", F.lit(False))
+        self._put(0, self._write(run.select("key", "n", F.when(~known, F.col("owner")).alias("owner"))))
 
     def _put(self, level: int, run: tuple[str, DataFrame]) -> None:
         while len(self.levels) <= level:
@@ -109,7 +109,7 @@ def drop_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", batches
     parsed = docs.select(F.col(key).alias("doc"), hashed.alias("hash"), _batched(docs, key, batches).alias("batch"), F.posexplode(F.transform(lines(F.col(text)), key_of)).alias("pos", "key"))
     parsed = scratch.keep(parsed.where(F.col("key").isNotNull()), "parsed")
     held = parsed.select("batch", "key", "doc").distinct().groupBy("batch", "key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("owner"))
-    deltas = scratch.keep(held, "deltas", "batch")
+    deltas = scratch.keep_sorted(held, "deltas", "key", "batch")
     index = LineIndex(scratch)
     for b in range(batches):
         index.add(deltas.where(F.col("batch") == b).drop("batch"))
