@@ -6,15 +6,18 @@ the order in which they fill up.  Within a source every document has target / si
 copies: the whole part is certain, the rest is an inclusion probability p.  Documents are ranked by
 their random odds (u / (1 - u), u a hash of the id and the text) divided by the inclusion odds
 p / (1 - p), and the first ones are taken until the source's words are reached.  With ``importance``
-the probabilities of a source's documents may differ.
+a document's copies are in proportion to it, none above CEILING, and what a full document can't take goes to the others of its source.
 
 No source is sorted in one task: ranks are cut into BINS by value, small sums by (source, bin) find
 the bin in which the target is met, and only that bin is ranked row by row.  What a document that
-doesn't fit leaves open is filled in further passes from the rest of the order.
+doesn't fit leaves open is filled in further passes from the rest of the order; after PASSES of them a source may miss its target by
+less than the smallest document that was left, or by a few words.
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last;
 repeated rows are separate documents that rank alike but for a row number; a source without words has
-target 0; an empty table gives an empty result; extra columns are ignored.
+target 0; ties of rank go by id and row number; an importance that is null or negative is 0 and such rows are never taken; very
+long texts are counted whole, and one longer than what its source has open is passed over; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CEILING = 1.5, 2.0
 BINS = 4096
 PASSES = 4
+#: Rounds in which the excess of full documents is shared again, at most.
+ROUNDS = 60
 SEED = 4
 
 
@@ -52,22 +57,43 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     )
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", importance: str | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
+def _reshared(sized: DataFrame, goal: DataFrame, scratch: Scratch) -> DataFrame:
+    """goal with the rate at which copies, none above CEILING, sum to a source's target: what a document can't take is shared
+    among the others by importance.  A rate only grows from round to round and stands when no further document is full."""
+    full = -1
+    for i in range(ROUNDS):
+        rows = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("importance") * F.col("rate") >= CEILING)
+        held = scratch.keep(rows.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.sum(F.col("size") * F.col("importance")).alias("of_mass")), f"full{i}")
+        now = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if now == full or not now:
+            break
+        full = now
+        left = F.col("mass") - F.col("of_mass")
+        rate = F.when(F.col("s").isNull() & F.col("n").isNull() | (left <= F.col("mass") * 1e-12), F.col("rate")).otherwise((F.col("target") - CEILING * F.col("words")) / left)
+        goal = scratch.keep(goal.join(held, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("rate", F.greatest("rate", rate)).drop("s", "n", "words", "of_mass"), f"goal{i}")
+    return goal
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", importance: Column | str | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
     """(row, doc_id, source, digest, size, source_size, target, copies) for each row of docs; row numbers them, digest is a hash of the text."""
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))), 11).cast("double") + 0.5) / float(1 << 53)
+    weight = F.greatest(F.coalesce((F.col(importance) if isinstance(importance, str) else importance).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance is not None else F.lit(1.0)
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("digest"), words(F.col(text)).alias("size"), uniform.alias("u"), (F.col(importance).cast("double") if importance else F.lit(1.0)).alias("importance")
+        F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("digest"), words(F.col(text)).alias("size"), uniform.alias("u"), weight.alias("importance")
     )
     sized = scratch.keep(sized, "sized")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("mass"))
-    goal = scratch.keep(targets(by_source.select("source", "source_size")).join(by_source.select(F.col("source").alias("s"), "mass"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "goal")
+    goal = targets(by_source.select("source", "source_size")).join(by_source.select(F.col("source").alias("s"), "mass"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # the rate is the number of copies for an importance of 1
+    goal = scratch.keep(goal.withColumn("rate", F.when(F.col("mass") > 0, F.col("target") / F.col("mass")).otherwise(0.0)), "goal")
+    if importance is not None:
+        goal = _reshared(sized, goal, scratch)
 
-    ratio = F.when(F.col("mass") > 0, F.col("target") * F.col("importance") / F.col("mass")).otherwise(0.0)
     spread = (
         sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
-        .withColumn("ratio", F.least(ratio, F.lit(CEILING)))
+        .withColumn("ratio", F.least(F.col("rate") * F.col("importance"), F.lit(CEILING)))
         .withColumn("whole", F.floor(F.col("ratio") + 1e-9))
         .withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
     )

@@ -26,7 +26,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    # the more words, the likelier a document is taken, up to twice as likely
+    size = mixing.words(F.col("text"))
+    return mixing.mix(docs, importance=1 + size / (size + 500)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,55 @@ def test_mixing(docs):
     assert mixing.repeated(docs, mixing.mix(docs)).columns == docs.columns
 
 
+@pytest.mark.parametrize("unequal", [False, True])
+def test_mixing_selection(spark, unequal):
+    """The documents taken are those that Pareto ranks and reshared rates give by themselves."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows = [(i, " ".join(["w"] * r.choice([1, 3, 10, 40, 200])) + f" {i}", r.choice("aaaabc"), r.choice([0.1, 1.0, 1.0, 5.0, 40.0])) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    got = {x.doc_id: x for x in mixing.mix(docs, importance="weight" if unequal else None).collect()}
+    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", F.md5("text")), 11).cast("double") + 0.5) / float(1 << 53)
+    chance = {x.doc_id: x.u for x in docs.select("doc_id", uniform.alias("u")).collect()}
+    for source in "abc":
+        mine = [(i, len(t.split()), w if unequal else 1.0) for i, t, s, w in rows if s == source]
+        target, full = got[mine[0][0]].target, set()
+        while True:
+            free = [x for x in mine if x[0] not in full]
+            rate = (target - 2 * sum(n for i, n, _ in mine if i in full)) / max(1e-300, sum(n * w for _, n, w in free))
+            more = {i for i, _, w in free if rate * w >= 2}
+            if not more:
+                break
+            full |= more
+        order, copies = [], {}
+        for i, n, w in mine:
+            ratio = 2.0 if i in full else min(2.0, rate * w)
+            copies[i] = int(ratio + 1e-9)
+            p, u = max(0.0, ratio - copies[i]), chance[i]
+            if p > 0:
+                order.append((u * (1 - p) / (u * (1 - p) + (1 - u) * p), i, n))
+        need, order = target - sum(copies[i] * n for i, n, _ in mine), sorted(order)
+        for _ in range(mixing.PASSES):
+            total, rest = 0, []
+            for k, (_, i, n) in enumerate(order):
+                total += n
+                if total > need:
+                    total -= n
+                    rest = order[k:]
+                    break
+                copies[i] += 1
+            need -= total
+            if need < 1:
+                break
+            order = [x for x in rest if x[2] <= need]
+        assert {i: got[i].copies for i in copies} == copies
+        assert 0 <= target - sum(got[i].copies * n for i, n, _ in mine) <= 5 and max(copies.values()) <= 2
+    if unequal:
+        of = lambda w: sum(got[i].copies for i, _, s, x in rows if s == "a" and x == w) / sum(1 for _, _, s, x in rows if s == "a" and x == w)
+        assert of(0.1) < of(1.0) < of(5.0) <= 2
+
+
 def test_language(docs, spark):
     r = random.Random(1)
     say = {"en": "the and of with that", "de": "der und mit nicht eine", "fr": "le les avec être à"}
