@@ -2,16 +2,20 @@
 
 Each vector is a sum of one word from each of BOOKS full-dimensional codebooks, trained as
 residual k-means on a bounded sample.  Encoding is a beam search over the books; the norm of the
-approximation is stored with the codes.  A query makes a table of its products with all words, so that
-a candidate's score is a sum of BOOKS look-ups.  The best of each block are measured exactly, and so is every other
-candidate that, by the stored error of its approximation, may be as near as the k-th found so far; so dense groups and ties are right.
+approximation and its distance to the vector are stored with the codes.  A query makes a table of its products with all words, so
+that a candidate's score is a sum of BOOKS look-ups.  The best RERANK of each block are measured exactly, and then every other
+candidate that may be as near as the k-th found so far: a vector at distance r whose approximation is off by e has its
+approximation at about sqrt(r^2 + e^2), give or take 2re / sqrt(d) for d dimensions in which errors spread, and SIGMAS such
+deviations are allowed for.  No number of candidates is fixed, so ties and dense groups, whose approximations fall together, are measured
+whole; what can be missed is a neighbour whose error points straight away from the query.  Recall is measured in tests.
 
 Equal vectors are one candidate with its first ids: of a hot group of copies no more than k besides the query can be returned.
 
-Queries are the stated set, taken in blocks of bounded size against all candidates.  Cases: vectors
+Queries are the stated set, taken in blocks of QUERY_BYTES against all candidates.  Cases: vectors
 that are null, zero, of another dimension than most, or hold null or non-finite components take no
-part; with fewer candidates than k all are returned; ties go to the smaller vec_id; an empty table
-gives an empty result; extra columns are ignored.
+part, nor do rows without an id; with fewer candidates than k all are returned; ties go to the smaller vec_id; rows that repeat an id are
+queries and candidates of their own, each query row with its own list, and only the query's own row is no candidate; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ BOOKS, WORDS = 12, 256
 SAMPLE_ROWS = 12_000
 ROUNDS = 6
 BEAM = 4
-#: Candidates of each block of BLOCK that are measured exactly for a query before the others are judged by their bounds.
-RERANK, BLOCK = 256, 4096
-#: Queries that are held at once.
-QUERY_BLOCK = 2048
+#: Candidates of each block of BLOCK that are measured exactly for a query before the others are judged by their scores.
+RERANK, BLOCK = 32, 4096
+#: Deviations of a score that are allowed for.
+SIGMAS = 2.0
+#: Bytes of the queries' vectors that are sent to all tasks at once: that many queries cost one scan of the index.
+QUERY_BYTES = 32 << 20
 
 
 def train(x: np.ndarray, seed: int = 3) -> np.ndarray:
@@ -81,21 +87,29 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
 
 
 def distinct(vectors: DataFrame, k: int) -> DataFrame:
-    """(vec_id, vector, ids): each distinct vector with its k + 1 smallest ids in order, a repeated id up to k times."""
+    """(vec_id, vector, ids): each distinct vector with its k + 1 smallest ids in order, a repeated id up to k + 1 times."""
     text = F.array_join(F.transform("vector", lambda x: x.cast("string")), ",")
     marked = vectors.withColumns({"hash": F.xxhash64("vector"), "hash2": F.md5(text)})
     each = marked.groupBy("hash", "hash2", "vec_id").agg(F.count(F.lit(1)).alias("n"), F.any_value("vector").alias("vector"))
     each = each.withColumn("place", F.row_number().over(Window.partitionBy("hash", "hash2").orderBy("vec_id"))).where(F.col("place") <= k + 1)
     found = each.groupBy("hash", "hash2").agg(
-        F.min("vec_id").alias("vec_id"), F.any_value("vector").alias("vector"), F.array_sort(F.flatten(F.collect_list(F.array_repeat("vec_id", F.least("n", F.lit(k)).cast("int"))))).alias("ids")
+        F.min("vec_id").alias("vec_id"), F.any_value("vector").alias("vector"), F.array_sort(F.flatten(F.collect_list(F.array_repeat("vec_id", F.least("n", F.lit(k + 1)).cast("int"))))).alias("ids")
     )
     return found.select("vec_id", "vector", "ids")
 
 
-def index(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """(vec_id, vector, ids, codes, norm, error) of all distinct vectors, error the distance to the approximation, and the codebooks."""
-    sample = bounded(vectors, SAMPLE_ROWS, "vec_id").select("vector").toPandas()
-    books = train(np.array(sample["vector"].tolist())) if len(sample) else np.zeros((BOOKS, WORDS, 1), np.float32)
+def spread_of(x: np.ndarray, books: np.ndarray) -> float:
+    """In how many dimensions the errors of the approximations spread."""
+    codes, _ = encode(x, books)
+    left = x - sum(words[codes[:, m]].astype(np.float64) for m, words in enumerate(books))
+    cov = left.T @ left
+    return float(max(1.0, np.trace(cov) ** 2 / max((cov**2).sum(), 1e-300)))
+
+
+def index(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray, float]:
+    """(vec_id, vector, ids, codes, norm, error) of all distinct vectors, error the distance to the approximation; the codebooks; the spread of errors."""
+    sample = np.array(bounded(vectors, SAMPLE_ROWS, "vec_id").select("vector").toPandas()["vector"].tolist())
+    books = train(sample) if len(sample) else np.zeros((BOOKS, WORDS, 1), np.float32)
     sent = vectors.sparkSession.sparkContext.broadcast(books)
 
     def run(batches):
@@ -111,76 +125,85 @@ def index(vectors: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, np.n
                 )
 
     kind = "vec_id bigint, vector array<double>, ids array<bigint>, codes binary, norm float, error double"
-    return scratch.keep(distinct(vectors, k).mapInArrow(run, kind), "index"), books
+    return scratch.keep(distinct(vectors, k).mapInArrow(run, kind), "index"), books, spread_of(sample[:4000], books) if len(sample) else 1.0
+
+
+def _scan(sent, k: int, rerank: int):
+    """The task that holds a block of queries against all candidates it reads; also counts what it measures."""
+
+    def scan(batches):
+        first, ids, q, words, spread = sent.value
+        # what each query has found so far in this task
+        best_d, best_v = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        square, measured, met = (q**2).sum(axis=1), np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+
+        def measure(i, some, x, v, starts, ends):
+            measured[i] += len(some)
+            d = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
+            some, d = some[near_enough := d <= best_d[i, -1]], d[near_enough]
+            held = ends[some] - starts[some]
+            at = np.repeat(starts[some] - np.cumsum(held) + held, held) + np.arange(held.sum())
+            w, d = v[at], np.repeat(d, held)
+            own = [] if met[i] else np.flatnonzero((w == ids[i]) & (d == 0))[:1]
+            met[i] |= len(own) > 0
+            d, w = np.concatenate([best_d[i], np.delete(d, own)]), np.concatenate([best_v[i], np.delete(w, own)])
+            order = np.lexsort((w, d))[:k]
+            best_d[i], best_v[i] = d[order], w[order]
 
-
-def search(indexed: DataFrame, books: np.ndarray, queries: DataFrame, k: int, scratch: Scratch, rerank: int = RERANK) -> DataFrame:
-    """The k nearest found of each query: (query_id, rank, vec_id, score)."""
+        for batch in lean(batches):
+            all_x, lists = matrix(batch.column(1)), batch.column(2)
+            v, all_offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+            all_codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(all_x), -1)
+            all_norms, all_errors = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+            for lo in range(0, len(all_x), BLOCK):
+                x, codes, norms, errors, starts, ends = (y[lo : lo + BLOCK] for y in (all_x, all_codes, all_norms, all_errors, all_offsets[:-1], all_offsets[1:]))
+                r = min(rerank, len(x))
+                for s in range(0, len(q), 64):
+                    table = np.einsum("qd,mkd->mqk", q[s : s + 64].astype(np.float32), words)
+                    far = norms[None, :].repeat(table.shape[1], axis=0)
+                    for m in range(len(words)):
+                        far -= 2 * table[m][:, codes[:, m]]
+                    near = np.argpartition(far, r - 1, axis=1)[:, :r]
+                    for i, some in enumerate(near, s):
+                        measure(i, some, x, v, starts, ends)
+                        # what is not surely farther (a score that can't be compared, too) is measured
+                        best = best_d[i, -1]
+                        apart = far[i - s] + square[i] - errors**2
+                        with np.errstate(invalid="ignore"):  # nothing found yet
+                            left = ~(apart > best * best + SIGMAS * 2 * errors * best / np.sqrt(spread) + 1e-4 * (square[i] + norms))
+                        left[some] = False
+                        if left.any():
+                            measure(i, np.flatnonzero(left), x, v, starts, ends)
+        ok = np.isfinite(best_d)
+        each = [np.repeat(x, k).reshape(-1, k)[ok] for x in (first + np.arange(len(q)), ids, measured)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (each[0], each[1], best_v[ok], best_d[ok], each[2])], ["row", "query_id", "vec_id", "score", "measured"])
+
+    return scan
+
+
+def search(indexed: DataFrame, books: np.ndarray, spread: float, queries: DataFrame, k: int, scratch: Scratch, rerank: int = RERANK) -> DataFrame:
+    """The k nearest found of each query: (query_id, rank, vec_id, score, measured); measured counts the candidates that were
+    measured exactly in the task that found a neighbour."""
     spark = indexed.sparkSession
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_blocks = max(1, -(-queries.count() * books.shape[2] * 8 // QUERY_BYTES))
     blocks = scratch.keep(queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))), "queries") if n_blocks > 1 else queries.withColumn("block", F.lit(0))
     found = None
     for b in range(n_blocks):
         block = blocks.where(F.col("block") == b).select("vec_id", "vector").toPandas()
         if not len(block):
             continue
-        sent = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), np.array(block["vector"].tolist()), books))
-
-        def scan(batches, sent=sent):
-            ids, q, words = sent.value
-            # the table of products, and what each query has found so far in this task
-            table = np.einsum("qd,mkd->mqk", q.astype(np.float32), words)
-            best_d, best_v = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
-            # lengths and a share that bound the rounding of a score
-            reach, length = np.sqrt((words.astype(np.float64) ** 2).sum(axis=2)).max(axis=1).sum(), np.sqrt((q**2).sum(axis=1))
-            share = np.finfo(np.float32).eps * (q.shape[1] + len(words))
-
-            def measure(i, some, x, v, starts, ends):
-                d = np.sqrt(((x[some] - q[i]) ** 2).sum(axis=1))
-                some, d = some[near_enough := d <= best_d[i, -1]], d[near_enough]
-                held = ends[some] - starts[some]
-                at = np.repeat(starts[some] - np.cumsum(held) + held, held) + np.arange(held.sum())
-                w, d = v[at], np.repeat(d, held)
-                d, w = np.concatenate([best_d[i], d[w != ids[i]]]), np.concatenate([best_v[i], w[w != ids[i]]])
-                order = np.lexsort((w, d))[:k]
-                best_d[i], best_v[i] = d[order], w[order]
-
-            for batch in lean(batches):
-                all_x, lists = matrix(batch.column(1)), batch.column(2)
-                v, all_offsets = np.asarray(lists.values), np.asarray(lists.offsets)
-                all_codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(all_x), -1)
-                all_norms, all_errors = np.asarray(batch.column(4)), np.asarray(batch.column(5))
-                for lo in range(0, len(all_x), BLOCK):
-                    x, codes, norms, errors, starts, ends = (y[lo : lo + BLOCK] for y in (all_x, all_codes, all_norms, all_errors, all_offsets[:-1], all_offsets[1:]))
-                    r = min(rerank, len(x))
-                    for s in range(0, len(q), 64):
-                        far = norms[None, :].repeat(min(64, len(q) - s), axis=0)
-                        for m in range(len(words)):
-                            far -= 2 * table[m, s : s + 64][:, codes[:, m]]
-                        near = np.argpartition(far, r - 1, axis=1)[:, :r]
-                        for i, some in enumerate(near, s):
-                            measure(i, some, x, v, starts, ends)
-                            # not (beyond the bound): what can't be compared is measured too
-                            square = far[i - s] + length[i] ** 2
-                            slack = share * (2 * length[i] * reach + norms + length[i] ** 2)
-                            left = ~(np.sqrt(np.maximum(square - slack, 0)) > (best_d[i, -1] + errors) * (1 + 1e-9))
-                            left[some] = False
-                            if left.any():
-                                measure(i, np.flatnonzero(left), x, v, starts, ends)
-            ok = np.isfinite(best_d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[ok]), pa.array(best_v[ok]), pa.array(best_d[ok])], ["query_id", "vec_id", "score"])
-
-        part = indexed.mapInArrow(scan, "query_id bigint, vec_id bigint, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        top = part.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        sent = spark.sparkContext.broadcast((b << 32, block["vec_id"].to_numpy(), np.array(block["vector"].tolist()), books, spread))
+        part = indexed.mapInArrow(_scan(sent, k, rerank), "row bigint, query_id bigint, vec_id bigint, score double, measured bigint")
+        rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
+        top = part.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "measured")
         top = scratch.keep(top, f"found{b}") if n_blocks > 1 else top
         found = top if found is None else found.unionByName(top)
-    return found if found is not None else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return found if found is not None else spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, measured bigint")
 
 
 def nearest(df: DataFrame, every: int, k: int, vector: str = "embedding", key: str = "vec_id", scratch: Scratch | None = None) -> DataFrame:
     """Queries are the rows whose id is divisible by ``every``, candidates all other rows."""
     scratch = scratch or Scratch(df.sparkSession, "ann")
     vectors = sound(df, vector, key).repartition("vec_id")
-    indexed, books = index(vectors, k, scratch)
-    return search(indexed, books, vectors.where(F.col("vec_id") % every == 0), k, scratch)
+    indexed, books, spread = index(vectors, k, scratch)
+    return search(indexed, books, spread, vectors.where(F.col("vec_id") % every == 0), k, scratch)

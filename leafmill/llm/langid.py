@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded, lean, slices
+from .base import bounded, lean, slices, unused
 
 #: Fit on about so many labelled rows at most, of all languages together.
 SAMPLE_ROWS = 20_000
@@ -114,9 +114,10 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string, score double"])
     # the text crosses to Python once, also where it is to be kept
-    read = text if text in keep else "__text"
+    own_text, letter_name = unused(docs, "__text", "__letter")
+    read = text if text in keep else own_text
     sources = [F.col(k) for k in keep] + ([] if text in keep else [F.col(text).alias(read)])
-    ready = docs.select(*sources, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    ready = docs.select(*sources, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias(letter_name))
 
     def score(batches):
         m = sent.value
@@ -124,7 +125,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
         for batch in lean(batches):
             n = batch.num_rows
             name, best = np.full(n, UNKNOWN, object), np.zeros(n)
-            letter = batch.column(batch.schema.get_field_index("__letter")).to_numpy(zero_copy_only=False).astype(bool)
+            letter = batch.column(batch.schema.get_field_index(letter_name)).to_numpy(zero_copy_only=False).astype(bool)
             if m["langs"]:
                 for start, texts in slices(batch.column(batch.schema.get_field_index(read)).to_pylist()):
                     buckets, starts, counts = grams(texts)

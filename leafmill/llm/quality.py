@@ -2,12 +2,13 @@
 
 Statistics of each whole text (lengths, shares of character classes, repetition, compressibility)
 are standardised and mapped to random cosines that approximate a Gaussian kernel.  Each partition
-sums its own normal equations; the sums give the ridge weights, and pooling adjacent violators over
-the training scores makes the result a probability.  Labels may be a bounded sample.
+sums its own normal equations, by FOLDS; the sums give the ridge weights, and those without a fold score that fold, so that pooling
+adjacent violators over scores of texts that a ridge hasn't seen makes the result a probability.  Labels may be a bounded sample.
 
 Cases: null and empty texts have the statistics of '' and are scored like any other; rows with a
-null label train nothing; without labels every score is 0.5; ties and repeated rows score alike;
-extra columns are ignored.
+null label or a null id train nothing; a document with several labels has their mean, and rows that repeat an id train once each with it;
+without labels (an empty table, too) every score is 0.5; an empty table to score gives an empty result; ties and repeated rows score
+alike, null ids stay null; very long texts are measured whole; extra columns are ignored, and only those in ``keep`` are returned.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, bounded, lean, slices
+from .base import Scratch, bounded, lean, slices, unused
 
 #: Fit on about so many labelled rows at most.
 SAMPLE_ROWS = 20_000
@@ -27,6 +28,7 @@ FEATURES = 320
 WIDTH = 4.0
 RIDGE = 1e-3
 N_STATS = 19
+FOLDS = 4
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -82,24 +84,25 @@ def _pool(score: np.ndarray, label: np.ndarray, smooth: float = 2.0) -> tuple[np
     return np.array(at), np.maximum.accumulate(np.array(level))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", rows: int = SAMPLE_ROWS) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """The texts of about ``rows`` labelled documents at most; the labels are cut down before the texts are met."""
-    few = bounded(labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).dropDuplicates([key]), rows, key)
-    return docs.join(F.broadcast(few), key)
+    mean = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.avg("quality").alias("quality"))
+    few = bounded(mean, rows, "__id")
+    return docs.select(key, text).join(F.broadcast(few), F.col(key) == F.col("__id")).drop("__id")
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> dict:
     """The model, from rows that have a text and a 0/1 label."""
     spark = labelled.sparkSession
-    known = bounded(labelled.where(F.col(label).isNotNull()), rows, key).select(F.col(text).alias("text"), F.col(label).cast("double").alias("y"))
+    known = bounded(labelled.where(F.col(label).isNotNull()), rows, key).select(F.col(text).alias("text"), F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def measure(batches):
         for batch in lean(batches):
             stats = np.vstack([np.zeros((0, N_STATS)), *(statistics(t) for _, t in slices(batch.column(0).to_pylist()))])
-            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), N_STATS).cast(pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), N_STATS).cast(pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "fold"])
 
     scratch = Scratch(spark, "quality")
-    seen = scratch.keep(known.mapInArrow(measure, "x array<double>, y double"), "statistics")
+    seen = scratch.keep(known.mapInArrow(measure, "x array<double>, y double, fold int"), "statistics")
     rng = np.random.default_rng(9)
     model = {"omega": rng.normal(size=(N_STATS, FEATURES)) / WIDTH, "phase": rng.uniform(0, 2 * np.pi, FEATURES), "weights": None}
     head = seen.agg(F.count("y").alias("n"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(N_STATS)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(N_STATS))).first()
@@ -111,22 +114,29 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     sent = spark.sparkContext.broadcast(model)
 
     def normal(batches):
-        total = 0
+        total: dict[int, np.ndarray] = {}
         for batch in lean(batches):
-            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, N_STATS)
-            if len(x):
-                a = np.hstack([_cosines(x, sent.value), np.asarray(batch.column(1))[:, None]])
-                total = total + a.T @ a
-        if not np.isscalar(total):
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-    sums = sum(np.frombuffer(r["sums"]) for r in seen.coalesce(16).mapInArrow(normal, "sums binary").collect())
+            x, fold = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, N_STATS), np.asarray(batch.column(2))
+            for f in np.unique(fold).tolist():
+                a = np.hstack([_cosines(x[fold == f], sent.value), np.asarray(batch.column(1))[fold == f][:, None]])
+                total[f] = total.get(f, 0) + a.T @ a
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["fold", "sums"])
+
     side = FEATURES + N_STATS + 2
-    sums = sums.reshape(side, side)
-    a, b = sums[:-1, :-1], sums[:-1, -1]
-    model["weights"] = np.linalg.solve(a + RIDGE * len(a) * np.eye(len(a)), b)
+    folds = np.zeros((FOLDS, side, side))
+    for r in seen.coalesce(16).mapInArrow(normal, "fold int, sums binary").orderBy("fold", "sums").collect():
+        folds[r["fold"]] += np.frombuffer(r["sums"]).reshape(side, side)
+
+    def ridge(sums: np.ndarray) -> np.ndarray:
+        a, b = sums[:-1, :-1], sums[:-1, -1]
+        return np.linalg.solve(a + RIDGE * len(a) * np.eye(len(a)), b)
+
+    total = folds.sum(axis=0)
+    model["weights"] = ridge(total)
     pairs = seen.toPandas()  # bounded by the sample
-    raw = _cosines(np.array(pairs["x"].tolist()), model) @ model["weights"]
+    x, fold, raw = _cosines(np.array(pairs["x"].tolist()), model), pairs["fold"].to_numpy(), np.zeros(len(pairs))
+    for f in range(FOLDS):
+        raw[fold == f] = x[fold == f] @ ridge(total - folds[f])
     model["at"], model["level"] = _pool(np.round(raw, 6), pairs["y"].to_numpy())
     scratch.drop()
     return model
@@ -149,4 +159,5 @@ def score(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...
             cols = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.clip(np.concatenate(found), 0, 1))], [*keep, "score"])
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    (read,) = unused(docs, "__text")
+    return docs.select(*keep, F.col(text).alias(read)).mapInArrow(run, schema)

@@ -37,6 +37,8 @@ _BASE = np.uint64(0xA0761D6478BD642F)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _NONE = (1 << 63) - 1
+#: Low bits of a hash that give way to its place, the same for all slices, so that equal strings choose alike.
+PLACE_BITS = 28
 WHOLE = -1
 
 
@@ -63,7 +65,7 @@ class Parse:
         up, down = _upto(n + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[self.buf] * up[:n])])
         gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-        bits = np.uint64(max(1, n.bit_length()))
+        bits = np.uint64(max(PLACE_BITS, n.bit_length()))
         low = (gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64)  # ties: the leftmost
         span = 1
         while span * 2 <= _REACH:

@@ -23,4 +23,4 @@ def matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     n = len(column)
-    return np.asarray(column.flatten()).reshape(n, -1) if n else np.zeros((0, 0))
+    return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.zeros((0, 0))

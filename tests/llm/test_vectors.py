@@ -137,3 +137,34 @@ def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(edges, Scratch(spark, "test")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in (100, 101, 102)) and len(got) == 43
+
+
+def test_repeated_ids(spark):
+    rows = [(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [1.0, 0.01], 0), (7, None, 0), (6, None, 0), (8, [0.0, 1.0], 0), (None, [1.0, 0.0], 0)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], KIND + ", rep int, hash string")
+    got = sorted((r.vec_id is None, r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup_vectors.near_duplicates(df).collect())
+    assert got == [(False, 5, 1, 5, True), (False, 5, 1, 5, True), (False, 6, 0, 6, True), (False, 6, 1, 5, False), (False, 7, 0, 7, True), (False, 8, 1, 5, False), (True, None, 0, None, True)]
+    found = sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.nearest(df, 5, 2).collect())
+    assert found == [(5, 1, 6, 0.01), (5, 1, 8, 0.0), (5, 2, 5, round(2**0.5, 6)), (5, 2, 6, 1.40716)]
+
+
+def test_recall_and_share_measured(spark):
+    """20,000 vectors in loose clusters, none and dense ones: against brute force, by how many were measured."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(200, 64))
+    x = np.vstack([centres[rng.integers(200, size=12_000)] + 0.5 * rng.normal(size=(12_000, 64)), rng.normal(size=(6_000, 64)), centres[0] + 0.001 * rng.normal(size=(2_000, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(8), 100, 10).collect()
+    found, measured = {}, {}
+    for r in got:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        measured[r.query_id] = max(measured.get(r.query_id, 0), r.measured)
+    right = {}
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        right[q] = len(found[q] & set(np.lexsort((np.arange(len(x)), d))[:10].tolist())) / 10
+    of = lambda lo, hi: float(np.mean([right[q] for q in range(lo, hi, 100)]))
+    share = float(np.median(list(measured.values()))) / len(x)
+    print("recall", of(0, 12_000), of(12_000, 18_000), of(18_000, 20_000), "median share measured in a task", share)
+    assert min(of(0, 12_000), of(12_000, 18_000), of(18_000, 20_000)) >= 0.9
