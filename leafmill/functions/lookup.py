@@ -48,6 +48,16 @@ def trigram_join(df: DataFrame, column: str, terms: list[str], above: float) ->
     return shared.where(s > above).select(column, "term", F.round(s, 6).alias("similarity"))
 
 
+def word_lookup(df: DataFrame, column: str, terms: list[str], above: float) -> DataFrame:
+    """(column, term, similarity) of rows and terms whose word similarity is above a bound (0 at least), met through a shared trigram."""
+    spark = df.sparkSession
+    # a list of literals, so its size is known
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in terms], "term string").select("term", F.explode(trigrams(F.col("term"))).alias("gram")))
+    met = df.select(column).distinct().select(column, F.explode(trigrams(F.col(column))).alias("gram")).join(wanted, "gram").select(column, "term").distinct()
+    measured = met.withColumn("similarity", word_similarity(F.col("term"), F.col(column)))
+    return measured.where(F.col("similarity") > above).withColumn("similarity", F.round("similarity", 6))
+
+
 def word_similarity(term: Column, text: Column) -> Column:
     """The greatest |Q and E| / |Q or E| over all runs E of the text's trigrams in order, Q the term's set.
     Only runs that start and end at trigrams of Q can be greatest."""

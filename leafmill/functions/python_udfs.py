@@ -67,37 +67,68 @@ def running_rows(df: DataFrame, page: str, centre: str, within: float, mean: boo
     return df.groupBy(page).applyInPandas(number, schema)
 
 
+class Titles:
+    """Titles in the order in which they were met, found again by likeness."""
+
+    def __init__(self, least: float = 0.85, shortest: int = 6):
+        self.least, self.shortest, self.met = least, shortest, {}
+
+    def find(self, heading: str) -> str | None:
+        """The first title that contains the heading or is like it, whatever the case."""
+        if len(heading) < self.shortest:
+            return None
+        low = heading.lower()
+        for title, (text, matcher) in self.met.items():
+            if low in text:
+                return title
+            matcher.set_seq1(low)
+            # two cheap bounds from above spare most of the comparisons
+            if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= self.least and matcher.ratio() >= self.least:
+                return title
+        return None
+
+    def add(self, title: str) -> None:
+        if title not in self.met:
+            text = title.lower()
+            self.met[title] = (text, difflib.SequenceMatcher(b=text))
+
+
+def _role(is_open: bool, known: bool, small: bool, has_subtitle: bool, sure: bool) -> str:
+    """What a heading is on its page."""
+    if known or not is_open:
+        return "title"
+    if small and not has_subtitle:
+        return "subtitle"
+    return "title" if sure else "noise"
+
+
 def page_titles(df: DataFrame, document: str, page: str, title: str, subtitle: str, confidence: str, size: str) -> DataFrame:
     """Entries for pages that a table of contents doesn't cover: (document, page, entry).
 
-    A large heading is a title, a small one under an open title its subtitle; a new title needs a confidence of 70; a
-    title that was seen before (contained, or alike by 0.85) is that one; pages without a heading continue."""
+    A page without a heading goes on with what is open.  A heading that is like a title met before is that title.  Any other opens a
+    title if none is open; under an open one, a heading smaller than 60 without a subtitle of its own is a subtitle, and one read
+    with a confidence below 70 is noise.  Subtitles of fewer than six letters count as none.  An entry is made where the
+    title changes, or where both the open and the new subtitle are there and differ."""
     kind = df.schema[document].dataType.simpleString()
 
-    def alike(a: str, b: str) -> float:
-        return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    def differ(old: str, new: str) -> bool:
+        return bool(old and new) and difflib.SequenceMatcher(None, new.lower(), old.lower()).ratio() < 0.8
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen: list[str] = []
-        open_title, open_sub, out = None, "", []
-        for r in pdf.sort_values(page).to_dict("records"):
-            head, sub = r[title], r[subtitle] or ""
-            if not head:
-                continue
-            known = next((s for s in seen if len(head) >= 6 and (head.lower() in s.lower() or alike(head, s) >= 0.85)), None)
-            if known is None and open_title is not None:
-                if r[size] < 60 and not sub:
-                    known, sub = open_title, head
-                elif r[confidence] < 70:
-                    continue
-            name = known or head
-            sub = sub if sum(c.isalpha() for c in sub) >= 6 else ""
-            if name == open_title and (not sub or not open_sub or alike(sub, open_sub) >= 0.8):
+        titles, shown, made = Titles(), (None, ""), []
+        headed = pdf[pdf[title].fillna("") != ""].sort_values(page)
+        for doc, number, heading, below, sure, height in zip(*(headed[c] for c in (document, page, title, subtitle, confidence, size))):
+            below = below or ""
+            known = titles.find(heading)
+            role = _role(shown[0] is not None, known is not None, height < 60, bool(below), sure >= 70)
+            if role == "noise":
                 continue
-            open_title, open_sub = name, sub
-            if name not in seen:
-                seen.append(name)
-            out.append((r[document], r[page], f"{name} › {sub}" if sub else name))
-        return pd.DataFrame(out, columns=["document", "page", "entry"])
+            name, under = (shown[0], heading) if role == "subtitle" else (known or heading, below)
+            under = under if sum(map(str.isalpha, under)) >= 6 else ""
+            if name != shown[0] or differ(shown[1], under):
+                shown = (name, under)
+                titles.add(name)
+                made.append((doc, number, " › ".join(filter(None, shown))))
+        return pd.DataFrame(made, columns=["document", "page", "entry"])
 
     return df.groupBy(document).applyInPandas(entries, f"document {kind}, page bigint, entry string")

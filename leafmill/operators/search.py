@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import dot, unit
 from .ranking import fuse, top_k
 
 #: Queries in one plan; their vectors are what is broadcast.
@@ -23,16 +23,28 @@ def applies(engines: Column, engine: str | None) -> Column:
 
 
 def dense(chunks: DataFrame, queries: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding", query: str = "query_id") -> DataFrame:
-    """Exact cosine top-k of each query: (query_id, item, score, rank)."""
-    pairs = small(queries.select(query, F.col(vector).alias("__q"))).crossJoin(chunks.select(item, vector))
-    scored = pairs.select(query, item, F.round(cosine(F.col("__q"), F.col(vector)), 9).alias("score"))
-    return top_k(scored, [query], [F.desc("score"), F.col(item)], k)
-
-
-def postings(docs: DataFrame, item: str = "doc_id", text: str = "text", pattern: str = "[a-z]+") -> DataFrame:
-    """(term, item, tf)."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))
-    return docs.select(item, F.explode(terms).alias("term")).groupBy("term", item).agg(F.count(F.lit(1)).alias("tf"))
+    """Exact cosine top-k of each query.  Both sides are normalised once; queries go out in blocks of MOST_QUERIES, each a
+    broadcast of bounded size against one scan of the chunks, and each block's lists are cut before they are put together."""
+    asked = queries.select(query, unit(F.col(vector)).alias("__q"))
+    units = chunks.select(item, unit(F.col(vector)).alias("__v"))
+    n = queries.count()
+    blocks = -(-n // MOST_QUERIES) or 1
+    lists = None
+    for b in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query), F.lit(2 * blocks)).between(2 * b, 2 * b + 1))
+        pairs = F.broadcast(mine).crossJoin(units)
+        part = top_k(pairs.select(query, item, F.round(dot(F.col("__q"), F.col("__v")), 9).alias("score")), [query], [F.desc("score"), F.col(item)], k)
+        lists = part if lists is None else lists.unionByName(part)
+    return lists
+
+
+def postings(docs: DataFrame, item: str = "doc_id", text: str = "text", pattern: str = "[a-z]+", terms: DataFrame | None = None) -> DataFrame:
+    """(term, item, tf); with ``terms`` only of the terms asked for, which are picked before anything is dealt out."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))
+    words = docs.select(item, F.explode(found).alias("term"))
+    if terms is not None:
+        words = words.join(small(terms.select("term").distinct()), "term", "left_semi")
+    return words.groupBy("term", item).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def query_terms(queries: DataFrame, query: str, text: str, first: int | None = None, longer_than: int = 2) -> DataFrame:
@@ -62,3 +74,44 @@ def hybrid(lists: list[DataFrame], k: int, query: str = "query_id", item: str =
         part = one.select(query, F.col(item), "rank", F.lit(i).alias("list"))
         rows = part if rows is None else rows.unionByName(part)
     return top_k(fuse(rows, query, item), [query], [F.desc("score"), F.col(item)], k)
+
+
+def hydrated(top: DataFrame, about: DataFrame, item: str) -> DataFrame:
+    """Ranked rows with the columns of their items (null where there is none): the items are cut to those ranked before they
+    meet, so what is dealt out of them grows with the lists alone."""
+    wanted = top.select(item).distinct()
+    return top.join(about.join(wanted, item, "left_semi"), item, "left")
+
+
+def clauses(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, branch, clause, negated, words) of a web search: words and "phrases" that must all hold, ``or`` between branches, a
+    minus before what must not hold.  A word that the tokeniser parts is a phrase; what has no word is left out."""
+
+    def add(acc: Column, token: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(token), F.lit("([a-z0-9]+)"), F.lit(1))
+        clause = F.struct(acc["branch"].alias("branch"), token.startswith("-").alias("negated"), words.alias("words"))
+        is_or = F.lower(token) == "or"
+        kept = F.when(is_or | (F.size(words) == 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(clause)))
+        return F.struct((acc["branch"] + is_or.cast("int")).alias("branch"), kept.alias("out"))
+
+    tokens = F.regexp_extract_all(F.col(text), F.lit(r'(-?"[^"]*"?|[^\s"]+)'), F.lit(1))
+    start = F.struct(F.lit(0).alias("branch"), F.array().cast("array<struct<branch:int,negated:boolean,words:array<string>>>").alias("out"))
+    parsed = queries.select(query, F.posexplode(F.aggregate(tokens, start, add)["out"]).alias("clause", "c"))
+    return parsed.select(query, "c.branch", "clause", "c.negated", "c.words")
+
+
+def web_matches(docs: DataFrame, queries: DataFrame, query: str = "query_id", asked: str = "text", item: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query, item) where a branch of the query holds.  Only the places of words asked for are dealt out; a phrase holds where
+    its words' places, each less its offset, agree."""
+    wanted = clauses(queries, query, asked)
+    parts = wanted.select(query, "branch", "clause", "negated", F.size("words").alias("need"), F.posexplode("words").alias("offset", "term"))
+    places = docs.select(item, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))).alias("place", "term"))
+    met = places.join(small(parts), "term").select(query, "branch", "clause", "negated", "need", item, "offset", (F.col("place") - F.col("offset")).alias("start"))
+    whole = met.groupBy(query, "branch", "clause", "negated", "need", item, "start").agg(F.count_distinct("offset").alias("have")).where("have = need")
+    held = whole.groupBy(query, "branch", item).agg(F.count_distinct(F.when(~F.col("negated"), F.col("clause"))).alias("have"), F.max("negated").alias("barred"))
+    need = wanted.groupBy(query, "branch").agg(F.count_if(~F.col("negated")).alias("need"))
+    some = held.join(small(need), [query, "branch"]).where((F.col("have") == F.col("need")) & (F.col("need") > 0) & ~F.col("barred")).select(query, item)
+    # a branch of exclusions alone holds for all other items
+    open_ = docs.select(item).distinct().crossJoin(small(need.where("need = 0").select(query, "branch")))
+    others = open_.join(held.where("barred").select(query, "branch", item), [query, "branch", item], "left_anti").select(query, item)
+    return some.unionByName(others).distinct()

@@ -16,8 +16,9 @@ def before(value: Column, by: list[str], order: list, inclusive: bool = False) -
 
 
 def after(value: Column, by: list[str], order: list) -> Column:
-    """The first non-null value after this row."""
-    return F.first(value, ignorenulls=True).over(_line(by, order).rowsBetween(1, Window.unboundedFollowing))
+    """The first non-null value after this row: the last one before it in the opposite order, whose frame only grows."""
+    backwards = [(F.col(o) if isinstance(o, str) else o).desc() for o in order]
+    return F.last(value, ignorenulls=True).over(_line(by, backwards).rowsBetween(Window.unboundedPreceding, -1))
 
 
 def run_id(starts: Column, by: list[str], order: list) -> Column:
@@ -45,27 +46,43 @@ def ranges(starts: DataFrame, start: str, by: list[str] | None = None) -> DataFr
     return starts.withColumn("end", F.lead(start).over(w) - 1)
 
 
-#: Intervals that may be sent to every task.
+#: Intervals that may be sent to every task; stretches that many intervals are cut into.
 FEW_INTERVALS = 10_000
+STRETCHES = 256
 
 
 def assign(rows: DataFrame, at: str, intervals: DataFrame, start: str, payload: list[str], by: list[str] | None = None) -> DataFrame:
     """Each row with the payload of the greatest start not above it (null before the first).
 
-    Few intervals without a key are broadcast and met by range.  Else the union of both sides is carried forward
-    in one sort for each key, so that neither side is broadcast and no range join is made."""
+    Few intervals without a key are broadcast and met by range.  Else the union of both sides is carried forward in one sort
+    for each key; without a key, for each stretch between quantiles of the starts, with the last interval of the stretches before
+    it as what a stretch begins with.  So no range join is made and no task holds all rows."""
     by = by or []
     marks = intervals.select(*by, F.col(start).alias("__at"), F.struct(*payload).alias("__payload"))
-    if not by and marks.limit(FEW_INTERVALS + 1).count() <= FEW_INTERVALS:
+    columns = [*rows.columns, *(F.col("__payload")[p].alias(p) for p in payload)]
+    if by:
+        return _carried(rows.withColumn("__at", F.col(at)), marks, by).select(*columns)
+    if marks.limit(FEW_INTERVALS + 1).count() <= FEW_INTERVALS:
         spans = marks.withColumn("__next", F.lead("__at").over(Window.orderBy("__at")))
         inside = (F.col(at) >= F.col("__at")) & (F.col("__next").isNull() | (F.col(at) < F.col("__next")))
-        found = rows.join(F.broadcast(spans), inside, "left")
-    else:
-        tagged = rows.withColumn("__kind", F.lit(1)).withColumn("__at", F.col(at))
-        both = tagged.unionByName(marks.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
-        w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-        found = both.withColumn("__payload", F.last("__payload", ignorenulls=True).over(w)).where(F.col("__kind") == 1)
-    return found.select(*rows.columns, *(F.col("__payload")[p].alias(p) for p in payload))
+        return rows.join(F.broadcast(spans), inside, "left").select(*columns)
+    edges = sorted(set(marks.select(F.percentile_approx("__at", [i / STRETCHES for i in range(1, STRETCHES)])).first()[0]))
+    stretch = lambda x: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= x))
+    ends = marks.groupBy(stretch(F.col("__at")).alias("__stretch")).agg(F.max_by("__payload", "__at").alias("__last"))
+    # one row a stretch: the last interval of those before it
+    grid = rows.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("__stretch")).join(ends, "__stretch", "left")
+    first = grid.withColumn("__first", F.last("__last", ignorenulls=True).over(Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("__last")
+    placed = rows.withColumn("__at", F.col(at)).withColumn("__stretch", F.coalesce(stretch(F.col(at)), F.lit(0)))
+    found = _carried(placed, marks.withColumn("__stretch", stretch(F.col("__at"))), ["__stretch"]).join(F.broadcast(first), "__stretch", "left")
+    known = F.coalesce("__payload", F.when(F.col("__at").isNotNull(), F.col("__first")))
+    return found.withColumn("__payload", known).select(*columns)
+
+
+def _carried(rows: DataFrame, marks: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the __payload of the last mark up to their __at."""
+    both = rows.withColumn("__kind", F.lit(1)).unionByName(marks.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("__payload", F.last("__payload", ignorenulls=True).over(w)).where(F.col("__kind") == 1)
 
 
 def spread_cuts(df: DataFrame, by: list[str], order: list, cut: str) -> DataFrame:

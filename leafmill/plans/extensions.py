@@ -70,39 +70,35 @@ def embedded_texts(spark, sf_dir):
     return done.select("item_id", "embedding_model", F.size("embedding").alias("dims"))
 
 
-@query()
-def answered_questions(spark, sf_dir):
-    """Questions answered from their best document, and the answers checked."""
-    items = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
-    best = search.any_term(search.postings(docs), search.query_terms(items, "query_id", "text"), 1)
-    ctx = docs.join(best, "doc_id").select("query_id", F.col("text").alias("context"))
-    asked = items.join(ctx, "query_id").withColumn("prompt", F.concat_ws("\n", "context", "text"))
-    answered = external.chat(asked, "prompt", lambda p: p.rsplit("\n", 1)[-1])
-    return answered.select("query_id", F.size(X.unverified(X.plain(F.col("answer")), X.plain(F.col("context")), X.numbers(X.plain(F.col("context"))), [])).alias("n_unverified"))
-
-
-@query()
+@query("""WITH days AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL)
+SELECT day, event_type, n, total FROM days WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def streamed_windows(spark, sf_dir):
     """Extension: daily windows over events as a stream with a watermark, run until all that is there is read."""
     return _streamed(spark, sf_dir, E.tumbling, ["window.start AS day", "event_type", "n", "round(total, 6) AS total"])
 
 
-@query()
+@query("""WITH gaps AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 24 HOUR, true) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+numbered AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM gaps),
+ended AS (SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM numbered GROUP BY user_id, session)
+SELECT start, user_id, n FROM ended WHERE last + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def streamed_sessions(spark, sf_dir):
     """Extension: sessions of each user as a stream, the twin of the batch gap clusters."""
     return _streamed(spark, sf_dir, E.sessions, ["session_window.start AS start", "user_id", "n"])
 
 
 def _streamed(spark, sf_dir, operator, columns: list[str]):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='leafmill-stream-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='leafmill-stream-')}"
     root = f"{base}/stream-{uuid.uuid4().hex[:8]}"
     t(spark, sf_dir, "events").write.parquet(f"{root}/in")
     E.run_once(operator(E.read(spark, f"{root}/in", t(spark, sf_dir, "events"))), f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").selectExpr(*columns)
 
 
-@query()
+@query("SELECT word, stem FROM (VALUES ('bolts', 'bolt'), ('removal', 'remov'), ('tightening', 'tighten'), ('running', 'run'), ('generously', 'generous'), ('flies', 'fli')) t(word, stem)")
 def stem_table(spark, sf_dir):
     """L1: stems of a few words."""
     return literal(spark, [(w, stem(w)) for w in ("bolts", "removal", "tightening", "running", "generously", "flies")], "word string, stem string")

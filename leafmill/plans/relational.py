@@ -63,30 +63,33 @@ def trigram_similarity(spark, sf_dir):
     return L.trigram_join(names, "p_name", ["hot bolt", "large rod", "small copper"], 0.2).select("p_name", "term", "similarity")
 
 
+#: All runs of a name's trigrams in order, against each term's set: (p_name, term, s), s the best.
+_EXTENTS = f"""
+terms AS (SELECT term, {_TRI.format(x='term')} AS q FROM (SELECT unnest(['hot bolt', 'large rod']) AS term)),
+names AS (SELECT p_name, flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''),
+  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))) AS r FROM (SELECT DISTINCT p_name FROM part)),
+runs AS (SELECT p_name, term, q, r[i:j] AS e FROM (SELECT p_name, r, unnest(range(1, len(r) + 1)) AS i FROM names) a, (SELECT unnest(range(1, 200)) AS j) b, terms WHERE j BETWEEN i AND len(r)),
+extents AS (SELECT p_name, term, max(len(list_intersect(q, e))::DOUBLE / len(list_distinct(list_concat(q, e)))) AS s FROM runs GROUP BY ALL)"""
+
+
 @query(f"""
-WITH terms AS (SELECT unnest(['hot bolt', 'large rod']) AS term),
-names AS (SELECT DISTINCT p_name FROM part),
-sims AS (SELECT p_name, max(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b)))) AS s
-  FROM (SELECT p_name, {_TRI.format(x='p_name')} AS a, {_TRI.format(x='term')} AS b FROM names, terms) GROUP BY p_name)
-SELECT p_partkey, p_name, n_lines, round(s, 6) AS score FROM sims JOIN part USING (p_name)
+WITH {_EXTENTS}, best AS (SELECT p_name, max(s) AS s FROM extents WHERE s > 0.45 GROUP BY ALL)
+SELECT p_partkey, p_name, n_lines, round(s, 6) AS score FROM best JOIN part USING (p_name)
   JOIN (SELECT l_partkey, count(*) AS n_lines FROM lineitem GROUP BY l_partkey) ON l_partkey = p_partkey
-WHERE s > 0.3 ORDER BY round(s, 6) DESC, p_partkey LIMIT 12""")
+ORDER BY round(s, 6) DESC, p_partkey LIMIT 12""")
 def spec_lookup(spark, sf_dir):
-    """Fuzzy terms against components, the best score of each, the top twelve (the feature)."""
+    """Fuzzy terms against components by the best run of trigrams, the best score of each, the top twelve (the feature)."""
     part = t(spark, sf_dir, "part").select("p_partkey", "p_name")
-    best = L.trigram_join(part.select("p_name").distinct(), "p_name", ["hot bolt", "large rod"], 0.3).groupBy("p_name").agg(F.max("similarity").alias("score"))
+    best = L.word_lookup(part, "p_name", ["hot bolt", "large rod"], 0.45).groupBy("p_name").agg(F.max("similarity").alias("score"))
     lines = t(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n_lines"))
     return part.join(best, "p_name").join(lines, "p_partkey").orderBy(F.desc("score"), "p_partkey").limit(12).select("p_partkey", "p_name", "n_lines", "score")
 
 
+@query(f"WITH {_EXTENTS} SELECT p_name, term, round(s, 6) AS similarity FROM extents WHERE s > 0")
 def word_similarity(spark, sf_dir):
-    """K3 (extents): the greatest similarity of a term to any run of a name's trigrams."""
-    names = t(spark, sf_dir, "part").select("p_name").distinct()
-    terms = spark.createDataFrame([("hot bolt",), ("large rod",)], "term string")
-    return names.crossJoin(F.broadcast(terms)).select("p_name", "term", F.round(L.word_similarity(F.col("term"), F.col("p_name")), 6).alias("similarity"))
-
+    """K3 (extents): the greatest similarity of a term to any run of a name's trigrams, where they share one."""
+    return L.word_lookup(t(spark, sf_dir, "part"), "p_name", ["hot bolt", "large rod"], 0.0).select("p_name", "term", "similarity")
 
-query()(word_similarity)
 
 
 @query("SELECT l_suppkey, l_partkey, n FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY l_suppkey, l_partkey) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_partkey) = 1")

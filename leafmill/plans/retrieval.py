@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.vectors import stored, unit
-from ..operators import ranking, search
+from ..operators import answering, ranking, search
 from . import query
 from .base import t
 
@@ -46,10 +46,11 @@ SELECT query_id, item, score, n_lists, rank, d.source, d.lang FROM top LEFT JOIN
 def hybrid_search(spark, sf_dir):
     """The flagship."""
     dense = search.dense(t(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 20)
-    lexical = search.any_term(search.postings(_docs(spark, sf_dir)), _terms(spark, sf_dir), 20)
+    terms = _terms(spark, sf_dir)
+    lexical = search.any_term(search.postings(_docs(spark, sf_dir), terms=terms), terms, 20)
     top = search.hybrid([dense.withColumnRenamed("vec_id", "item"), lexical.withColumnRenamed("doc_id", "item")], 20)
     about = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "source", "lang")
-    return about.join(F.broadcast(top), "item", "right").select("query_id", "item", "score", "n_lists", "rank", "source", "lang")
+    return search.hydrated(top, about, "item").select("query_id", "item", "score", "n_lists", "rank", "source", "lang")
 
 
 @query(f"SELECT query_id, vec_id, score, rank FROM ({_DENSE}) WHERE rank <= 20")
@@ -88,7 +89,8 @@ def best_cosine(spark, sf_dir):
 @query(f"SELECT query_id, doc_id, score, rank FROM ({_OR}) WHERE rank <= 20")
 def lexical_or(spark, sf_dir):
     """Broad OR list."""
-    return search.any_term(search.postings(_docs(spark, sf_dir)), _terms(spark, sf_dir), 20)
+    terms = _terms(spark, sf_dir)
+    return search.any_term(search.postings(_docs(spark, sf_dir), terms=terms), terms, 20)
 
 
 @query(f"""
@@ -96,8 +98,25 @@ WITH terms AS ({_TERMS}), need AS (SELECT query_id, count(DISTINCT term) AS need
 SELECT query_id, doc_id, tf FROM (SELECT query_id, doc_id, count(DISTINCT term) AS have, sum(tf)::BIGINT AS tf FROM ({_POSTINGS}) JOIN terms USING (term) GROUP BY ALL)
 JOIN need USING (query_id) WHERE have = need""")
 def lexical_and(spark, sf_dir):
-    """L3 and the plain AND of L2 (no OR, phrases or minus): documents that hold every word of a query."""
-    return search.all_terms(search.postings(_docs(spark, sf_dir)), _terms(spark, sf_dir))
+    """L3: documents that hold every word of a query."""
+    terms = _terms(spark, sf_dir)
+    return search.all_terms(search.postings(_docs(spark, sf_dir), terms=terms), terms)
+
+
+_WEB = """CASE item_id % 5 WHEN 0 THEN a || ' ' || b WHEN 1 THEN '"' || a || ' ' || b || '"' WHEN 2 THEN a || ' -' || b WHEN 3 THEN a || ' ' || b || ' or "' || b || ' ' || c || '"' ELSE '-' || a || ' -"' || b || ' ' || c || '"' END"""
+_THREE = "SELECT item_id, {0}[1] AS a, {0}[2] AS b, {0}[3] AS c FROM benchmark".format("regexp_extract_all(lower(text), '[a-z]+')")
+
+
+@query(f"""
+WITH asked AS ({_THREE}), docs AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents),
+tests AS (SELECT item_id, doc_id, contains(t, ' ' || a || ' ') AS has_a, contains(t, ' ' || b || ' ') AS has_b, contains(t, ' ' || a || ' ' || b || ' ') AS ab, contains(t, ' ' || b || ' ' || c || ' ') AS bc FROM asked, docs)
+SELECT item_id AS query_id, doc_id FROM tests
+WHERE CASE item_id % 5 WHEN 0 THEN has_a AND has_b WHEN 1 THEN ab WHEN 2 THEN has_a AND NOT has_b WHEN 3 THEN (has_a AND has_b) OR bc ELSE NOT has_a AND NOT bc END""")
+def web_search(spark, sf_dir):
+    """L2: words, "phrases", or, and minus, parsed and matched by place."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    asked = t(spark, sf_dir, "benchmark").select("item_id", words[0].alias("a"), words[1].alias("b"), words[2].alias("c"))
+    return search.web_matches(_docs(spark, sf_dir), asked.select(F.col("item_id").alias("query_id"), F.expr(_WEB).alias("text")))
 
 
 @query(f"SELECT term, doc_id, tf FROM ({_POSTINGS})")
@@ -127,7 +146,8 @@ def _first_hits(spark, sf_dir):
     """(query_id, first): the first rank, up to 20, at which a benchmark item's own documents come."""
     items = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = _docs(spark, sf_dir)
-    top = search.any_term(search.postings(docs), search.query_terms(items, "query_id", "passage"), 20)
+    terms = search.query_terms(items, "query_id", "passage")
+    top = search.any_term(search.postings(docs, terms=terms), terms, 20)
     want = docs.join(search.small(items), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
     return items, want, top.join(want, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
 
@@ -178,6 +198,24 @@ def refusal_gate(spark, sf_dir):
     return rows.select("query_id", "facts", F.round("cos", 6).alias("cos"), ((F.col("facts") == 0) & (F.coalesce("cos", F.lit(0.0)) < 0.55)).alias("refused"))
 
 
+@query(f"""
+WITH hits AS (SELECT query_id, vec_id, score, rank FROM ({_DENSE}) WHERE rank <= 4 AND vec_id <> query_id),
+gate AS (SELECT item_id AS query_id, coalesce(max(score), 0) < 0.55 AS refused FROM benchmark LEFT JOIN hits ON query_id = item_id GROUP BY ALL),
+chunks AS (SELECT query_id, vec_id, text, rank, '6-' || vec_id % 100 AS label, 6000 - coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+  FROM hits JOIN documents ON doc_id = vec_id),
+kept AS (SELECT query_id, count(*) AS n_chunks, sum(least(room, length(text)))::BIGINT AS n_chars, first(label ORDER BY rank) AS label FROM chunks WHERE room > 300 GROUP BY ALL)
+SELECT query_id, refused, CASE WHEN refused THEN 'The manual does not say.' ELSE 'See [p. ' || label || '].' END AS answer, CASE WHEN refused THEN [] ELSE ['99-999'] END AS unknown,
+  CASE WHEN refused THEN [] ELSE [label] END AS sources, CASE WHEN refused THEN 0 ELSE n_chunks END AS n_chunks, CASE WHEN refused THEN 0 ELSE n_chars END AS n_chars, 0 AS n_unverified
+FROM gate LEFT JOIN kept USING (query_id)""")
+def answer_chain(spark, sf_dir):
+    """Questions routed, gated, answered from a budgeted context by a model (a stand-in here) and checked."""
+    questions = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("question "), F.col("item_id").cast("string")).alias("question"))
+    hits = search.dense(t(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 4).where("vec_id <> query_id").withColumnRenamed("vec_id", "doc_id")
+    chunks = search.hydrated(hits, _docs(spark, sf_dir), "doc_id").where(F.col("text").isNotNull()).withColumn("label", F.concat(F.lit("6-"), (F.col("doc_id") % 100).cast("string")))
+    done = answering.answer(questions, chunks.withColumnRenamed("score", "cos"), None, answering.first_page, budget=6000, document="doc_id")
+    return done.select("query_id", "refused", "answer", "unknown", "sources", "n_chunks", "n_chars", "n_unverified")
+
+
 @query("""
 WITH hits AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS n, lang, n_chars FROM documents),
 line AS (SELECT *, row_number() OVER w AS place, 9000 - coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM hits WHERE n <= 2 WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id))
