@@ -6,8 +6,8 @@ matrix and a segmented sum gives each text its log likelihoods.  Only the n-gram
 touched, so a text costs its length and no dense vector is built.
 
 Languages are taken to be equally likely beforehand: their shares in the sample say how a corpus was
-collected, not what a text is.  A language counts if at least MIN_ROWS sampled rows have it, so the matrix has at most
-SAMPLE_ROWS / MIN_ROWS columns whatever the labels hold; with fewer rows a label is noise (unless no label has more).
+collected, not what a text is.  A language counts if at least MIN_SHARE of the sampled rows have it, so the matrix has at most
+1 / MIN_SHARE columns whatever the labels hold.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, an empty one too; null labels and null texts train
 nothing; with no labelled row, or an empty table to fit on, every text is ``und``; an empty table to predict gives
@@ -35,8 +35,8 @@ ALPHA = 0.05
 #: A text's evidence counts as that of so many n-grams at most, else each score would be 0 or 1.
 EVIDENCE = 60.0
 UNKNOWN = "und"
-#: Sampled rows that a language needs to be learned.
-MIN_ROWS = 20
+#: Share of the sampled rows that a language needs to be learned.
+MIN_SHARE = 0.001
 _letters: list[np.ndarray] = []
 
 
@@ -48,11 +48,12 @@ def _letter_table() -> np.ndarray:
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of every n-gram of the texts (BUCKETS where there is none), one array per size stacked by
-    rows; first position of each text; number of n-grams of each text.  Letters are lower-cased, all else is one blank."""
-    low = [t.lower() for t in texts]
-    codes = np.frombuffer(("  ".join(low) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter((len(t) + 2 for t in low), np.int64, len(low))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    rows; first position of each text; number of n-grams of each text.  Letters are lower-cased, all else is one blank, and a blank
+    stands before and behind each text; no n-gram holds two blanks together or parts of two texts."""
+    low = [f" {t.lower()} " for t in texts]
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, low), np.int64, len(low))
+    ends = np.cumsum(sizes)
     codes = np.where(_letter_table()[codes], codes, np.uint32(32))
     blank = codes == 32
     twice = blank[:-1] & blank[1:]
@@ -68,9 +69,12 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             void = blank[:m].copy() if n == 1 else np.zeros(m, bool)
             for k in range(n - 1):
                 void |= twice[k : k + m]
+                across = ends - 1 - k  # n-grams from here on reach into the next text
+                void[across[across < m]] = True
             bucket = ((rolled * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
             bucket[void] = BUCKETS
             out[SIZES.index(n), :m] = bucket
+    starts = ends - sizes
     counts = np.add.reduceat((out != BUCKETS).sum(axis=0), starts) if len(texts) else np.zeros(0, np.int64)
     return out, starts, counts
 
@@ -80,7 +84,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     known = bounded(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), rows, key).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     # bounded by the sample
     seen = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    often = [k for k, n in seen.items() if n >= min(MIN_ROWS, max(seen.values()))]
+    often = [k for k, n in seen.items() if n >= MIN_SHARE * sum(seen.values())]
     known = known.where(F.col("lang").isin(often))
 
     def count(batches):
