@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,6 +17,37 @@ def violations(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(ENUMS[column]))
 
 
+#: Stretches in which ids are given side by side.
+STRETCHES = 256
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """df with ``id``, its place in the order of a numeric key: rows are ranked within stretches between quantiles of the key, after
+    the sizes of the stretches before, so no task sorts all of them.  Null keys come first; equal keys get ids in any order."""
+    edges = sorted(set(df.select(F.percentile_approx(key, [i / STRETCHES for i in range(1, STRETCHES)])).first()[0] or []))
+    stretch = F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(key))), F.lit(0)) if edges else F.lit(0)
+    placed = df.withColumn("__stretch", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(stretch))
+    sizes = placed.groupBy("__stretch").count()  # at most a row a stretch
+    before = sizes.select("__stretch", (F.sum("count").over(Window.orderBy("__stretch")) - F.col("count")).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__stretch").orderBy(key))
+    return placed.withColumn("__place", place).join(F.broadcast(before), "__stretch").withColumn("id", F.col("__before") + F.col("__place")).drop("__stretch", "__place", "__before")
+
+
+def wrapped(value: Column) -> Column:
+    """A value as JSON, with its null fields; null for null."""
+    return F.when(value.isNotNull(), F.to_json(value, {"ignoreNullFields": "false"}))
+
+
+def question_rows(questions: DataFrame, key: str) -> DataFrame:
+    """(id, question, kind, expected_pages) in the order of a key."""
+    return numbered(questions, key).select("id", "question", "kind", "expected_pages")
+
+
+def load_questions(questions: DataFrame, key: str, root: str) -> None:
+    """Replaces the whole evaluation set."""
+    question_rows(questions, key).write.mode("overwrite").parquet(f"{root}/eval_questions")
+
+
 def load(page_rows: DataFrame, contents: DataFrame, document: str) -> dict[str, DataFrame]:
     """The tables of one document: pages, procedures, chunks, specs, part_numbers, dtc_codes, review_queue.  Ids come from the
     natural order, so that a second load gives the same."""

@@ -22,9 +22,13 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return top_k(df, key, order, 1, "__first").drop("__first")
 
 
-def fuse(lists: DataFrame, query: str, item: str, rank: str = "rank", k: int = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion of rows (query, list, item, rank): (query, item, score, n_lists)."""
-    return lists.groupBy(query, item).agg(F.round(F.sum(F.lit(1.0) / (k + F.col(rank))), 9).alias("score"), F.count(F.lit(1)).alias("n_lists"))
+def fuse(lists: DataFrame, query: str, item: str, rank: str = "rank", k: int = RRF_K, name: str | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of rows (query, list, item, rank): (query, item, score, n_lists) and, where ``name`` says what column names
+    the list, ranks, a map from list to rank."""
+    parts = [F.round(F.sum(F.lit(1.0) / (k + F.col(rank))), 9).alias("score"), F.count(F.lit(1)).alias("n_lists")]
+    if name:
+        parts.append(F.map_from_entries(F.collect_list(F.struct(F.col(name), F.col(rank)))).alias("ranks"))
+    return lists.groupBy(query, item).agg(*parts)
 
 
 def within_budget(df: DataFrame, by: list[str], order: list[Column], text: str, budget: int, least: int = 300, most: int | None = None, group: str | None = None, group_cap: int = 2) -> DataFrame:

@@ -73,7 +73,7 @@ def hybrid(lists: list[DataFrame], k: int, query: str = "query_id", item: str =
     for i, one in enumerate(lists):
         part = one.select(query, F.col(item), "rank", F.lit(i).alias("list"))
         rows = part if rows is None else rows.unionByName(part)
-    return top_k(fuse(rows, query, item), [query], [F.desc("score"), F.col(item)], k)
+    return top_k(fuse(rows, query, item, name="list"), [query], [F.desc("score"), F.col(item)], k)
 
 
 def hydrated(top: DataFrame, about: DataFrame, item: str) -> DataFrame:

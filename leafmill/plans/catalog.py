@@ -1,2 +1,2 @@
 """Imports every module that registers queries."""
-from . import extensions, questions, relational, retrieval, sequences, text_rules  # noqa: F401
+from . import extensions, extraction, questions, relational, retrieval, sequences, text_rules  # noqa: F401
