@@ -3,18 +3,22 @@
 A rolling hash of GRAM bytes sets triggers: the smallest hash of each LENGTH bytes, so that every string of
 LENGTH bytes holds one and equal strings hold it at the same place.  The triggers cut each
 text into overlapping phrases (all strings of LENGTH bytes with that trigger), the parse is the text's sequence of
-phrases, and the dictionary holds each distinct phrase with the smallest document that has it.  A phrase's
-strings are all in the corpus once for each of its occurrences, so repetitive text is settled by phrases:
-an occurrence in a larger document is removed whole.  Only phrases that share a trigger but differ
-(the edges of passages) are looked at by bytes: the suffixes of that part of the dictionary are sorted, equal strings
-stand together, and their smallest document decides.  Phrases and documents then give the order in the corpus:
-what a string is removed for is a smaller document, not a place in a global array.
-
-Rows are dealt out by trigger; a task holds a few numbers of the current trigger, not its rows.
-
-Cases: a null text is empty; texts shorter than LENGTH stay; a null id is larger than any; rows
-that repeat an id are one document as far as removal goes (no string is removed for the same id); an empty
-table gives an empty result; extra columns are ignored.
+phrases, and the dictionary holds each distinct phrase.  As no string asked about leaves its phrase, suffixes of the
+parse need to be sorted to the depth of one phrase only: the parse, dealt out by trigger and sorted by phrase and document, is its
+suffix array to that depth, and in each run of a phrase the first document is the one that keeps it.  So repetitive text
+is settled by phrases: an occurrence in a larger document is removed whole.
+
+Phrases that share a trigger but differ (the edges of passages) may still share strings.  For these part of the
+dictionary's suffix array is made: the suffixes that start at triggers, and the reversed prefixes that end there, are sorted, and
+the lengths of their common prefixes say for each depth which phrases agree.  A string that starts o bytes before its trigger is a pair:
+the class of the o bytes before and that of the LENGTH - o bytes from the trigger on; equal pairs are equal strings, and their
+smallest document decides.  Dictionary and parse thus give each string's occurrences in the order of the corpus, without a global array.
+
+Rows are dealt out by trigger; a task holds a few numbers of the current trigger, and of phrases that share one their bytes.
+
+Cases: a null text is empty; texts shorter than LENGTH stay; very long texts are parsed whole, each in one task; a null id is larger than any; rows
+that repeat an id are one document as far as removal goes (no string is removed for the same id); ties: rows of the smallest id all keep
+a string; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ class Parse:
         self.buf = np.frombuffer(b"".join(raw), np.uint8)
         self.starts = np.cumsum([0] + [len(r) for r in raw])
         n = len(self.buf)
-        self.text = self.lo = self.hi = np.zeros(0, np.int64)
+        self.text = self.lo = self.hi = self.spot = np.zeros(0, np.int64)
         self.trigger, self.phrase = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if n < LENGTH:
             return
@@ -87,7 +91,7 @@ class Parse:
         new[1:] = (place[at[1:]] != place[at[:-1]]) | (text[1:] != text[:-1])
         first = np.flatnonzero(new)
         self.text, self.lo, self.hi = text[first], at[first], at[np.append(first[1:], len(at)) - 1]
-        spot = place[self.lo]
+        spot = self.spot = place[self.lo]
         self.trigger = gram[spot].view(np.int64)
         size = (self.hi - self.lo + LENGTH).astype(np.uint64)
         body = (sums[self.hi + LENGTH] - sums[self.lo]) * down[self.lo]
@@ -155,7 +159,7 @@ def settle(parsed: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(trigger, phrase, doc, body) of the dictionary phrases asked for, with their bytes."""
+    """(trigger, phrase, doc, at, body) of the dictionary phrases asked for, with their bytes and the place of the trigger in them."""
     wanted = asked.groupBy("doc").agg(F.collect_list("phrase").alias("phrases"))
 
     def run(batches):
@@ -175,9 +179,52 @@ def dictionary(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     ends_ = np.cumsum(size)
                     at = np.arange(ends_[-1]) - np.repeat(ends_ - size - p.lo[once], size)
                     body = pa.BinaryArray.from_buffers(pa.binary(), len(once), [None, pa.py_buffer(np.concatenate([[0], ends_]).astype(np.int32).tobytes()), pa.py_buffer(p.buf[at].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array((p.trigger[once] >> 32).astype(np.int32)), pa.array(p.phrase[once]), pa.array(doc[start + p.text[once]]), body], ["trigger", "phrase", "doc", "body"])
-
-    return docs.join(wanted, "doc").select("doc", "text", "phrases").mapInArrow(run, "trigger int, phrase bigint, doc bigint, body binary")
+                    yield pa.RecordBatch.from_arrays([pa.array((p.trigger[once] >> 32).astype(np.int32)), pa.array(p.phrase[once]), pa.array(doc[start + p.text[once]]), pa.array((p.spot - p.lo)[once].astype(np.int32)), body], ["trigger", "phrase", "doc", "at", "body"])
+
+    return docs.join(wanted, "doc").select("doc", "text", "phrases").mapInArrow(run, "trigger int, phrase bigint, doc bigint, at int, body binary")
+
+
+def classes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted order of some byte rows within their groups, as (place of each row in it, length of the prefix that a place shares with the
+    one before it; -1 where a group begins)."""
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8)), ">u8")
+    words.view(np.uint8).reshape(len(rows), -1)[:, : rows.shape[1]] = rows
+    order = np.lexsort((*words.T[::-1].astype(np.uint64), group))
+    near = rows[order[1:]] != rows[order[:-1]]
+    shared = np.where(near.any(axis=1), near.argmax(axis=1), rows.shape[1])
+    place, common = np.empty(len(rows), np.int64), np.full(len(rows), -1)
+    place[order] = np.arange(len(rows))
+    common[1:] = np.where(group[order[1:]] == group[order[:-1]], shared, -1)
+    return place, common
+
+
+def shared_strings(group: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each phrase (its first byte in buf, the place of its trigger, its number of strings) which of its strings a phrase of the same
+    group and a smaller document has, bit by bit."""
+    n, reach = len(doc), np.arange(LENGTH)
+    size = count + LENGTH - 1
+    padded = np.concatenate([buf, np.zeros(1, np.uint8)])
+    # bytes from the trigger on, and before it backwards; what lies outside a phrase is 0 and in no string of it
+    right = padded[np.where(reach < (size - at)[:, None], (starts + at)[:, None] + reach, len(buf))]
+    back = reach[: _REACH - 1]
+    left = padded[np.where(back < at[:, None], (starts + at - 1)[:, None] - back, len(buf))]
+    right_place, right_common = classes(right, group)
+    left_place, left_common = classes(left, group)
+    mask = np.zeros(n, np.int64)
+    for before in range(_REACH):
+        mine = np.flatnonzero((before <= at) & (before > at - count))
+        if len(mine) < 2:
+            continue
+        a = np.cumsum(left_common < before)[left_place[mine]]
+        b = np.cumsum(right_common < LENGTH - before)[right_place[mine]]
+        pair = a * (n + 1) + b
+        order = np.lexsort((doc[mine], pair))
+        pair, docs = pair[order], doc[mine][order]
+        first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        least = np.repeat(docs[first], np.diff(np.append(first, len(pair))))
+        gone = mine[order[docs > least]]
+        mask[gone] |= np.int64(1) << (at[gone] - before)
+    return mask
 
 
 def compare(phrases_: DataFrame) -> DataFrame:
@@ -187,24 +234,10 @@ def compare(phrases_: DataFrame) -> DataFrame:
         for _, table in _groups(batches, 1):
             bodies = table.column("body").combine_chunks()
             bodies = bodies.chunk(0) if isinstance(bodies, pa.ChunkedArray) else bodies
-            ends = np.asarray(pa.Array.from_buffers(pa.int32(), len(bodies) + 1, [None, bodies.buffers()[1]], offset=bodies.offset))
+            ends = np.asarray(pa.Array.from_buffers(pa.int32(), len(bodies) + 1, [None, bodies.buffers()[1]], offset=bodies.offset)).astype(np.int64)
             buf = np.frombuffer(bodies.buffers()[2], np.uint8)
-            doc, phrase = np.asarray(table.column("doc")), np.asarray(table.column("phrase"))
-            count = np.diff(ends) - LENGTH + 1
-            of = np.repeat(np.arange(len(count)), count)
-            bit = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = ends[of] + bit
-            # the suffix array of the dictionary, as far as LENGTH bytes
-            strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, LENGTH)[at]).view(f"V{LENGTH}").ravel()
-            words = np.zeros((len(at), 7), np.uint64)
-            words.view(np.uint8)[:, :LENGTH] = strings.view(np.uint8).reshape(-1, LENGTH)
-            order = np.lexsort((doc[of], *words.T))
-            same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
-            runs = np.flatnonzero(np.concatenate([[True], ~same]))
-            least = np.repeat(doc[of[order[runs]]], np.diff(np.append(runs, len(order))))
-            gone = order[doc[of[order]] > least]
-            mask = np.zeros(len(count), np.int64)
-            np.bitwise_or.at(mask, of[gone], np.int64(1) << bit[gone])
+            trigger, doc, phrase, at = (np.asarray(table.column(k)) for k in ("trigger", "doc", "phrase", "at"))
+            mask = shared_strings(trigger, doc, at.astype(np.int64), np.diff(ends) - LENGTH + 1, buf, ends[:-1])
             hit = np.flatnonzero(mask)
             yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(phrase[hit]), pa.array(mask[hit])], ["doc", "phrase", "mask"])
 

@@ -124,6 +124,23 @@ def test_passages_of_one_byte(spark):
     assert got == {1: (0, 0), 2: (60, 1), 3: (0, 0), 4: (60, 1), 5: (0, 0)}
 
 
+def test_strings_of_a_hot_trigger(spark):
+    """Many phrases around one trigger, with edges that differ on both sides: the same as byte by byte."""
+    r = random.Random(12)
+    core = "the middle of a passage that all of them have in common"
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 12))) + core[r.randint(0, 6) :] + "".join(r.choice("cd") for _ in range(r.randint(0, 9)))) for i in range(300)]
+    low = {}
+    for i, t in rows:
+        for s in range(len(t) - 49):
+            low.setdefault(t[s : s + 50], i)
+    want = {}
+    for i, t in rows:
+        gone = {k for s in range(len(t) - 49) if low[t[s : s + 50]] < i for k in range(s, s + 50)}
+        want[i] = hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()
+    got = {x.doc_id: x.kept_sha256 for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({want[i] for i, _ in rows}) > 20
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
