@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.python_udfs import title_case
 from ..sources import pages as S
-from . import chunking, sequence
+from . import chunking, extraction, sequence
+from .ranking import first_wins, ranked
 
 ENUMS = {"chunk_type": ["procedure", "flowchart", "spec_table", "text", "figure"], "side": ["IN", "EX"], "source_engine": ["torque", "table"]}
 
@@ -21,15 +23,15 @@ def violations(df: DataFrame, column: str) -> DataFrame:
 STRETCHES = 256
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """df with ``id``, its place in the order of a numeric key: rows are ranked within stretches between quantiles of the key, after
+def numbered(df: DataFrame, key: str, *ties: str) -> DataFrame:
+    """df with ``id``, its place in the order of a numeric key (and then ``ties``): rows are ranked within stretches between quantiles of the key, after
     the sizes of the stretches before, so no task sorts all of them.  Null keys come first; equal keys get ids in any order."""
     edges = sorted(set(df.select(F.percentile_approx(key, [i / STRETCHES for i in range(1, STRETCHES)])).first()[0] or []))
     stretch = F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(key))), F.lit(0)) if edges else F.lit(0)
     placed = df.withColumn("__stretch", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(stretch))
     sizes = placed.groupBy("__stretch").count()  # at most a row a stretch
     before = sizes.select("__stretch", (F.sum("count").over(Window.orderBy("__stretch")) - F.col("count")).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__stretch").orderBy(key))
+    place = F.row_number().over(Window.partitionBy("__stretch").orderBy(key, *ties))
     return placed.withColumn("__place", place).join(F.broadcast(before), "__stretch").withColumn("id", F.col("__before") + F.col("__place")).drop("__stretch", "__place", "__before")
 
 
@@ -49,9 +51,11 @@ def load_questions(questions: DataFrame, key: str, root: str) -> None:
 
 
 def load(page_rows: DataFrame, contents: DataFrame, document: str) -> dict[str, DataFrame]:
-    """The tables of one document: pages, procedures, chunks, specs, part_numbers, dtc_codes, review_queue.  Ids come from the
-    natural order, so that a second load gives the same."""
-    ids = lambda df, *order: df.withColumn("id", F.row_number().over(Window.orderBy(*order))).withColumn("document_id", F.lit(document))
+    """The tables of one document: pages, toc_entries, procedures, chunks, specs, special_tools, part_numbers, dtc_codes, consumables, steps,
+    review_queue.  Ids come from the natural order, so that a second load gives the same."""
+    ids = lambda df, *order: numbered(df, *order).withColumn("document_id", F.lit(document))
+    # a document's distinct parts and codes are few
+    named = lambda df, order: df.withColumn("id", F.row_number().over(Window.orderBy(order))).withColumn("document_id", F.lit(document))
     lines = S.lines(page_rows).withColumn("norm", X.normalised(F.col("text")))
     blocks = lines.where((F.length(F.regexp_replace("norm", "[^A-Za-z0-9]", "")) >= 2) & ((F.col("conf") >= 55) | (F.col("region") == "header")))
     text_of = blocks.groupBy("pdf_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]), "\n").alias("ocr_text"))
@@ -72,15 +76,31 @@ def load(page_rows: DataFrame, contents: DataFrame, document: str) -> dict[str,
     kind = F.when(F.lower("title").contains("flowchart"), "flowchart").when(X.operation(F.col("title")) == "specs", "spec_table").otherwise("procedure")
     chunks = ids(packed.select("procedure_id", "chunk", kind.alias("chunk_type"), F.concat(F.lit("["), F.col("title"), F.lit("]\n"), F.col("text")).alias("text")), "procedure_id", "chunk")
 
-    q = X.torque(F.col("norm"))
-    specs = owned.where(q.isNotNull()).select("pdf_page", "pos", F.col("title").alias("component"), F.lit("torque").alias("parameter"), q.alias("q"), "conf", F.lit("torque").alias("source_engine"))
-    specs = ids(specs.select("*", "q.*").drop("q"), "pdf_page", "pos")
-    off = (F.abs(F.col("nm") / 9.80665 - F.col("kgm")) > F.greatest(F.lit(0.06), 0.03 * F.col("kgm"))) | (F.abs(F.col("nm") / 1.35582 - F.col("lbft")) > F.greatest(F.lit(1.0), 0.03 * F.col("lbft")))
-    review = review.unionByName(specs.where(off | (F.col("conf") < 75)).select(F.lit("spec").alias("item_type"), F.col("id").alias("item_id"), F.when(off, "unit_mismatch").otherwise("low_conf").alias("reason"), "document_id"))
+    found = extraction.torque_specs(lines.join(page_rows.select("pdf_page", "layout.split_x"), "pdf_page"))
+    placed = found.join(owned.select("pdf_page", "n", "pos", "title"), ["pdf_page", "n"]).join(lines.select("pdf_page", "n", "conf"), ["pdf_page", "n"])
+    component = F.coalesce(title_case(F.col("label")), F.col("title"))
+    specs = ids(placed.select("pdf_page", "pos", component.alias("component"), F.lit("torque").alias("parameter"), "value_text", "nm", "kgm", "lbft", "fastener", "near_label", "step", "step_text", "engines", "conf", F.lit("torque").alias("source_engine"), "reason"), "pdf_page", "pos")
+    review = review.unionByName(specs.where("reason IS NOT NULL").select(F.lit("spec").alias("item_type"), F.col("id").alias("item_id"), "reason", "document_id"))
+    specs = specs.drop("reason")
+    every_word = page_rows.select("pdf_page", F.posexplode("words").alias("i", "w"))
+    boxes = {k: F.col("w")[j].cast("int").alias(k) for j, k in enumerate(("x0", "y0", "x1", "y1"), 2)}
+    tools = ids(extraction.special_tools(every_word.select("pdf_page", "i", F.col("w")[0].alias("text"), *boxes.values(), F.col("w")[6].alias("region"))), "pdf_page", "row")
+    tools = first_wins(tools, ["document_id", "tool_number"], [F.col("id")])
+    # steps, with what goes on below them, and what they use up
+    is_step = F.col("norm").rlike(X.STEP)
+    run = body.withColumn("run", sequence.run_id(is_step | F.col("norm").startswith("•") | F.col("norm").rlike(X.WARNING), ["procedure_id"], ["at"]))
+    pieces = F.array_sort(F.collect_list(F.struct("at", "norm")))
+    joined = run.groupBy("procedure_id", "run").agg(F.array_join(F.transform(pieces, lambda x: x["norm"]), " ").alias("text"), F.min("pdf_page").alias("pdf_page")).where(F.col("text").rlike(X.STEP))
+    steps = ids(joined.select("procedure_id", "run", F.regexp_extract("text", X.STEP, 1).cast("int").alias("step"), F.regexp_extract("text", "(?s)" + X.STEP, 2).alias("text"), "pdf_page"), "procedure_id", "run").drop("run")
+    used = body.where(F.col("norm").rlike(X.CONSUMABLE) & (F.char_length("norm") < 160)).groupBy("procedure_id", F.col("norm").alias("text")).agg(F.min("at").alias("at"))
+    used = ids(ranked(used, ["procedure_id"], [F.col("at")]).where("rank <= 12").drop("rank"), "procedure_id", "at").drop("at")
     parts = owned.select("pdf_page", "pos", F.explode(X.every(F.col("norm"), X.PART_MENTION, 1)).alias("raw")).withColumn("part_number", F.regexp_replace("raw", r"\s?[-–—]\s?", "-"))
-    parts = ids(parts.groupBy("part_number").agg(F.min("pdf_page").alias("pdf_page")), "part_number")
+    parts = named(parts.groupBy("part_number").agg(F.min("pdf_page").alias("pdf_page")), "part_number")
     codes = owned.where(F.col("norm").rlike(X.TROUBLE)).groupBy(F.regexp_extract("norm", X.TROUBLE, 1).alias("code")).agg(F.min_by(F.regexp_extract("norm", X.TROUBLE, 2), "at").alias("description"))
-    return {"pages": pages, "procedures": procedures, "chunks": chunks, "specs": specs, "part_numbers": parts, "dtc_codes": ids(codes, "code"), "review_queue": review}
+    return {
+        "pages": pages, "toc_entries": ids(entries, "ord"), "procedures": procedures, "chunks": chunks, "specs": specs, "special_tools": tools, "part_numbers": parts,
+        "dtc_codes": named(codes, "code"), "consumables": used, "steps": steps, "review_queue": review,
+    }
 
 
 def write(tables: dict[str, DataFrame], root: str) -> None:

@@ -30,14 +30,25 @@ def unicode_lines(spark, sf_dir):
     return lines(spark, sf_dir).select(*ID, X.plain(U.compatible(F.col("line"))).alias("plain"), U.title_case(F.col("line")).alias("titled"))
 
 
-@query()
+def _rows_sql(within: float, mean: bool) -> str:
+    """Each word against the row that is open, one after the other."""
+    new = f"abs(o.value - w.total / w.n) >= {within}"
+    total, n = ("w.total + o.value", "w.n + 1") if mean else ("w.total", "w.n")
+    return f"""
+WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS k FROM events),
+w AS (SELECT user_id, event_id, value, k, 0 AS row, value AS total, 1 AS n FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.event_id, o.value, o.k, w.row + ({new})::INT, CASE WHEN {new} THEN o.value ELSE {total} END, CASE WHEN {new} THEN 1 ELSE {n} END FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
+SELECT user_id, event_id, value, row FROM w"""
+
+
+@query(_rows_sql(3.0, True))
 def word_rows(spark, sf_dir):
     """Words to rows by the running mean of their centres."""
     e = t(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return U.running_rows(e, "user_id", "value", 3.0, True)
 
 
-@query()
+@query(_rows_sql(3.0, False))
 def word_rows_first(spark, sf_dir):
     """H6: words to rows by the distance to a row's first centre."""
     e = t(spark, sf_dir, "events").select("user_id", "event_id", "value")

@@ -164,9 +164,14 @@ def chunk_packing(spark, sf_dir):
     return chunking.greedy(u, ["doc_id"], "pos", "line").select("doc_id", "chunk", "n_units", "n_chars")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations),
+f AS (SELECT conv_id, k, text AS last, NULL::VARCHAR AS other, 1 AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.conv_id, o.k, CASE WHEN again THEN last ELSE text END, CASE WHEN again THEN other ELSE last END, kept + (NOT again)::INT
+  FROM (SELECT o.conv_id, o.k, o.text, f.last, f.other, f.kept, suffix(f.last, o.text) OR coalesce(suffix(f.other, o.text), false) AS again FROM f JOIN o ON o.conv_id = f.conv_id AND o.k = f.k + 1) o)
+SELECT conv_id, max(kept) AS n_kept, max(k) AS n FROM f GROUP BY conv_id""")
 def callouts_unrepeated(spark, sf_dir):
-    """Callouts without those that end one of the two before them (state over what was kept, so no SQL)."""
+    """Callouts without those that end one of the two kept last."""
     c = t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
     return c.select("conv_id", F.size(chunking.unrepeated(F.transform("x", lambda x: x["text"]))).alias("n_kept"), F.size("x").alias("n"))
 

@@ -121,6 +121,9 @@ def test_ingestion(spark, recognised, tmp_path):
     assert sorted(s.nm for s in got["specs"]) == [10.0, 22.0]
     assert [p.part_number for p in got["part_numbers"]] == ["08718-0001"] and [c.code for c in got["dtc_codes"]] == ["14"]
     assert sorted((r.item_type, r.reason) for r in got["review_queue"]) == [("page", "low_conf"), ("spec", "unit_mismatch")]
+    assert [(t.ord, t.title) for t in sorted(got["toc_entries"], key=lambda t: t.id)] == [(1, "Timing Belt Removal"), (2, "Valve Adjustment")]
+    assert [(s.step, s.text) for s in sorted(got["steps"], key=lambda s: s.id)][0] == (1, "Remove the lower cover bolts. Tighten to 22 N·m (2.2 kg-m, 16 lb-ft) Part No. 08718 - 0001 liquid gasket")
+    assert any("liquid gasket" in c.text for c in got["consumables"]) and got["special_tools"] == []
     for _ in range(2):  # a second load changes nothing
         ingest.write(tables, str(tmp_path))
         ingest.write(ingest.load(pages, contents, "doc2"), str(tmp_path))
@@ -133,3 +136,44 @@ def test_words_and_files(spark, recognised):
     pages, _, root = recognised
     assert {(w.text, w.conf, w.region, w.in_figure) for w in S.words(pages).collect()} == {("w", 90, "body", False)}
     assert all(len(f.sha256) == 64 for f in S.files(spark, str(root)).collect())
+
+
+def test_many_intervals_without_a_key(spark, monkeypatch):
+    """In stretches: each row with the greatest start not above it, as by hand."""
+    monkeypatch.setattr(sequence, "FEW_INTERVALS", 3)
+    monkeypatch.setattr(sequence, "STRETCHES", 7)
+    starts = [5, 6, 20, 21, 22, 40, 41, 90, 100, 101, 300]
+    at = [None, -3, 0, 5, 7, 19, 21, 39, 55, 99, 100, 102, 299, 300, 9999]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(at)], "i int, at int")
+    marks = spark.createDataFrame([(s, f"s{s}") for s in starts], "start int, name string")
+    got = {r.i: r.name for r in sequence.assign(rows, "at", marks, "start", ["name"]).collect()}
+    assert got == {i: None if a is None or a < 5 else f"s{max(s for s in starts if s <= a)}" for i, a in enumerate(at)}
+
+
+def test_ids_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "STRETCHES", 5)
+    keys = [7, 3, None, 3, 100, -4, 55, 8, 9, 21]
+    got = ingest.numbered(spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int"), "k", "i").collect()
+    want = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, i))
+    assert [r.i for r in sorted(got, key=lambda r: r.id)] == want and sorted(r.id for r in got) == [*range(1, 11)]
+    assert ingest.numbered(spark.createDataFrame([], "k int"), "k").collect() == []
+
+
+def test_web_search_clauses(spark):
+    from leafmill.operators import search
+
+    docs = spark.createDataFrame([(1, "red car and blue bus"), (2, "blue car"), (3, "car red"), (4, "nothing"), (5, None)], "doc_id int, text string")
+    asked = {1: "red car", 2: '"red car"', 3: "car -red", 4: "bus or nothing", 5: "-car", 6: '"blue bus" or "car red" -bus', 7: "", 8: "well-known car"}
+    got = search.web_matches(docs, spark.createDataFrame(list(asked.items()), "query_id int, text string"))
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, set()).add(r.doc_id)
+    assert found == {1: {1, 3}, 2: {1}, 3: {2}, 4: {1, 4}, 5: {4, 5}, 6: {1, 3}}
+
+
+def test_values_after_a_row(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate([None, 4, None, None, 9, None])], "g int, i int, v int")
+    got = rows.select("i", sequence.after(F.col("v"), ["g"], ["i"]).alias("a"), sequence.before(F.col("v"), ["g"], ["i"]).alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [4, 9, 9, 9, None, None] and [r.b for r in got] == [None, None, 4, 4, 4, 9]
