@@ -124,7 +124,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
 
     side = FEATURES + N_STATS + 2
     folds = np.zeros((FOLDS, side, side))
-    for r in seen.coalesce(16).mapInArrow(normal, "fold int, sums binary").orderBy("fold", "sums").collect():
+    # a few sums of side * side numbers, whatever the size of the table; in one order, so that reruns agree
+    for r in sorted(seen.coalesce(4).mapInArrow(normal, "fold int, sums binary").collect()):
         folds[r["fold"]] += np.frombuffer(r["sums"]).reshape(side, side)
 
     def ridge(sums: np.ndarray) -> np.ndarray:
