@@ -34,7 +34,7 @@ LONGEST = 2048
 #: Words that a worker keeps at most.
 CACHE_WORDS = 1_000_000
 #: Bytes of the texts that are split into words at once.
-SLICE = 4_000_000
+SLICE = 2_000_000
 _GAPS = "\t\n\x0b\x0c\r"
 #: Letters that are one pre-token by themselves, and marks (no apostrophe) that are one where they follow.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
@@ -74,8 +74,8 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.name, self.check, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.name, self.check, self.row = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def learn(self, fresh: pa.Array, name: np.ndarray, check: np.ndarray) -> None:
         """fresh: distinct words that aren't in the table."""
@@ -85,9 +85,9 @@ class WordIds:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
             ids.append(np.fromiter(chain.from_iterable(found), np.uint32))
-        self.row = np.concatenate([self.row, np.arange(len(words)) + len(self.sizes)])
+        self.row = np.concatenate([self.row, np.arange(len(words), dtype=np.int32) + np.int32(len(self.sizes))])
         self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
-        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
         self.name, self.check = np.concatenate([self.name, name]), np.concatenate([self.check, check])
         order = np.argsort(self.name, kind="stable")
         self.name, self.check, self.row = self.name[order], self.check[order], self.row[order]
@@ -127,7 +127,8 @@ class WordIds:
         order = np.stack([word_at, mark_at], axis=1)[np.asarray(coded.indices)].ravel()
         counts = self.sizes[order]
         ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        out = self.ids[np.arange(ends[-1]) - np.repeat(ends[:-1] - self.starts[order], counts)]
+        kind = np.int32 if ends[-1] < 1 << 30 else np.int64
+        out = self.ids[np.arange(ends[-1], dtype=kind) - np.repeat((ends[:-1] - self.starts[order]).astype(kind), counts)]
         return out, np.diff(ends[2 * np.asarray(lists.offsets)])
 
 
@@ -179,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 28
         filled = np.zeros(top + 1, np.int64)  # sequences of each bucket so far
         for batch in lean(batches):
-            for first, texts in _runs(batch.column(1)):
+            for first, texts in lean(_runs(batch.column(1))):
                 flat, sizes = table.of(texts)
                 ids = np.insert(flat, np.cumsum(sizes), END).astype("<u4")
                 sizes = sizes + 1
