@@ -132,13 +132,13 @@ class WordIds:
         return out, np.diff(ends[2 * np.asarray(lists.offsets)])
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, pa.LargeStringArray]]:
-    """Runs of whole texts of about SLICE bytes, each with its first position; null becomes ''."""
+def _runs(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, pa.LargeStringArray]]:
+    """Runs of whole texts of about ``size`` bytes, each with its first position; null becomes ''."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     ends = np.cumsum(np.asarray(pc.binary_length(column)) + 1)
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
         yield at, column.slice(at, end - at)
         at = end
 
@@ -180,7 +180,8 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         task = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 28
         filled = np.zeros(top + 1, np.int64)  # sequences of each bucket so far
         for batch in lean(batches):
-            for first, texts in lean(_runs(batch.column(1))):
+            # the ids given out take memory of their own
+            for first, texts in lean(_runs(batch.column(1))) if with_ids else _runs(batch.column(1), 3 * SLICE):
                 flat, sizes = table.of(texts)
                 ids = np.insert(flat, np.cumsum(sizes), END).astype("<u4")
                 sizes = sizes + 1
