@@ -8,6 +8,10 @@ tile each class holds a bitmap of its shingles: bits set in one and not in the o
 from above, so few pairs remain.  What remains joins classes into families, and within each family
 (again in size-banded tiles) the sorted arrays are intersected exactly.
 
+A shingle under which more than two tiles of classes meet goes to no single task: its classes are counted by size band and dealt
+out in blocks beforehand, as families are.  Such shingles are found among the frequent ones; one that isn't
+counted as frequent is in fewer than 4 of each COUNTED shingles or behind FREQUENT others, and its list is cut by the task that has it.
+
 Only components are wanted, so a tile is searched breadth first: a class that has been reached is not
 compared again, and groups of copies cost about their size, not its square.  No pair is emitted
 for each two members.  No list, family or candidate is dropped: tiles bound what a task holds.
@@ -38,6 +42,8 @@ SIMILAR = (3, 4)
 TILE = 2048
 #: Frequent shingles that are put last in the order, at most; an order of any kind gives the same links.
 FREQUENT = 50_000
+#: Shingles that are counted at a time to find the frequent ones.
+COUNTED = 500_000
 #: Classes that a task remembers so as not to emit them twice.
 REMEMBER = 100_000
 
@@ -161,7 +167,7 @@ def frequent(sets: DataFrame) -> np.ndarray:
             at = 0
             while at < len(lists):
                 end, total = at, 0
-                while end < len(lists) and total < 500_000:
+                while end < len(lists) and total < COUNTED:
                     total += len(lists[end])
                     end += 1
                 values, n = np.unique(np.concatenate(lists[at:end]), return_counts=True)
@@ -174,6 +180,69 @@ def frequent(sets: DataFrame) -> np.ndarray:
     return np.sort(top.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64))
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def prefix(s: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the common order, one of which it shares with each set that it links to."""
+    p = len(s) - -(-SIMILAR[0] * len(s) // SIMILAR[1]) + 1
+    hot = among(s, late)
+    return np.concatenate([s[~hot], s[hot]])[:p]
+
+
+def crowded(sets: DataFrame, last) -> np.ndarray:
+    """Those of the frequent shingles that are in the prefixes of more sets than two tiles hold (a set counts in each task that has it), sorted."""
+
+    def count(batches):
+        late = last.value
+        n = np.zeros(len(late), np.int64)
+        for batch in lean(batches):
+            for raw in batch.column(0).to_pylist():
+                s = prefix(unpacked(raw), late)
+                n[np.searchsorted(late, s[among(s, late)])] += 1
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(late[some]), pa.array(n[some])], ["token", "n"])
+
+    if not len(last.value):
+        return last.value
+    many = sets.select("hashes").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > 2 * TILE)
+    return np.sort(many.select("token").toPandas()["token"].to_numpy(np.int64))
+
+
+def dealt(member: DataFrame) -> DataFrame:
+    """(family, tile, n, cls) for the classes (family, n, cls): families above a tile are cut into size bands and blocks of bounded size,
+    and each two blocks of a band or of neighbouring bands share a tile."""
+    step = float(np.log(SIMILAR[1] / SIMILAR[0]))
+    member = member.withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int"))
+    whole = member.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
+    bands = member.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    here = member.join(whole, "family")
+    small = here.where(F.col("total") <= TILE).select("family", F.lit(0).cast("bigint").alias("tile"), "n", "cls")
+    large = here.where(F.col("total") > TILE).join(bands, ["family", "band"])
+    near = [bands.select("family", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
+    for other in near:
+        large = large.join(other, ["family", "band"], "left")
+    large = large.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+    def pairs(base, other_blocks, low, high):
+        other = F.sequence(F.lit(0), F.coalesce(other_blocks, F.lit(0)) - 1)
+        return F.when(F.coalesce(other_blocks, F.lit(0)) > 0, F.transform(other, lambda o: F.xxhash64(base, low(o), high(o)))).otherwise(F.array().cast("array<bigint>"))
+
+    block, band = F.col("block"), F.col("band")
+    keys = F.array_distinct(
+        F.concat(
+            pairs(F.concat_ws("-", band, band), F.col("blocks"), lambda o: F.least(block, o), lambda o: F.greatest(block, o)),
+            pairs(F.concat_ws("-", band, band + 1), F.col("above"), lambda o: block, lambda o: o),
+            pairs(F.concat_ws("-", band - 1, band), F.col("below"), lambda o: o, lambda o: block),
+        )
+    )
+    return small.unionByName(large.select("family", F.explode(keys).alias("tile"), "n", "cls"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     spark = docs.sparkSession
@@ -182,22 +251,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
     sets = rows.where(F.col("hashes").isNotNull()).select("cls", "n", "hashes", "map")
     last = spark.sparkContext.broadcast(frequent(sets))
 
-    def prefixes(batches):
-        late = last.value
-        for batch in lean(batches):
-            tokens, which = [], []
-            for i, raw in enumerate(batch.column(2).to_pylist()):
-                s = unpacked(raw)
-                p = len(s) - -(-SIMILAR[0] * len(s) // SIMILAR[1]) + 1
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    hot = late[at] == s
-                    s = np.concatenate([s[~hot], s[hot]])
-                tokens.append(s[:p])
-                which.append(np.full(min(p, len(s)), i))
-            if tokens:
-                at = np.concatenate(which)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.asarray(batch.column(1))[at]), pa.array(np.asarray(batch.column(0))[at])], ["token", "n", "cls"])
+    apart = spark.sparkContext.broadcast(crowded(sets, last))
+
+    def meeting(crowds: bool):
+        """(token, n, cls) of the prefixes, under crowded shingles or under the others."""
+
+        def run(batches):
+            for batch in lean(batches):
+                tokens, which = [], []
+                for i, raw in enumerate(batch.column(2).to_pylist()):
+                    s = prefix(unpacked(raw), last.value)
+                    s = s[among(s, apart.value) == crowds]
+                    tokens.append(s)
+                    which.append(np.full(len(s), i))
+                if tokens:
+                    at = np.concatenate(which)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.asarray(batch.column(1))[at]), pa.array(np.asarray(batch.column(0))[at])], ["token", "n", "cls"])
+
+        return sets.select("cls", "n", "hashes").mapInArrow(run, "token bigint, n bigint, cls bigint")
 
     def lists(batches):
         """Tiles of the lists of classes that meet under a shingle; equal lists of a task come once."""
@@ -234,8 +305,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).astype(np.int64)), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], ["list", "n", "cls"])
 
-    met = sets.select("cls", "n", "hashes").mapInArrow(prefixes, "token bigint, n bigint, cls bigint").repartition("token").sortWithinPartitions("token", "n", "cls")
+    met = meeting(False).repartition("token").sortWithinPartitions("token", "n", "cls")
     met = scratch.keep(met.mapInArrow(lists, "list bigint, n bigint, cls bigint"), "lists")
+    if len(apart.value):
+        crowds = scratch.keep(meeting(True).distinct(), "crowds")
+        # of shingles with the same classes one is enough; there are FREQUENT at most
+        named = crowds.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cls")).alias("a"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("b"))
+        one = named.groupBy("n", "a", "b").agg(F.min("token").alias("token")).select("token")
+        spread = dealt(crowds.join(F.broadcast(one), "token", "left_semi").withColumnRenamed("token", "family"))
+        met = met.unionByName(scratch.keep(spread.select(F.xxhash64("family", "tile").alias("list"), "n", "cls"), "crowd_lists"))
 
     def screen(batches):
         for starts, table in _groups(batches, 1):
@@ -250,36 +328,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
     maps = sets.groupBy("cls").agg(F.any_value("map").alias("map"))
     tiles = met.distinct().hint("merge").join(maps, "cls").select("list", "n", "cls", "map").repartition("list").sortWithinPartitions("list", "n", "cls")
     families = scratch.keep(components(tiles.mapInArrow(screen, "u bigint, v bigint"), scratch, "maybe"), "families").withColumnRenamed("node", "cls").withColumnRenamed("component", "family")
-    scratch.drop("lists")
+    scratch.drop("lists", "crowds", "crowd_lists")
 
-    # exact intersections within families; those above a tile are cut into size bands and blocks of bounded size
-    step = float(np.log(SIMILAR[1] / SIMILAR[0]))
-    # where a class goes is found from ids and sizes alone; the sets themselves are dealt out once by class and once by family
+    # exact intersections within families; where a class goes is found from ids and sizes alone, the sets themselves are dealt out once
+    # by class and once by family
     narrow = rows.where(F.col("hashes").isNotNull()).select("cls", "n").distinct()
-    member = scratch.keep(families.join(narrow, "cls").withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int")), "members")
-    whole = member.groupBy("family").agg(F.count(F.lit(1)).alias("total"))
-    bands = member.groupBy("family", "band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
-    here = member.join(whole, "family")
-    small = here.where(F.col("total") <= TILE).select("family", F.lit(0).cast("bigint").alias("tile"), "cls")
-    large = here.where(F.col("total") > TILE).join(bands, ["family", "band"])
-    near = [bands.select("family", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((-1, "above"), (1, "below"))]
-    for other in near:
-        large = large.join(other, ["family", "band"], "left")
-    large = large.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-
-    def pairs(base, other_blocks, low, high):
-        other = F.sequence(F.lit(0), F.coalesce(other_blocks, F.lit(0)) - 1)
-        return F.when(F.coalesce(other_blocks, F.lit(0)) > 0, F.transform(other, lambda o: F.xxhash64(base, low(o), high(o)))).otherwise(F.array().cast("array<bigint>"))
-
-    block, band = F.col("block"), F.col("band")
-    keys = F.array_distinct(
-        F.concat(
-            pairs(F.concat_ws("-", band, band), F.col("blocks"), lambda o: F.least(block, o), lambda o: F.greatest(block, o)),
-            pairs(F.concat_ws("-", band, band + 1), F.col("above"), lambda o: block, lambda o: o),
-            pairs(F.concat_ws("-", band - 1, band), F.col("below"), lambda o: o, lambda o: block),
-        )
-    )
-    large = large.select("family", F.explode(keys).alias("tile"), "cls")
+    member = scratch.keep(families.join(narrow, "cls"), "members")
 
     def verify(batches):
         for _, table in _groups(batches, 2):
@@ -311,7 +365,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sc
                     u.append(ids[a + x]), v.append(ids[a + y])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    placed = small.unionByName(large).hint("merge").join(sets, "cls").select("family", "tile", "n", "cls", "map", "hashes")
+    placed = dealt(member).select("family", "tile", "cls").hint("merge").join(sets, "cls").select("family", "tile", "n", "cls", "map", "hashes")
     checked = placed.repartition("family", "tile").sortWithinPartitions("family", "tile", "n", "cls").mapInArrow(verify, "u bigint, v bigint")
     linked = components(checked, scratch, "links").withColumnRenamed("node", "cls").withColumnRenamed("component", "group")
 

@@ -98,6 +98,34 @@ def test_ngram_join_block_that_links_to_no_other(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == {i: 0 if i < 4 else 4 if i < 12 else i for i in range(32)}
 
 
+def test_ngram_join_crowded_shingles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = []
+    for f in range(3):
+        base = [f"f{f}w{k}" for k in range(90)]
+        for i in range(60):
+            words = base[: int(rng.integers(30, 90))]
+            for at in rng.integers(0, len(words), int(rng.integers(0, 4))):
+                words[at] = f"v{rng.integers(0, 6)}"
+            texts.append(words)
+    texts += texts[::7]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    least = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if least[i] != least[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if g == b else g for g in least]
+    found = []
+    plain = ngram_join.crowded
+    monkeypatch.setattr(ngram_join, "crowded", lambda *args: found.append(plain(*args)) or found[-1])
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    got = ngram_join.near_duplicates(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    assert len(found[0]) > 50
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), g) for i, (s, g) in enumerate(zip(sets, least))}
+    assert 1 < len(set(least)) < len(sets)
+
+
 def test_passages(docs):
     rows = docs.collect()
     low = {}
