@@ -91,7 +91,7 @@ def train(kept: DataFrame, rounds: int = ROUNDS) -> dict[int, list[np.ndarray]]:
     seeds = kept.select("vec_id", "v", F.row_number().over(first).alias("place")).where(F.col("place") <= ENTRIES).select(F.size("v").alias("d"), "place", "v").collect()
     books: dict[int, list[np.ndarray]] = {}
     for d in {r["d"] for r in seeds}:
-        rows = np.array([r["v"] for r in sorted(seeds, key=lambda r: r["place"]) if r["d"] == d], np.int64).reshape(-1, d)
+        rows = np.array([r["v"] for r in sorted(seeds, key=lambda r: r["place"]) if r["d"] == d], np.int64)
         cuts = borders(d)
         books[d] = [rows[:, cuts[p] : cuts[p + 1]] for p in range(PARTS)]
     for _ in range(rounds if books else 0):
