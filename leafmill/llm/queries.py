@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, codes, langid, linedup, mixing, neardup_vectors, ngram_join, packing, pii, quality, suffix_dedup, tries
+from . import ann, codes, langid, linedup, mixing, neardup_vectors, ngram_join, packing, pii, quality, suffix_dedup, toxicity, tries
 from .base import held_out, table
 
 
@@ -61,6 +61,14 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(toxicity.labelled(docs, labels.where(~held_out(F.col("doc_id")))))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -71,7 +79,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(tries.rebuilt(tries.sequences(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_ann, op4_mixing, op5_ngram_join, op6_suffix_dedup, op7_packing, op8_vector_dedup, op9_quality, op10_line_dedup, op12_vector_codes, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_pii, op3_ann, op4_mixing, op5_ngram_join, op6_suffix_dedup, op7_packing, op8_vector_dedup, op9_quality, op10_line_dedup, op11_toxicity, op12_vector_codes, op13_prefix_trie)}
 
 _LINES = r"""SELECT doc_id, pos, line, lower_key AS key FROM (
   SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_key
