@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stemming import cover_density, lexemes
+from .stemming import cover_density, lexemes, stem
 
 
 @F.pandas_udf(T.DoubleType())
@@ -36,6 +36,12 @@ def stems(text: pd.Series) -> pd.Series:
     return text.map(lambda x: [] if x is None else [{"lexeme": s, "position": i} for s, i in lexemes(x)])
 
 
+@F.pandas_udf(T.StringType())
+def stemmed(word: pd.Series) -> pd.Series:
+    """The stem of a lower-case word."""
+    return word.map(lambda x: None if x is None else stem(x))
+
+
 @F.pandas_udf(T.DoubleType())
 def density(positions: pd.Series) -> pd.Series:
     """Cover density of a list of lists of positions, one list a term."""

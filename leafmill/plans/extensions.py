@@ -63,16 +63,6 @@ def synthetic_entries(spark, sf_dir):
     return U.page_titles(p, "doc", "page_id", "h1", "sub", "conf", "size")
 
 
-@query()
-def stemmed_search(spark, sf_dir):
-    """L1, L3, L4 and the plain AND of L2: stems, AND of all words, rank by cover density."""
-    index = U.stemmed_postings(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    terms = U.stemmed_postings(t(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text").select(F.col("item_id").alias("query_id"), "lexeme")
-    need = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    hits = index.join(search.small(terms, 100_000), "lexeme").groupBy("query_id", "doc_id").agg(F.collect_list("positions").alias("positions")).join(search.small(need), "query_id").where(F.size("positions") == F.col("need"))
-    return hits.select("query_id", "doc_id", F.round(U.density(F.col("positions")), 6).alias("rank"))
-
-
 @query()
 def embedded_texts(spark, sf_dir):
     """Texts embedded by a model (a stand-in here), only those that are pending."""
