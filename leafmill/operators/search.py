@@ -76,6 +76,15 @@ def hybrid(lists: list[DataFrame], k: int, query: str = "query_id", item: str =
     return top_k(fuse(rows, query, item, name="list"), [query], [F.desc("score"), F.col(item)], k)
 
 
+def fused_variants(dense_lists: DataFrame, term_lists: DataFrame, k: int, query: str = "query_id") -> DataFrame:
+    """Fused top-k of any number of lists a question: dense ones (query, list, item, rank, score) and ranked ones (query, list, item, rank), with the map of
+    ranks by list and the best cosine, 0 where no dense list has the item."""
+    cos = dense_lists.groupBy(query, "item").agg(F.greatest(F.lit(0.0), F.max("score")).alias("cos"))
+    rows = dense_lists.select(query, "list", "item", "rank").unionByName(term_lists.select(query, "list", "item", "rank"))
+    top = top_k(fuse(rows, query, "item", name="list"), [query], [F.desc("score"), F.col("item")], k)
+    return top.join(cos, [query, "item"], "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
+
+
 def hydrated(top: DataFrame, about: DataFrame, item: str) -> DataFrame:
     """Ranked rows with the columns of their items (null where there is none): the items are cut to those ranked before they
     meet, so what is dealt out of them grows with the lists alone."""

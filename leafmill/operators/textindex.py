@@ -141,8 +141,8 @@ def _density(spots: Column, clauses: Column, length: Column) -> Column:
     return F.aggregate(spots, start, lambda state, spot: count(add(state, spot)), lambda state: state["total"])
 
 
-def scores(blocks: DataFrame, terms: DataFrame, chosen: DataFrame, query: str, n_terms: int) -> DataFrame:
-    """(query, item, score) of all items of the chosen (query, block) that a branch holds for."""
+def scores(blocks: DataFrame, terms: DataFrame, chosen: DataFrame, query: str, n_terms: int, only: DataFrame | None = None) -> DataFrame:
+    """(query, item, score) of all items of the chosen (query, block) that a branch holds for, of those in ``only`` (item) where it is given."""
     pairs = chosen.select(query, "block").join(_sent(terms, n_terms), query)
     # what is chosen is a written table, so Spark sees its size and sends it to all tasks where it is small
     met = blocks.select("lexeme", "block", F.arrays_zip("items", "positions").alias("p")).join(pairs, ["lexeme", "block"])
@@ -157,33 +157,36 @@ def scores(blocks: DataFrame, terms: DataFrame, chosen: DataFrame, query: str, n
     held = branch.where((F.col("have") == F.col("need")) & (F.col("need") > 0) & ~F.col("barred"))
     # clauses are numbered from 0 within their branch, for the fold
     ordered = F.array_sort(F.transform("spots", lambda s: F.struct(s["end"].alias("end"), s["start"].alias("start"), (F.array_position("clauses", s["clause"]) - 1).cast("int").alias("clause"))))
+    if only is not None:
+        held = held.join(only, "item", "left_semi")
     dense = held.select(query, "item", _density(ordered, F.col("need").cast("int"), F.col("length")).alias("score"))
     return dense.groupBy(query, "item").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
-def chosen_blocks(index: Index, spark: SparkSession, terms: DataFrame, query: str, k: int, keep, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+def chosen_blocks(index: Index, spark: SparkSession, terms: DataFrame, query: str, k: int, keep, first: int = FIRST, only: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """((query, block) that were read, (query, item, score) of their items): the likeliest blocks first, then those that may still matter.
     ``keep(df, name)`` writes a table and reads it again."""
     blocks, n = _asked(index, spark, terms), terms.count()
     known = keep(bounds(blocks, terms, query, n), "bounds")
     early = keep(top_k(known, [query], [F.desc("bound"), F.col("block")], first, "place").select(query, "block"), "chosen")
-    found = keep(scores(blocks, terms, early, query, n), "early")
+    found = keep(scores(blocks, terms, early, query, n, only), "early")
     least = top_k(found, [query], [F.desc("score"), F.col("item")], k, "place").where(F.col("place") == k).select(query, F.col("score").alias("least"))
     rest = known.join(_sent(early, n * first), [query, "block"], "left_anti").join(_sent(least, n), query, "left")
     # a bound that only equals the k-th score may hide a tie with a smaller id; scores are rounded
     late = keep(rest.where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - 1e-6)).select(query, "block"), "late")
     if late.isEmpty():
         return early, found
-    return early.unionByName(late), found.unionByName(scores(blocks, terms, late, query, n))
+    return early.unionByName(late), found.unionByName(scores(blocks, terms, late, query, n, only))
 
 
-def _without(index: Index, spark: SparkSession, terms: DataFrame, query: str, k: int) -> DataFrame | None:
+def _without(index: Index, spark: SparkSession, terms: DataFrame, query: str, k: int, only: DataFrame | None) -> DataFrame | None:
     """(query, item, score 0) for branches of exclusions alone: the first k items without them, from ever longer runs of blocks."""
     open_ = terms.where("need = 0")
     if open_.isEmpty():
         return None
     asked, n = open_.select(query, "branch").distinct(), open_.count()
     items, blocks, first = index.items(spark), _asked(index, spark, open_), 4 * k
+    items = items if only is None else items.join(only, "item", "left_semi")
     there = items.count()
     while True:
         run = items.orderBy("item").limit(first)
@@ -207,11 +210,12 @@ def _barred(blocks: DataFrame, terms: DataFrame, query: str) -> DataFrame:
     return whole.where(F.size(at) > 0).select(query, "branch", "item").distinct()
 
 
-def ranked_search(index: Index, queries: DataFrame, k: int, keep, query: str = "query_id", text: str = "text") -> DataFrame:
-    """(query, item, score, rank): the k best items of each web query (words, "phrases", or, minus), ties to the smaller id."""
+def ranked_search(index: Index, queries: DataFrame, k: int, keep, query: str = "query_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(query, item, score, rank): the k best items of each web query (words, "phrases", or, minus), ties to the smaller id; of those in ``only``
+    (item) where it is given, so a filter comes before the cut."""
     spark = queries.sparkSession
     terms = keep(asked_terms(index, queries, query, text), "terms")
-    _, found = chosen_blocks(index, spark, terms, query, k, keep)
-    if (others := _without(index, spark, terms, query, k)) is not None:
+    _, found = chosen_blocks(index, spark, terms, query, k, keep, only=only)
+    if (others := _without(index, spark, terms, query, k, only)) is not None:
         found = found.unionByName(others).groupBy(query, "item").agg(F.max("score").alias("score"))
     return top_k(found, [query], [F.desc("score"), F.col("item")], k)

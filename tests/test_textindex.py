@@ -105,3 +105,14 @@ def test_an_index_of_nothing(spark, tmp_path):
     index = textindex.build(spark.createDataFrame([], "doc_id bigint, text string"), f"file://{tmp_path}/none")
     asked = spark.createDataFrame([(0, "bolt"), (1, "-bolt")], "query_id bigint, text string")
     assert textindex.ranked_search(index, asked, 3, Keeper(spark, "test")).collect() == []
+
+
+def test_filter_before_the_cut(spark, index, docs):
+    only = spark.range(0, 2000, 14).withColumnRenamed("id", "item")
+    asked = spark.createDataFrame(list(enumerate(QUERIES)), "query_id bigint, text string")
+    got = {}
+    for r in textindex.ranked_search(index, asked, 4, Keeper(spark, "test"), only=only).collect():
+        got.setdefault(r.query_id, []).append((r.item, r.score, r["rank"]))
+    kept = [d for d in docs if d[0] % 14 == 0 and d[0] < 2000]
+    for i, q in enumerate(QUERIES):
+        assert sorted(got.get(i, []), key=lambda x: x[2]) == plain_search(kept, q, 4, index.english), q
