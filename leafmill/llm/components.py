@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from .base import Scratch
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "edges") -> DataFrame:
     """edges: (u, v) longs.  Returns (node, component) for each node of an edge, component the smallest node reachable.
 
     Each round hangs every neighbour on its smallest one, so the depth of a component shrinks by a
-    constant factor; a round ends as a written table.  Minima are combined before rows are dealt out.
+    constant factor; a round ends as a written table.  Minima are combined before rows are dealt out.  Rounds end when every node
+    hangs on its component's smallest: none ends them before.
     """
     now = scratch.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}0")
-    for i in range(1, MAX_ROUNDS):
+    i = 0
+    while True:
+        i += 1
         tops = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         if now.select(F.col("v").alias("u")).join(tops, "u", "left_semi").limit(1).isEmpty() and tops.where("n > 1").limit(1).isEmpty():
             break
