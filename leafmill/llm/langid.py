@@ -6,8 +6,8 @@ matrix and a segmented sum gives each text its log likelihoods.  Only the n-gram
 touched, so a text costs its length and no dense vector is built.
 
 Languages are taken to be equally likely beforehand: their shares in the sample say how a corpus was
-collected, not what a text is.  A language counts if at least MIN_SHARE of the sampled rows have it, so the matrix has at most
-1 / MIN_SHARE columns whatever the labels hold.
+collected, not what a text is.  Every language of the sample is learned, however rare; with very many of them n-grams share fewer buckets, so that
+the matrix has at most CELLS numbers.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, an empty one too; null labels and null texts train
 nothing; with no labelled row, or an empty table to fit on, every text is ``und``; an empty table to predict gives
@@ -35,8 +35,8 @@ ALPHA = 0.05
 #: A text's evidence counts as that of so many n-grams at most, else each score would be 0 or 1.
 EVIDENCE = 60.0
 UNKNOWN = "und"
-#: Share of the sampled rows that a language needs to be learned.
-MIN_SHARE = 0.001
+#: Numbers of the matrix at most: all buckets up to 1,024 languages.
+CELLS = 1 << 25
 _letters: list[np.ndarray] = []
 
 
@@ -46,8 +46,8 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of the texts (BUCKETS where there is none), one array per size stacked by
+def grams(texts: list[str], n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of the texts (``n_buckets``, a power of two, where there is none), one array per size stacked by
     rows; first position of each text; number of n-grams of each text.  Letters are lower-cased, all else is one blank, and a blank
     stands before and behind each text; no n-gram holds two blanks together or parts of two texts."""
     low = [f" {t.lower()} " for t in texts]
@@ -57,8 +57,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.where(_letter_table()[codes], codes, np.uint32(32))
     blank = codes == 32
     twice = blank[:-1] & blank[1:]
-    out = np.full((len(SIZES), len(codes)), BUCKETS, np.int32)
-    shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
+    out = np.full((len(SIZES), len(codes)), n_buckets, np.int32)
+    shift = np.uint64(64 - (n_buckets.bit_length() - 1))
     rolled = np.zeros(len(codes), np.uint64)
     for n in range(1, max(SIZES) + 1):
         m = len(codes) - n + 1
@@ -72,10 +72,10 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 across = ends - 1 - k  # n-grams from here on reach into the next text
                 void[across[across < m]] = True
             bucket = ((rolled * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int32)
-            bucket[void] = BUCKETS
+            bucket[void] = n_buckets
             out[SIZES.index(n), :m] = bucket
     starts = ends - sizes
-    counts = np.add.reduceat((out != BUCKETS).sum(axis=0), starts) if len(texts) else np.zeros(0, np.int64)
+    counts = np.add.reduceat((out != n_buckets).sum(axis=0), starts) if len(texts) else np.zeros(0, np.int64)
     return out, starts, counts
 
 
@@ -83,34 +83,33 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """{langs, logp (BUCKETS + 1, languages) float32}; the last row of logp is zero."""
     known = bounded(labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), rows, key).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     # bounded by the sample
-    seen = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    often = [k for k, n in seen.items() if n >= MIN_SHARE * sum(seen.values())]
-    known = known.where(F.col("lang").isin(often))
+    n_langs = known.select("lang").distinct().count()
+    n_buckets = min(BUCKETS, 1 << max(4, (CELLS // max(1, n_langs)).bit_length() - 1))
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in lean(batches):
             names = np.array(batch.column(0).to_pylist(), object)
             for start, texts in slices(batch.column(1).to_pylist()):
-                buckets, starts, _ = grams(texts)
+                buckets, starts, _ = grams(texts, n_buckets)
                 ends = np.append(starts[1:], buckets.shape[1])
                 for i, (a, b) in enumerate(zip(starts, ends)):
                     name = names[start + i]
                     if name not in sums:
-                        sums[name] = np.zeros(BUCKETS + 1, np.int64)
-                    sums[name] += np.bincount(buckets[:, a:b].ravel(), minlength=BUCKETS + 1)
+                        sums[name] = np.zeros(n_buckets + 1, np.int64)
+                    sums[name] += np.bincount(buckets[:, a:b].ravel(), minlength=n_buckets + 1)
         for name, n in sums.items():
-            at = np.flatnonzero(n[:BUCKETS])
+            at = np.flatnonzero(n[:n_buckets])
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
     counted = known.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique(), key=lambda x: x.encode())
-    freq = np.zeros((BUCKETS, max(1, len(langs))))
+    freq = np.zeros((n_buckets, max(1, len(langs))))
     if len(counted):
         freq[counted["bucket"].to_numpy(), counted["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()] = counted["n"].to_numpy()
     total = freq.sum(axis=0)
-    logp = np.log(freq + ALPHA) - np.log(total + ALPHA * BUCKETS)
-    return {"langs": langs, "logp": np.vstack([logp, np.zeros((1, logp.shape[1]))]).astype(np.float32)}
+    logp = np.log(freq + ALPHA) - np.log(total + ALPHA * n_buckets)
+    return {"langs": langs, "buckets": n_buckets, "logp": np.vstack([logp, np.zeros((1, logp.shape[1]))]).astype(np.float32)}
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -132,7 +131,7 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep: tuple[str, .
             letter = batch.column(batch.schema.get_field_index(letter_name)).to_numpy(zero_copy_only=False).astype(bool)
             if m["langs"]:
                 for start, texts in slices(batch.column(batch.schema.get_field_index(read)).to_pylist()):
-                    buckets, starts, counts = grams(texts)
+                    buckets, starts, counts = grams(texts, m["buckets"])
                     loglik = np.zeros((len(texts), len(m["langs"])))
                     for row in buckets:
                         loglik += np.add.reduceat(m["logp"][row], starts, axis=0, dtype=np.float64)
