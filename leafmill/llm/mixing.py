@@ -10,8 +10,8 @@ a document's copies are in proportion to it, none above CEILING, and what a full
 
 No source is sorted in one task: ranks are cut into BINS by value, small sums by (source, bin) find
 the bin in which the target is met, and only that bin is ranked row by row.  What a document that
-doesn't fit leaves open is filled in further passes from the rest of the order; after PASSES of them a source may miss its target by
-less than the smallest document that was left, or by a few words.
+doesn't fit leaves open is filled in further passes from the rest of the order, until nothing that is left fits: a source
+misses its target by less than the smallest document left.
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, the last;
 repeated rows are separate documents that rank alike but for a row number; a source without words has
@@ -30,9 +30,6 @@ from .base import Scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CEILING = 1.5, 2.0
 BINS = 4096
-PASSES = 4
-#: Rounds in which the excess of full documents is shared again, at most.
-ROUNDS = 60
 SEED = 4
 
 
@@ -59,19 +56,44 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def _reshared(sized: DataFrame, goal: DataFrame, scratch: Scratch) -> DataFrame:
     """goal with the rate at which copies, none above CEILING, sum to a source's target: what a document can't take is shared
-    among the others by importance.  A rate only grows from round to round and stands when no further document is full."""
-    full = -1
-    for i in range(ROUNDS):
-        rows = sized.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).where(F.col("importance") * F.col("rate") >= CEILING)
-        held = scratch.keep(rows.groupBy(F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"), F.sum(F.col("size") * F.col("importance")).alias("of_mass")), f"full{i}")
-        now = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if now == full or not now:
-            break
-        full = now
-        left = F.col("mass") - F.col("of_mass")
-        rate = F.when(F.col("s").isNull() & F.col("n").isNull() | (left <= F.col("mass") * 1e-12), F.col("rate")).otherwise((F.col("target") - CEILING * F.col("words")) / left)
-        goal = scratch.keep(goal.join(held, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("rate", F.greatest("rate", rate)).drop("s", "n", "words", "of_mass"), f"goal{i}")
-    return goal
+    among the others by importance.
+
+    Documents fill up in descending importance; one is full if the rate that holds beside it and all before it fills it.  Sums by
+    (source, bin of importance) tell the bin in which that ends, and only that bin's distinct importances are looked at one by one."""
+    some = sized.where(F.col("importance") > 0)
+    lo, hi = some.agg(F.min("importance"), F.max("importance")).first()
+    if lo is None:
+        return goal
+    bin_ = F.floor((F.col("importance") - lo) / (hi - lo) * BINS).cast("int") if hi > lo else F.lit(0)
+    same = F.col("source").eqNullSafe(F.col("s"))
+    told = goal.withColumnRenamed("source", "s").select("s", "target", "mass")
+
+    def last_full(sums: DataFrame, *order: Column) -> DataFrame:
+        """sums (source, words, of_mass, least, target, mass, words0, mass0) with the sums before each row and whether it is full."""
+        upto = Window.partitionBy("source").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        both = sums.withColumns({"all_words": F.col("words0") + F.sum("words").over(upto), "all_mass": F.col("mass0") + F.sum("of_mass").over(upto)})
+        left, open_ = F.col("target") - CEILING * F.col("all_words"), F.col("mass") - F.col("all_mass")
+        full = F.when(open_ <= F.col("mass") * 1e-12, left >= -1e-9 * F.col("target")).otherwise(left * F.col("least") >= CEILING * (1 - 1e-12) * open_)
+        # what comes after the first that isn't full isn't either
+        return both.withColumn("full", F.min(full).over(upto))
+
+    binned = some.groupBy("source", bin_.alias("bin")).agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("importance")).alias("of_mass"), F.min("importance").alias("least"))
+    binned = binned.join(told, same).drop("s").withColumns({"words0": F.lit(0), "mass0": F.lit(0.0)})
+    bins = scratch.keep(last_full(binned, F.desc("bin")), "bins")
+    edge = bins.where("NOT full").groupBy("source").agg(F.max("bin").alias("edge"))
+    before = bins.where("full").groupBy(F.col("source").alias("s")).agg(F.max("all_words").alias("words0"), F.max("all_mass").alias("mass0"), F.min("least").alias("least0"))
+    at = edge.join(before, same, "left").select("source", "edge", F.coalesce("words0", F.lit(0)).alias("words0"), F.coalesce("mass0", F.lit(0.0)).alias("mass0"))
+    at = at.join(told, same).drop("s").withColumnRenamed("source", "s")
+    each = some.withColumn("bin", bin_).join(at, same & (F.col("bin") == F.col("edge"))).groupBy("source", F.col("importance").alias("least"))
+    each = each.agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("importance")).alias("of_mass"), *(F.first(c).alias(c) for c in ("words0", "mass0", "target", "mass")))
+    ends = last_full(each, F.desc("least")).groupBy("source").agg(F.max(F.when(F.col("full"), F.struct("all_words", "all_mass"))).alias("e"), F.first("words0").alias("words0"), F.first("mass0").alias("mass0"))
+    ends = ends.select(F.col("source").alias("s"), F.coalesce("e.all_words", "words0").alias("full_words"), F.coalesce("e.all_mass", "mass0").alias("full_mass"))
+    # where all are full the rate is what fills the least important of them
+    whole = before.join(edge, F.col("s").eqNullSafe(F.col("source")), "left_anti").select(F.col("s").alias("s2"), "least0")
+    rated = goal.join(ends, same, "left").drop("s").join(whole, F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
+    rest = F.col("mass") - F.col("full_mass")
+    rate = F.when(F.col("least0").isNotNull(), CEILING / F.col("least0")).when(rest > 0, (F.col("target") - CEILING * F.col("full_words")) / rest).otherwise(F.col("rate"))
+    return scratch.keep(rated.withColumn("rate", rate).drop("full_words", "full_mass", "least0"), "rated")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", importance: Column | str | None = None, seed: int = SEED, scratch: Scratch | None = None) -> DataFrame:
@@ -105,7 +127,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
     need = spread.groupBy("source").agg((F.max("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"))
     open_, taken = spread.where(F.col("place").isNotNull() & (F.col("size") > 0)).select("row", "doc_id", "source", "size", "place", "bin"), None
-    for i in range(PASSES):
+    i = 0
+    while True:
         need = need.where(F.col("need") >= 1)
         bins = open_.groupBy("source", "bin").agg(F.sum("size").alias("words"))
         bins = bins.join(need.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -119,11 +142,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
         fits = edge.where(F.col("sum") <= F.col("need")).select("row", "source", "size")
         got = scratch.keep(whole.unionByName(fits), f"got{i}")
         taken = got if taken is None else taken.unionByName(got)
-        if i + 1 < PASSES:
-            sums = got.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("got"))
-            need = scratch.keep(need.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")), f"need{i}")
-            left = need.where(F.col("need") >= 1).select(F.col("source").alias("s"), F.col("need").alias("room"))
-            open_ = scratch.keep(open_.join(got.select("row"), "row", "left_anti").join(left, F.col("source").eqNullSafe(F.col("s"))).where(F.col("size") <= F.col("room")).drop("s", "room"), f"open{i}")
+        sums = got.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("got"))
+        need = scratch.keep(need.join(sums, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need")), f"need{i}")
+        left = need.where(F.col("need") >= 1).select(F.col("source").alias("s"), F.col("need").alias("room"))
+        open_ = scratch.keep(open_.join(got.select("row"), "row", "left_anti").join(left, F.col("source").eqNullSafe(F.col("s"))).where(F.col("size") <= F.col("room")).drop("s", "room"), f"open{i}")
+        # the first of what is left fits, so each pass takes something from each source that is open
+        if open_.isEmpty():
+            break
+        i += 1
     copies = spread.join(taken.select("row", F.lit(1).alias("one")), "row", "left")
     return copies.select("row", "doc_id", "source", "digest", "size", "source_size", "target", (F.col("whole") + F.coalesce("one", F.lit(0))).cast("bigint").alias("copies"))
 

@@ -230,6 +230,33 @@ def test_mixing(docs):
     assert mixing.repeated(docs, mixing.mix(docs)).columns == docs.columns
 
 
+def test_many_languages_share_fewer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 1 << 12)
+    say = {f"l{i}": "".join(chr(97 + (i * 7 + k) % 26) for k in range(4)) for i in range(30)}
+    model = langid.fit(spark.createDataFrame([(i, f"{w} {w}", k, "s", 0) for i, (k, w) in enumerate(say.items())], DOCS))
+    assert model["langs"] == sorted(say) and model["buckets"] == 128 and model["logp"].shape == (129, 30)
+    test = spark.createDataFrame([(i, f"{w} {w} {w}") for i, w in enumerate(say.values())], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(test, model).collect()}
+    assert sum(got[i] == f"l{i}" for i in got) >= 25
+
+
+def test_components_of_a_long_path(spark):
+    """Rounds go on until all hang on the smallest node: a path, a star and a ring, shuffled."""
+    from leafmill.llm.base import Scratch
+    from leafmill.llm.components import components
+
+    names = random.Random(3).sample(range(10_000), 1400)
+    path = [(names[i], names[i + 1]) for i in range(800)]
+    ring = [(names[900 + i], names[900 + (i + 1) % 300]) for i in range(300)]
+    star = [(names[1300], names[1301 + i]) for i in range(99)]
+    edges = spark.createDataFrame(path + ring + star, "u long, v long").repartition(5)
+    got = {r.node: r.component for r in components(edges, Scratch(spark, "path")).collect()}
+    want = {}
+    for part in (names[:801], names[900:1200], names[1300:1400]):
+        want |= dict.fromkeys(part, min(part))
+    assert got == want
+
+
 @pytest.mark.parametrize("unequal", [False, True])
 def test_mixing_selection(spark, unequal):
     """The documents taken are those that Pareto ranks and reshared rates give by themselves."""
@@ -259,7 +286,7 @@ def test_mixing_selection(spark, unequal):
             if p > 0:
                 order.append((u * (1 - p) / (u * (1 - p) + (1 - u) * p), i, n))
         need, order = target - sum(copies[i] * n for i, n, _ in mine), sorted(order)
-        for _ in range(mixing.PASSES):
+        while order:
             total, rest = 0, []
             for k, (_, i, n) in enumerate(order):
                 total += n
@@ -289,6 +316,8 @@ def test_language(docs, spark):
     got = {x.doc_id: (x.lang_pred, x.score) for x in langid.predict(test, model).collect()}
     assert [got[i][0] for i in range(1, 7)] == ["en", "de", "und", "und", "und", "fr"] and got[3][1] == 0 and all(0 <= s <= 1 for _, s in got.values())
     none = langid.fit(docs.where("false"))
+    rare = langid.fit(spark.createDataFrame([*rows * 8, (900, "kaksi kolme viisi", "fi", "s", 0), (901, "kolme kuusi", "fi", "s", 0)], DOCS))
+    assert [x.lang_pred for x in langid.predict(spark.createDataFrame([(1, "viisi kuusi kolme"), (2, "nicht eine und")], "doc_id long, text string"), rare).orderBy("doc_id").collect()] == ["fi", "de"]
     assert {x.lang_pred for x in langid.predict(docs, none).collect()} == {"und"}
 
 
