@@ -1,8 +1,8 @@
-"""Tables from recognised pages, and writers that replace one document and nothing else."""
+"""Tables from recognised pages, and a writer that replaces documents in all tables at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,6 +10,7 @@ from ..functions.python_udfs import title_case
 from ..sources import pages as S
 from . import chunking, extraction, sequence
 from .ranking import first_wins, ranked
+from .versions import Store
 
 ENUMS = {"chunk_type": ["procedure", "flowchart", "spec_table", "text", "figure"], "side": ["IN", "EX"], "source_engine": ["torque", "table"]}
 
@@ -50,12 +51,23 @@ def load_questions(questions: DataFrame, key: str, root: str) -> None:
     question_rows(questions, key).write.mode("overwrite").parquet(f"{root}/eval_questions")
 
 
-def load(page_rows: DataFrame, contents: DataFrame, document: str) -> dict[str, DataFrame]:
-    """The tables of one document: pages, toc_entries, procedures, chunks, specs, special_tools, part_numbers, dtc_codes, consumables, steps,
-    review_queue.  Ids come from the natural order, so that a second load gives the same."""
-    ids = lambda df, *order: numbered(df, *order).withColumn("document_id", F.lit(document))
-    # a document's distinct parts and codes are few
-    named = lambda df, order: df.withColumn("id", F.row_number().over(Window.orderBy(order))).withColumn("document_id", F.lit(document))
+def load(page_rows: DataFrame, contents: DataFrame, document: str | None = None) -> dict[str, DataFrame]:
+    """The tables of any number of documents: pages, toc_entries, procedures, chunks, specs, special_tools, part_numbers, dtc_codes, consumables, steps,
+    review_queue.  Pages and contents tell their documents in ``document_id``, or are all of ``document``.  Ids come from the natural order within a
+    document, so that a second load, alone or with others, gives the same."""
+    told = lambda df: df.withColumn("document_id", F.lit(document)) if document is not None else df
+    # within, a page and a procedure carry their document, so whatever is grouped or joined by them stays within it
+    paged = lambda df: told(df).withColumn("pdf_page", F.struct("document_id", F.col("pdf_page").alias("page")))
+    page_rows, contents = paged(page_rows), paged(contents)
+
+    def ids(df: DataFrame, *order: str) -> DataFrame:
+        owner = F.col("document_id") if "document_id" in df.columns else F.col("pdf_page.document_id") if "pdf_page" in df.columns else F.col("procedure_id.document_id")
+        return df.withColumn("document_id", owner).withColumn("id", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)).cast("bigint"))
+
+    def flat(df: DataFrame) -> DataFrame:
+        inner = {"pdf_page": "page", "procedure_id": "id"}
+        return df.withColumns({c: F.col(c)[f] for c, f in inner.items() if c in df.columns})
+
     lines = S.lines(page_rows).withColumn("norm", X.normalised(F.col("text")))
     blocks = lines.where((F.length(F.regexp_replace("norm", "[^A-Za-z0-9]", "")) >= 2) & ((F.col("conf") >= 55) | (F.col("region") == "header")))
     text_of = blocks.groupBy("pdf_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]), "\n").alias("ocr_text"))
@@ -66,9 +78,10 @@ def load(page_rows: DataFrame, contents: DataFrame, document: str) -> dict[str,
     entries = contents.select(F.col("order").alias("ord"), "title", "pdf_page")
     heads = entries.join(blocks.select("pdf_page", "pos", "norm"), "pdf_page", "left").groupBy("ord", "title", "pdf_page").agg(F.coalesce(F.min(F.when(F.lower("norm") == F.lower("title"), F.col("pos"))), F.lit(0)).alias("cut"))
     heads = sequence.spread_cuts(heads, ["pdf_page"], ["ord"], "cut")
-    place = lambda page, pos: page.cast("long") * 1_000_000 + pos
+    place = lambda page, pos: page["page"].cast("long") * 1_000_000 + pos
     procedures = ids(heads.withColumn("at", place(F.col("pdf_page"), F.col("cut"))).withColumn("procedure_type", X.operation(F.col("title"))), "at", "ord")
-    owned = sequence.assign(blocks.withColumn("at", place(F.col("pdf_page"), F.col("pos"))), "at", procedures.select("at", F.col("id").alias("procedure_id"), "title"), "at", ["procedure_id", "title"])
+    marks = procedures.select("document_id", "at", F.struct("document_id", "id").alias("procedure_id"), "title")
+    owned = sequence.assign(blocks.withColumns({"at": place(F.col("pdf_page"), F.col("pos")), "document_id": F.col("pdf_page.document_id")}), "at", marks, "at", ["procedure_id", "title"], ["document_id"])
     body = owned.where("procedure_id IS NOT NULL AND NOT in_figure")
     starts = F.col("norm").rlike(X.STEP) | F.col("norm").startswith("•") | F.col("norm").rlike(X.WARNING)
     paras = chunking.paragraphs(body.select("procedure_id", "at", "norm", "pdf_page", "title"), ["procedure_id", "title"], "at", "norm", starts, "pdf_page")
@@ -95,29 +108,15 @@ def load(page_rows: DataFrame, contents: DataFrame, document: str) -> dict[str,
     used = body.where(F.col("norm").rlike(X.CONSUMABLE) & (F.char_length("norm") < 160)).groupBy("procedure_id", F.col("norm").alias("text")).agg(F.min("at").alias("at"))
     used = ids(ranked(used, ["procedure_id"], [F.col("at")]).where("rank <= 12").drop("rank"), "procedure_id", "at").drop("at")
     parts = owned.select("pdf_page", "pos", F.explode(X.every(F.col("norm"), X.PART_MENTION, 1)).alias("raw")).withColumn("part_number", F.regexp_replace("raw", r"\s?[-–—]\s?", "-"))
-    parts = named(parts.groupBy("part_number").agg(F.min("pdf_page").alias("pdf_page")), "part_number")
-    codes = owned.where(F.col("norm").rlike(X.TROUBLE)).groupBy(F.regexp_extract("norm", X.TROUBLE, 1).alias("code")).agg(F.min_by(F.regexp_extract("norm", X.TROUBLE, 2), "at").alias("description"))
-    return {
+    parts = ids(parts.groupBy("pdf_page.document_id", "part_number").agg(F.min("pdf_page").alias("pdf_page")), "part_number")
+    codes = owned.where(F.col("norm").rlike(X.TROUBLE)).groupBy("document_id", F.regexp_extract("norm", X.TROUBLE, 1).alias("code")).agg(F.min_by(F.regexp_extract("norm", X.TROUBLE, 2), "at").alias("description"))
+    found = {
         "pages": pages, "toc_entries": ids(entries, "ord"), "procedures": procedures, "chunks": chunks, "specs": specs, "special_tools": tools, "part_numbers": parts,
-        "dtc_codes": named(codes, "code"), "consumables": used, "steps": steps, "review_queue": review,
+        "dtc_codes": ids(codes, "code"), "consumables": used, "steps": steps, "review_queue": review,
     }
+    return {name: flat(df) for name, df in found.items()}
 
 
-def write(tables: dict[str, DataFrame], root: str) -> None:
-    """Each table under its name, the document's partition replaced and the others untouched."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(f"{root}/{name}")
-
-
-def counts(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    out = None
-    for name in names:
-        one = spark.read.parquet(f"{root}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def snapshot(spark: SparkSession, root: str, names: list[str], to: str) -> None:
-    """A copy of the tables, to go back to."""
-    for name in names:
-        spark.read.parquet(f"{root}/{name}").write.mode("overwrite").parquet(f"{to}/{name}")
+def write(tables: dict[str, DataFrame], store: Store, documents: DataFrame | None = None) -> int:
+    """Puts the documents in place in all tables at once (``documents``: also those that have no page); returns the version."""
+    return store.commit(tables, documents if documents is not None else tables["pages"].select("document_id"))
