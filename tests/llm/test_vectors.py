@@ -168,3 +168,20 @@ def test_recall_and_share_measured(spark):
     share = float(np.median(list(measured.values()))) / len(x)
     print("recall", of(0, 12_000), of(12_000, 18_000), of(18_000, 20_000), "median share measured in a task", share)
     assert min(of(0, 12_000), of(12_000, 18_000), of(18_000, 20_000)) >= 0.9
+
+
+def test_windows_far_narrower_than_the_table(spark, monkeypatch):
+    """Pairs a little above the threshold among many others: found by neighbours in sorted passes, also over borders of tiles."""
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 64)
+    monkeypatch.setattr(neardup_vectors, "WIDEST", 200)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(5000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    aside = rng.normal(size=(500, 64))
+    aside -= (aside * x[:500]).sum(axis=1)[:, None] * x[:500]
+    x = np.vstack([x, 0.91 * x[:500] + np.sqrt(1 - 0.91**2) * aside / np.linalg.norm(aside, axis=1)[:, None]])
+    wide, passes = neardup_vectors.windows_for(x, len(x), 0.9, 16, neardup_vectors.RECALL)
+    assert wide <= 200 and passes > 1
+    got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), window=16).collect()}
+    assert np.mean([got[5000 + i].component_id == i and got[i].n_links == 1 for i in range(500)]) >= 0.97
+    assert all(got[i].n_links == 0 for i in range(500, 5000))
