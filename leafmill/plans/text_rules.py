@@ -38,19 +38,22 @@ _NEAR = "list_filter(['D15B7', 'D15B8', 'D15Z1', 'D16Z6'], lambda e: length(e) =
 _KNOWN = "CASE k " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in X.ENGINE_FIX.items()) + " END"
 
 
-def _without_lookaround() -> list[tuple[str, str]]:
-    """The rules for an engine whose expressions can't look around: what stands beside is captured and put back."""
-    out = [(r"^\s*[@\x{FFFD}©®]\s+", "• ")]
-    for printed, first, joint, touch, second in X._UNITS:
-        out.append((rf"([0-9])\s*{first}(?:\s?[{joint}]\s?){'?' if touch else ''}{second}\b", rf"\1 {printed}"))
-    # a digit between two dashes is captured by one of them only, so this goes over a line twice
-    out += [(r"([0-9])\s?[—–\x{FFFD}~]\s?([0-9])", r"\1-\2")] * 2
-    out.append((r"\b([0-9]{1,2})\s?[xX×]\s?([0-9]\.[0-9]{1,2}) ?mm\b", r"\1 x \2 mm"))
-    return [*out, (r"([0-9])\s?°\s?C\b", r"\1 °C"), (r"([0-9])\x{FFFD}\s?([CF])\b", r"\1 °\2")]
-
+#: The other engine's own rules: it can't look around, so what stands beside is captured and put back.  A digit between two dashes is captured by one
+#: of them only, so that rule goes over a line twice.
+_MENDED = [
+    (r"^\s*[@\x{FFFD}©®]\s+", "• "),
+    (r"([0-9])\s*N(m|\s?[e*.•·°o-]\s?m)\b", r"\1 N·m"),
+    (r"([0-9])\s*(l|I|i|W|1|\|)b\s?(-|–|—)\s?ft\b", r"\1 lb-ft"),
+    (r"([0-9])\s*kg\s?(-|–|—|~)\s?(m|rn)\b", r"\1 kg-m"),
+    (r"([0-9])\s?[—–\x{FFFD}~]\s?([0-9])", r"\1-\2"),
+    (r"([0-9])\s?[—–\x{FFFD}~]\s?([0-9])", r"\1-\2"),
+    (r"\b([0-9]{1,2})\s?[xX×]\s?([0-9]\.[0-9]{1,2}) ?mm\b", r"\1 x \2 mm"),
+    (r"([0-9])\s?°\s?C\b", r"\1 °C"),
+    (r"([0-9])\x{FFFD}\s?([CF])\b", r"\1 °\2"),
+]
 
 _RULED = "line"
-for _p, _r in _without_lookaround():
+for _p, _r in _MENDED:
     _RULED = f"regexp_replace({_RULED}, '{_p}', '{_r}', 'g')"
 
 
