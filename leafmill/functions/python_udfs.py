@@ -6,11 +6,10 @@ import difflib
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stemming import cover_density, lexemes, stem
+from .stemming import stem
 
 
 @F.pandas_udf(T.DoubleType())
@@ -31,110 +30,7 @@ def title_case(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else x.title())
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("lexeme", T.StringType()), T.StructField("position", T.IntegerType())])))
-def stems(text: pd.Series) -> pd.Series:
-    return text.map(lambda x: [] if x is None else [{"lexeme": s, "position": i} for s, i in lexemes(x)])
-
-
 @F.pandas_udf(T.StringType())
 def stemmed(word: pd.Series) -> pd.Series:
     """The stem of a lower-case word."""
     return word.map(lambda x: None if x is None else stem(x))
-
-
-@F.pandas_udf(T.DoubleType())
-def density(positions: pd.Series) -> pd.Series:
-    """Cover density of a list of lists of positions, one list a term."""
-    return pd.Series([cover_density([list(map(int, p)) for p in ps]) if ps is not None else 0.0 for ps in positions], dtype="float64")
-
-
-def stemmed_postings(docs: DataFrame, item: str, text: str) -> DataFrame:
-    """(lexeme, item, positions)."""
-    rows = docs.select(item, F.explode(stems(F.col(text))).alias("x")).select(item, "x.lexeme", "x.position")
-    return rows.groupBy("lexeme", item).agg(F.array_sort(F.collect_list("position")).alias("positions"))
-
-
-def running_rows(df: DataFrame, page: str, centre: str, within: float, mean: bool) -> DataFrame:
-    """Numbers rows of a page's words in order of their centres: a word joins while it is within ``within`` of the running mean
-    of the row (or of its first word).  State depends on what was joined, so a page is one pandas group."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", row int"
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([centre, *(c for c in pdf.columns if c != centre)], kind="stable").reset_index(drop=True)
-        row, total, n, rows = -1, 0.0, 0, []
-        for c in pdf[centre]:
-            if row < 0 or abs(c - (total / n)) >= within:
-                row, total, n = row + 1, c, 1
-            elif mean:
-                total, n = total + c, n + 1
-            rows.append(row)
-        return pdf.assign(row=rows)
-
-    return df.groupBy(page).applyInPandas(number, schema)
-
-
-class Titles:
-    """Titles in the order in which they were met, found again by likeness."""
-
-    def __init__(self, least: float = 0.85, shortest: int = 6):
-        self.least, self.shortest, self.met = least, shortest, {}
-
-    def find(self, heading: str) -> str | None:
-        """The first title that contains the heading or is like it, whatever the case."""
-        if len(heading) < self.shortest:
-            return None
-        low = heading.lower()
-        for title, (text, matcher) in self.met.items():
-            if low in text:
-                return title
-            matcher.set_seq1(low)
-            # two cheap bounds from above spare most of the comparisons
-            if min(matcher.real_quick_ratio(), matcher.quick_ratio()) >= self.least and matcher.ratio() >= self.least:
-                return title
-        return None
-
-    def add(self, title: str) -> None:
-        if title not in self.met:
-            text = title.lower()
-            self.met[title] = (text, difflib.SequenceMatcher(b=text))
-
-
-def _role(is_open: bool, known: bool, small: bool, has_subtitle: bool, sure: bool) -> str:
-    """What a heading is on its page."""
-    if known or not is_open:
-        return "title"
-    if small and not has_subtitle:
-        return "subtitle"
-    return "title" if sure else "noise"
-
-
-def page_titles(df: DataFrame, document: str, page: str, title: str, subtitle: str, confidence: str, size: str) -> DataFrame:
-    """Entries for pages that a table of contents doesn't cover: (document, page, entry).
-
-    A page without a heading goes on with what is open.  A heading that is like a title met before is that title.  Any other opens a
-    title if none is open; under an open one, a heading smaller than 60 without a subtitle of its own is a subtitle, and one read
-    with a confidence below 70 is noise.  Subtitles of fewer than six letters count as none.  An entry is made where the
-    title changes, or where both the open and the new subtitle are there and differ."""
-    kind = df.schema[document].dataType.simpleString()
-
-    def differ(old: str, new: str) -> bool:
-        return bool(old and new) and difflib.SequenceMatcher(None, new.lower(), old.lower()).ratio() < 0.8
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        titles, shown, made = Titles(), (None, ""), []
-        headed = pdf[pdf[title].fillna("") != ""].sort_values(page)
-        for doc, number, heading, below, sure, height in zip(*(headed[c] for c in (document, page, title, subtitle, confidence, size))):
-            below = below or ""
-            known = titles.find(heading)
-            role = _role(shown[0] is not None, known is not None, height < 60, bool(below), sure >= 70)
-            if role == "noise":
-                continue
-            name, under = (shown[0], heading) if role == "subtitle" else (known or heading, below)
-            under = under if sum(map(str.isalpha, under)) >= 6 else ""
-            if name != shown[0] or differ(shown[1], under):
-                shown = (name, under)
-                titles.add(name)
-                made.append((doc, number, " › ".join(filter(None, shown))))
-        return pd.DataFrame(made, columns=["document", "page", "entry"])
-
-    return df.groupBy(document).applyInPandas(entries, f"document {kind}, page bigint, entry string")

@@ -1,4 +1,4 @@
-"""English stems by the published Porter2 rules, and positions of lexemes."""
+"""English stems by the published Porter2 rules."""
 
 from __future__ import annotations
 
@@ -91,22 +91,3 @@ def stem(word: str) -> str:
     elif w.endswith("ll") and len(w) - 1 >= r2:
         w = w[:-1]
     return w.replace("Y", "y")
-
-
-def lexemes(text: str) -> list[tuple[str, int]]:
-    """(stem, position) of each word that isn't a stop word; stop words take a position too."""
-    return [(stem(w), i) for i, w in enumerate(re.findall(r"[a-z0-9]+", text.lower()), 1) if w not in STOP_WORDS]
-
-
-def cover_density(positions: list[list[int]], weight: float = 0.1) -> float:
-    """Sum over minimal covers of all terms of weight / (1 + noise), noise being the positions in it beyond the terms'."""
-    if not positions or not all(positions):
-        return 0.0
-    spots = sorted((p, i) for i, ps in enumerate(positions) for p in ps)
-    n, total, last, have = len(positions), 0.0, {}, -1
-    for p, i in spots:
-        last[i] = p
-        if len(last) == n and (start := min(last.values())) > have:
-            total += weight / (1 + max(0, p - start + 1 - n))
-            have = start
-    return total

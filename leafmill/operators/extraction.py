@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookup as L
 from ..functions import text as X
-from ..functions.python_udfs import running_rows
+from .sequence import running_rows
 
 # Distances on a page in pixels.
 FASTENER_ASIDE, FASTENER_ABOVE = 140, 70

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.python_udfs import title_case
 from ..sources import pages as S
-from . import chunking, extraction, sequence
+from . import alignment, chunking, extraction, sequence
 from .ranking import first_wins, ranked
 from .versions import Store
 
@@ -74,9 +74,10 @@ def load(page_rows: DataFrame, contents: DataFrame, document: str | None = None)
     pages = ids(page_rows.select("pdf_page", "mean_conf", "layout").join(text_of, "pdf_page", "left").withColumn("needs_review", F.col("mean_conf") < 70), "pdf_page")
     review = pages.where("needs_review").select(F.lit("page").alias("item_type"), F.col("id").alias("item_id"), F.lit("low_conf").alias("reason"), "document_id")
 
-    # a procedure starts at the line that has its title, else at the top of its page
+    # a procedure starts at the line that is most like its title, else at the top of its page
     entries = contents.select(F.col("order").alias("ord"), "title", "pdf_page")
-    heads = entries.join(blocks.select("pdf_page", "pos", "norm"), "pdf_page", "left").groupBy("ord", "title", "pdf_page").agg(F.coalesce(F.min(F.when(F.lower("norm") == F.lower("title"), F.col("pos"))), F.lit(0)).alias("cut"))
+    heads = alignment.heading_cuts(entries, blocks.where("NOT in_figure"), "pdf_page", "title", "pos", "norm")
+    heads = heads.select("ord", "title", "pdf_page", F.coalesce("cut", F.lit(0)).alias("cut"))
     heads = sequence.spread_cuts(heads, ["pdf_page"], ["ord"], "cut")
     place = lambda page, pos: page["page"].cast("long") * 1_000_000 + pos
     procedures = ids(heads.withColumn("at", place(F.col("pdf_page"), F.col("cut"))).withColumn("procedure_type", X.operation(F.col("title"))), "at", "ord")

@@ -32,6 +32,29 @@ def gap_clusters(df: DataFrame, by: list[str], position: str, gap: float, name:
     return df.withColumn(name, run_id(F.coalesce(far, F.lit(False)), by, [position]))
 
 
+def running_rows(df: DataFrame, page: str, centre: str, within: float, mean: bool) -> DataFrame:
+    """Numbers rows of a page's words in order of their centres: a word joins while it is within ``within`` of the running mean
+    of the row (or of its first word).  One fold over the page's ordered words keeps the open row and where rows start; a word's row is the number of
+    starts up to it."""
+    others = [c for c in df.columns if c not in (page, centre)]
+    words = df.groupBy(page).agg(F.array_sort(F.collect_list(F.struct(centre, *others))).alias("__words"))
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0.0).alias("total"), F.lit(0).alias("n"), F.lit(0).alias("i"))
+
+    def step(state: Column, word: Column) -> Column:
+        at = word[centre].cast("double")
+        new = (state["n"] == 0) | (F.abs(at - state["total"] / state["n"]) >= within)
+        total, n = (state["total"] + at, state["n"] + 1) if mean else (state["total"], state["n"])
+        starts = F.when(new, F.concat(state["starts"], F.array(state["i"]))).otherwise(state["starts"])
+        return F.struct(starts.alias("starts"), F.when(new, at).otherwise(total).alias("total"), F.when(new, F.lit(1)).otherwise(n).alias("n"), (state["i"] + 1).alias("i"))
+
+    starts = F.aggregate("__words", start, step, lambda s: s["starts"])
+    # each row's number as often as it has words
+    ends = lambda i: F.coalesce(F.get("__starts", i + 1), F.size("__words"))
+    numbers = F.flatten(F.transform("__starts", lambda s, i: F.array_repeat(i, ends(i) - s)))
+    placed = words.withColumn("__starts", starts).select(page, F.explode(F.arrays_zip(F.col("__words").alias("w"), numbers.alias("row"))).alias("__x"))
+    return placed.select(*(F.col(page) if c == page else F.col("__x.w")[c].alias(c) for c in df.columns), F.col("__x.row").alias("row"))
+
+
 def islands(df: DataFrame, by: list[str], position: str) -> DataFrame:
     """Maximal runs of consecutive integers: (by, start, end, length)."""
     anchor = F.col(position) - F.row_number().over(_line(by, [position]))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import python_udfs as U
 from ..functions import text as X
 from ..functions.stemming import stem
-from ..operators import external, search
+from ..operators import alignment, external, sequence
 from ..streaming import events as E
 from . import query
 from .base import literal, t
@@ -45,14 +45,14 @@ SELECT user_id, event_id, value, row FROM w"""
 def word_rows(spark, sf_dir):
     """Words to rows by the running mean of their centres."""
     e = t(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return U.running_rows(e, "user_id", "value", 3.0, True)
+    return sequence.running_rows(e, "user_id", "value", 3.0, True)
 
 
 @query(_rows_sql(3.0, False))
 def word_rows_first(spark, sf_dir):
     """H6: words to rows by the distance to a row's first centre."""
     e = t(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    return U.running_rows(e, "user_id", "value", 0.6 * 5, False)
+    return sequence.running_rows(e, "user_id", "value", 0.6 * 5, False)
 
 
 @query()
@@ -60,7 +60,7 @@ def synthetic_entries(spark, sf_dir):
     """Contents for pages that have none, from their headings."""
     h = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
     p = t(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("doc"), "page_id", h.alias("h1"), F.lit("").alias("sub"), (60 + F.col("page_id") % 40).alias("conf"), (50 + F.col("page_id") % 30).alias("size"))
-    return U.page_titles(p, "doc", "page_id", "h1", "sub", "conf", "size")
+    return alignment.page_titles(p, "doc", "page_id", "h1", "sub", "conf", "size")
 
 
 @query()
@@ -103,3 +103,19 @@ def _streamed(spark, sf_dir, operator, columns: list[str]):
 def stem_table(spark, sf_dir):
     """L1: stems of a few words."""
     return literal(spark, [(w, stem(w)) for w in ("bolts", "removal", "tightening", "running", "generously", "flies")], "word string, stem string")
+
+
+def _misread(title):
+    """A title as it may be read: some letters for digits, its fourth character lost."""
+    return F.translate(F.concat(F.substring(title, 1, 3), F.substring(title, 5, 1000)), "lo", "10")
+
+
+@query()
+def heading_cuts(spark, sf_dir):
+    """Where on its page each title stands, however it was read: titles with misreadings against all text of their pages."""
+    p = t(spark, sf_dir, "pages").select("page_id", "html")
+    pieces = F.filter(F.transform(F.split("html", "<[^>]*>"), lambda x: F.trim(x)), lambda x: x != "")
+    blocks = p.select("page_id", F.posexplode(pieces).alias("pos", "text"))
+    titles = p.select("page_id", _misread(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)).alias("title")).where("title <> ''")
+    found = alignment.heading_cuts(titles, blocks, "page_id")
+    return found.select("page_id", "title", "cut", F.round("likeness", 9).alias("likeness"))

@@ -65,8 +65,8 @@ def test_unrepeated(spark):
 
 def test_rows_by_running_mean(spark):
     df = spark.createDataFrame([(1, c) for c in (10.0, 15.0, 30.0, 33.0, 60.0)], "page int, c double")
-    assert [r.row for r in U.running_rows(df, "page", "c", 22, True).orderBy("c").collect()] == [0, 0, 0, 0, 1]
-    assert [r.row for r in U.running_rows(df, "page", "c", 12, False).orderBy("c").collect()] == [0, 0, 1, 1, 2]
+    assert [r.row for r in sequence.running_rows(df, "page", "c", 22, True).orderBy("c").collect()] == [0, 0, 0, 0, 1]
+    assert [r.row for r in sequence.running_rows(df, "page", "c", 12, False).orderBy("c").collect()] == [0, 0, 1, 1, 2]
 
 
 def test_text_udfs(spark):

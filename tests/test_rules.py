@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import lookup as L
 from leafmill.functions import text as X
-from leafmill.functions.stemming import cover_density, stem
+from leafmill.functions.stemming import stem
 from leafmill.sources.pages import Settings
 
 
@@ -82,12 +82,6 @@ def test_stems(word, want):
     assert stem(word) == want
 
 
-def test_cover_density():
-    assert cover_density([[3, 9]]) == pytest.approx(0.2)
-    assert cover_density([[1], [2]]) == pytest.approx(0.1)
-    assert cover_density([[1], [4]]) == pytest.approx(0.1 / 3)
-    assert cover_density([[1], []]) == 0.0
-
 
 def test_settings():
     assert Settings.load({}).context_chars == 9000 and Settings.load({"MIN_COSINE": "0.6"}).min_cosine == 0.6
