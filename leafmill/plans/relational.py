@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lookup as L
-from ..operators import ranking
+from ..operators import ranking, spatial
+from ..sources.scratch import Keeper
 from . import query
 from .base import t
 
@@ -162,6 +163,14 @@ def cell_assignment(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", L.cell(F.col("l_extendedprice"), bounds).alias("cell"), col.alias("col"))
 
 
+def _point() -> spatial.Box:
+    return F.col("x"), F.col("y"), F.col("x"), F.col("y")
+
+
+def _box(wide: float, high: float) -> spatial.Box:
+    return F.col("bx") - wide, F.col("by") - high, F.col("bx") + wide, F.col("by") + high
+
+
 @query("""SELECT c_custkey, s_suppkey, round(sqrt(dx * dx + dy * dy), 6) AS distance FROM (
   SELECT c_custkey, s_suppkey, greatest(s_acctbal - 50 - c_acctbal, c_acctbal - (s_acctbal + 50), 0) AS dx, greatest(s_y - 20 - c_y, c_y - (s_y + 20), 0) AS dy
   FROM (SELECT *, c_custkey % 1000 AS c_y FROM customer) JOIN (SELECT *, s_suppkey * 7 % 1000 AS s_y FROM supplier) ON c_nationkey = s_nationkey)
@@ -170,9 +179,8 @@ def nearest_box(spark, sf_dir):
     """The nearest rectangle within a distance, page by page."""
     c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("page"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).alias("y"))
     s = t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("page"), F.col("s_acctbal").alias("bx"), (F.col("s_suppkey") * 7 % 1000).alias("by"))
-    d = L.rectangle_distance(F.col("x"), F.col("x"), F.col("y"), F.col("y"), F.col("bx") - 50, F.col("bx") + 50, F.col("by") - 20, F.col("by") + 20)
-    near = c.join(s, "page").withColumn("distance", d).where("distance < 520")
-    return ranking.first_wins(near, ["c_custkey"], [F.col("distance"), F.col("s_suppkey")]).select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+    found = spatial.nearest(c, _point(), s, _box(50, 20), ["page"], "c_custkey", "s_suppkey", 520, Keeper(spark, "nearest"))
+    return found.select("c_custkey", "s_suppkey", F.round("distance", 6).alias("distance"))
 
 
 @query("""SELECT c_custkey, count(s_suppkey) AS boxes, count(s_suppkey) = 0 AS free FROM (SELECT *, c_custkey % 1000 AS y FROM customer)
@@ -181,7 +189,7 @@ def boxes_around(spark, sf_dir):
     """Padded boxes that hold a word's centre; words outside all of them."""
     c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("page"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).alias("y"))
     s = t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("page"), F.col("s_acctbal").alias("bx"), (F.col("s_suppkey") * 7 % 1000).alias("by"))
-    inside = c.join(s, "page").where(L.in_box(F.col("x"), F.col("y"), F.col("bx") - 500, F.col("by") - 50, F.col("bx") + 500, F.col("by") + 50, 40))
+    inside = spatial.touching(c, _point(), s, _box(500 + 40, 50 + 40), ["page"]).select(F.col("l__c_custkey").alias("c_custkey"))
     n = inside.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("boxes"))
     return c.join(n, "c_custkey", "left").select("c_custkey", F.coalesce("boxes", F.lit(0)).alias("boxes"), F.col("boxes").isNull().alias("free"))
 
@@ -194,7 +202,9 @@ def label_above(spark, sf_dir):
     """The nearest label above a callout within a window."""
     c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("page"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).alias("y"))
     s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"), F.col("s_nationkey").alias("page"), F.col("s_acctbal").alias("bx"), (F.col("s_suppkey") * 7 % 1000).alias("by"))
-    near = c.join(s, "page").withColumn("dy", F.col("y") - F.col("by")).where((F.abs(F.col("x") - F.col("bx")) < 1400) & F.col("dy").between(1, 219))
+    reach = (F.col("bx") - 1400, F.col("by"), F.col("bx") + 1400, F.col("by") + 219)
+    pairs = spatial.touching(c, _point(), s, reach, ["page"]).select(F.col("l__c_custkey").alias("c_custkey"), F.col("r__label").alias("label"), F.col("l__x").alias("x"), F.col("r__bx").alias("bx"), (F.col("l__y") - F.col("r__by")).alias("dy"))
+    near = pairs.where((F.abs(F.col("x") - F.col("bx")) < 1400) & F.col("dy").between(1, 219))
     return ranking.first_wins(near, ["c_custkey"], [F.col("dy"), F.col("label")]).select("c_custkey", "label", "dy")
 
 
