@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import python_udfs as U
 from ..functions import text as X
-from ..functions.stemming import stem
 from ..operators import alignment, external, sequence
 from ..streaming import events as E
 from . import query
-from .base import literal, t
+from .base import t
 from .text_rules import ID, lines
 
 
@@ -99,10 +98,11 @@ def _streamed(spark, sf_dir, operator, columns: list[str]):
     return spark.read.parquet(f"{root}/out").selectExpr(*columns)
 
 
-@query("SELECT word, stem FROM (VALUES ('bolts', 'bolt'), ('removal', 'remov'), ('tightening', 'tighten'), ('running', 'run'), ('generously', 'generous'), ('flies', 'fli')) t(word, stem)")
+@query("""SELECT word, CASE word WHEN 'large' THEN 'larg' ELSE word END AS stem, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY ALL""")
 def stem_table(spark, sf_dir):
-    """L1: stems of a few words."""
-    return literal(spark, [(w, stem(w)) for w in ("bolts", "removal", "tightening", "running", "generously", "flies")], "word string, stem string")
+    """L1: stems of the words of names, made of the vocabulary."""
+    words = t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("word", U.stemmed(F.col("word")).alias("stem"), "n")
 
 
 def _misread(title):

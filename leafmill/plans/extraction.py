@@ -1,44 +1,48 @@
-"""Torques and tools of pages, questions of an evaluation set, and small stores, with the values that they must give."""
+"""Torques and tools of pages, questions of an evaluation set, and small stores."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import extraction, ingest, ranking, search
 from . import query, retrieval
-from .base import literal, t
-
-_PAGE = "pdf_page int, n int, norm string, conf int, x0 int, y0 int, x1 int, y1 int, region string, in_figure boolean, split_x int"
-_LINES = [
-    (1, 0, "D15B7, D15B8 engine:", 95, 100, 100, 900, 140, "col1", False, 1200), (1, 1, "1. Remove the bolts", 90, 100, 300, 900, 340, "col1", False, 1200), (1, 2, "and the cover.", 90, 100, 350, 900, 390, "col1", False, 1200),
-    (1, 3, "CAMSHAFT HOLDER BOLT", 90, 200, 700, 600, 740, "col1", True, 1200), (1, 4, "8 x 1.25 mm", 90, 210, 760, 500, 800, "col1", True, 1200), (1, 5, "22 N·m (2.2 kg-m, 16 lb-ft)", 88, 205, 820, 700, 860, "col1", True, 1200),
-    (1, 6, "2. Install it.", 90, 100, 1000, 900, 1040, "col1", False, 1200), (1, 7, "OIL PUMP", 90, 700, 1300, 900, 1340, "col1", True, 1200), (1, 8, "10 N·m (1.0 kg-m, 17 lb-ft)", 90, 200, 1350, 600, 1390, "col1", True, 1200),
-    (2, 0, "44 N·m (4.5 kg-m, 33 lb-ft)", 60, 1500, 500, 1900, 540, "col2", False, 1200), (2, 1, "3. Other column.", 90, 100, 100, 900, 140, "col1", False, 1200),
-]
-
-
-@query("""SELECT * FROM (VALUES
-  (1, 5, 22.0::DOUBLE, '8 x 1.25 mm', 'CAMSHAFT HOLDER BOLT', NULL, 1, 'Remove the bolts and the cover.', 'D15B7/D15B8', NULL),
-  (1, 8, 10.0::DOUBLE, NULL, NULL, 'OIL PUMP', 2, 'Install it.', 'D15B7/D15B8', 'unit_mismatch'),
-  (2, 0, 44.0::DOUBLE, NULL, NULL, NULL, NULL, NULL, '', 'low_conf')) v(pdf_page, n, nm, fastener, label, near_label, step, step_text, engines, reason)""")
+from .base import t
+
+@query("""
+WITH page AS (SELECT l_orderkey AS pdf_page, l_linenumber AS n, min(l_quantity)::INT AS nm, 60 + min(l_partkey) % 40 AS conf FROM lineitem GROUP BY ALL),
+torques AS (SELECT *, round(nm / 9.80665, 1) AS kgm, CASE WHEN n % 2 = 0 THEN nm ELSE round(nm / 1.35582) END AS lbft, EXISTS (FROM page p WHERE p.pdf_page = t.pdf_page AND p.n = t.n - 1) AS threaded FROM page t WHERE n % 3 = 0)
+SELECT pdf_page, n, nm::DOUBLE AS nm, CASE WHEN threaded THEN '8 x 1.25 mm' END AS fastener,
+  (SELECT 'BOLT NO ' || t.pdf_page || '/' || max(p.n) FROM page p WHERE p.pdf_page = t.pdf_page AND (p.n = t.n - 2 OR NOT threaded AND p.n = t.n + 1) HAVING max(p.n) IS NOT NULL) AS label,
+  CASE WHEN abs(nm / 9.80665 - kgm) > greatest(0.06, 0.03 * kgm) OR abs(nm / 1.35582 - lbft) > greatest(1.0, 0.03 * lbft) THEN 'unit_mismatch' WHEN conf < 75 THEN 'low_conf' END AS reason FROM torques t""")
 def torque_table(spark, sf_dir):
-    """Torques of pages with thread, label, step and engines (expected values stated)."""
-    found = extraction.torque_specs(literal(spark, _LINES, _PAGE))
-    return found.select("pdf_page", "n", "nm", "fastener", "label", "near_label", "step", "step_text", F.array_join("engines", "/").alias("engines"), "reason")
-
-
-_WORDS = [
-    ("Tool", 500, 100, 560), ("Number", 570, 100, 650), ("Description", 1000, 100, 1200), ("Q'ty", 1500, 100, 1560), ("Page", 1700, 100, 1780),
-    ("07HAH-PJ7010B", 500, 200, 700), ("or", 480, 240, 500), ("07HAH-PJ7010C", 510, 242, 700), ("Piston", 1000, 241, 1080), ("Ring", 1090, 239, 1150), ("1", 1500, 240, 1510), ("6-12", 1700, 241, 1760),
-    ("O7742-0010100", 500, 300, 700), ("Driver", 1000, 302, 1080), ("6-20", 1700, 299, 1760), ("12345", 500, 360, 600), ("nothing", 1000, 360, 1100),
-]
-
-
-@query("""SELECT * FROM (VALUES ('07HAH-PJ7010B', 'Piston Ring', '6-12', false), ('07HAH-PJ7010C', 'Piston Ring', '6-12', true), ('07742-0010100', 'Driver', '6-20', false)) v(tool_number, name, page_ref, alternate)""")
+    """Torques with the thread right above them and the lowest label above or, without a thread, around; an order's lines
+    stand below each other as on a page."""
+    n, nm = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    lbft = F.when(n % 2 == 0, nm).otherwise(F.round(nm / 1.35582).cast("int"))
+    kgm = F.format_string("%.1f", F.round(nm / 9.80665, 1))
+    said = F.concat(nm.cast("string"), F.lit(" N·m ("), kgm, F.lit(" kg-m, "), lbft.cast("string"), F.lit(" lb-ft)"))
+    text = F.when(n % 3 == 0, said).when(n % 3 == 2, "8 x 1.25 mm").otherwise(F.concat(F.lit("BOLT NO "), F.col("l_orderkey").cast("string"), F.lit("/"), n.cast("string")))
+    top = n * 60
+    rows = t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"), F.min("l_partkey").alias("l_partkey"))
+    lines = rows.select(
+        F.col("l_orderkey").alias("pdf_page"), n.alias("n"), text.alias("norm"), (60 + F.col("l_partkey") % 40).cast("int").alias("conf"), F.lit(200).alias("x0"), top.alias("y0"), F.lit(600).alias("x1"), (top + 40).alias("y1"),
+        F.lit("col1").alias("region"), F.lit(True).alias("in_figure"), F.lit(1200).alias("split_x"),
+    )
+    return extraction.torque_specs(lines).select("pdf_page", "n", "nm", "fastener", "label", "reason")
+
+
+@query("""SELECT s_nationkey AS pdf_page, '07ABC-' || lpad(s_suppkey::VARCHAR, 7, '0') AS tool_number, s_name || ' driver' AS name, '6-' || s_suppkey % 90 AS page_ref, false AS alternate FROM supplier""")
 def tool_table(spark, sf_dir):
-    """Rows of a table of special tools (expected values stated)."""
-    words = literal(spark, [(1, i, w, x0, y, x1, y + 20, "body") for i, (w, x0, y, x1) in enumerate(_WORDS)], "pdf_page int, i int, text string, x0 int, y0 int, x1 int, y1 int, region string")
-    return extraction.special_tools(words).select("tool_number", "name", "page_ref", "alternate")
+    """Rows of tables of special tools; a nation's suppliers stand below each other as on a page."""
+    s = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pdf_page"), "s_suppkey", "s_name", (200 + 60 * F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).alias("y"))
+    word = lambda text, x0, x1, y: F.struct(F.lit(text).alias("text") if isinstance(text, str) else text.alias("text"), F.lit(x0).alias("x0"), F.lit(x1).alias("x1"), y.alias("y"))
+    head = [word(w, x, x + 60, F.lit(100)) for w, x in (("Tool", 500), ("Number", 570), ("Description", 1000), ("Q'ty", 1500), ("Page", 1700))]
+    key, y = F.col("s_suppkey").cast("string"), F.col("y").cast("int")
+    row = [word(F.concat(F.lit("O7ABC-"), F.lpad(key, 7, "0")), 500, 700, y), word(F.col("s_name"), 1000, 1080, y + 2), word("driver", 1090, 1150, y - 1), word(F.concat(F.lit("6-"), (F.col("s_suppkey") % 90).cast("string")), 1700, 1760, y)]
+    words = s.select("pdf_page", F.explode(F.array(*head)).alias("w")).distinct().unionByName(s.select("pdf_page", F.explode(F.array(*row)).alias("w")))
+    placed = words.select("pdf_page", F.hash("w").alias("i"), "w.text", "w.x0", F.col("w.y").alias("y0"), "w.x1", (F.col("w.y") + 20).alias("y1"), F.lit("body").alias("region"))
+    return extraction.special_tools(placed).select("pdf_page", "tool_number", "name", "page_ref", "alternate")
 
 
 @query(f"""

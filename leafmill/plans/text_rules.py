@@ -219,36 +219,23 @@ def chunk_prefix(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", bits.alias("prefix"))
 
 
-_ANSWERS = [
-    ("Torque: 73 N·m [p. 6-3]\nUse 22 N·m\nPart 08718-0001", "p. 6-3 bolts 73 N·m (7.3 kg-m, 53 lb-ft) part 08718-0001"), ("Gap 0.18–0.22 mm\nGap 0.23 mm", "Section 6 p. 6-4: 0.18 - 0.22 mm"),
-    ("Engine D16Z6\nEngine D15B7\ncode 14\ncode 15", "code 14 D15B7"), ("Tool 07742-0010100 [p. 9-9]", "tool 07742-0010101 p. 9-1"), ("1,200 rpm\n1,300 rpm", "at 1200 rpm"), ("", ""),
-]
-
-
-_UNVERIFIED = {(0, 1): ["22 N·m"], (1, 1): ["0.23 mm"], (3, 0): ["07742-0010100"], (4, 1): ["1,300 rpm"]}
-
-
-def _expected_lines() -> str:
-    rows = [(i, pos, line, _UNVERIFIED.get((i, pos), [])) for i, (a, _) in enumerate(_ANSWERS) for pos, line in enumerate(a.split("\n"))]
-    return "SELECT id, pos, line, unverified FROM (VALUES " + ", ".join(f"({i}, {p}, '{x}', {u}::VARCHAR[])" for i, p, x, u in rows) + ") t(id, pos, line, unverified)"
-
-
-@query(_expected_lines())
+@query("""
+WITH held AS (SELECT l_orderkey, list(DISTINCT l_quantity::INT::VARCHAR) AS nums FROM lineitem GROUP BY ALL), said AS (SELECT l_orderkey, l_linenumber, l_quantity::INT + CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS nm FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN list_contains(nums, nm::VARCHAR) THEN [] ELSE [nm || ' N·m'] END AS unverified FROM said JOIN held USING (l_orderkey)""")
 def answer_lines(spark, sf_dir):
-    """O8, D24, E23, J6 (built-in part): lines of answers that state what their context doesn't hold."""
-    rows = literal(spark, [(i, a, c) for i, (a, c) in enumerate(_ANSWERS)], "id int, answer string, context string")
-    ctx = X.plain(F.col("context"))
-    rows = rows.select("id", F.posexplode(F.split("answer", "\n", -1)).alias("pos", "line"), ctx.alias("ctx"), X.numbers(ctx).alias("nums"))
-    return rows.select("id", "pos", "line", X.unverified(X.plain(F.col("line")), F.col("ctx"), F.col("nums"), ["D16Z6"]).alias("unverified"))
-
-
-_JSON = values([(1, '{"a": 1}'), (2, '```json\n{"a": 2}\n```'), (3, 'Here: {"a": 3} ok'), (4, "nothing"), (5, ""), (6, "{broken")], "id, raw")
+    """O8, D24, E23, J6 (built-in part): lines of answers that state what their context, the quantities of their order, doesn't hold."""
+    rows = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("nm"))
+    context = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "nm"))), lambda x: F.concat(F.lit("bolt "), x["nm"].cast("string"), F.lit(" N·m"))), "\n")
+    held = rows.groupBy("l_orderkey").agg(X.plain(context).alias("ctx")).withColumn("nums", X.numbers(F.col("ctx")))
+    line = F.concat(F.lit("Tighten to "), (F.col("nm") + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)).cast("string"), F.lit(" N·m."))
+    return rows.join(held, "l_orderkey").select("l_orderkey", "l_linenumber", X.unverified(line, F.col("ctx"), F.col("nums"), []).alias("unverified"))
 
 
-@query("SELECT id, a FROM (VALUES (1, 1), (2, 2), (3, 3), (4, NULL), (5, NULL), (6, NULL)) t(id, a)")
+@query("SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN (props->>'k')::INT END AS k FROM events")
 def answer_json(spark, sf_dir):
-    """The JSON of a model's answer."""
-    return spark.sql(f"SELECT * FROM {_JSON}").select("id", F.from_json(X.extracted_json(F.col("raw")), "a int")["a"].alias("a"))
+    """The JSON of answers: bare, fenced, inside other words, broken."""
+    raw = F.when(F.col("event_id") % 4 == 0, F.col("props")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit("Here: "), "props", F.lit(" ok")))
+    return t(spark, sf_dir, "events").select("event_id", F.from_json(X.extracted_json(F.coalesce(raw, F.concat(F.lit("{"), "props"))), "k int")["k"].alias("k"))
 
 
 @query("SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'system' OR turn = 0), '') AS system_text, count(*) FILTER (WHERE NOT (role = 'system' OR turn = 0)) AS n_rest FROM conversations GROUP BY conv_id")
@@ -259,10 +246,12 @@ def split_system(spark, sf_dir):
     return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "\n").alias("system_text"), F.count_if(~is_system).alias("n_rest"))
 
 
-@query("SELECT spec, list_sort(flatten([range(1, 111), [120]])) AS pages FROM (VALUES ('1-110,120')) t(spec) UNION ALL SELECT '7', [7]")
+@query("SELECT p_partkey, list_concat(range(p_size::BIGINT, p_size + 4), [p_partkey]) AS pages FROM part")
 def page_specs(spark, sf_dir):
     """Page lists."""
-    return literal(spark, [("1-110,120",), ("7",)], "spec string").select("spec", F.transform(X.page_list(F.col("spec")), lambda x: x.cast("long")).alias("pages"))
+    size = F.col("p_size")
+    spec = F.concat_ws("", size.cast("string"), F.lit("-"), (size + 3).cast("string"), F.lit(", "), F.col("p_partkey").cast("string"))
+    return t(spark, sf_dir, "part").select("p_partkey", F.transform(X.page_list(spec), lambda x: x.cast("long")).alias("pages"))
 
 
 @query(rules(r"""SELECT doc_id, pos FROM lines WHERE list_filter(['P/S pump', 'hot bolts', 'the seal'], lambda p: len(list_filter(regexp_extract_all(lower(p), '[a-z0-9/]+'), lambda w: length(w) >= 3 OR contains(w, '/'))) > 0
