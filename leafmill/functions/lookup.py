@@ -49,30 +49,47 @@ def trigram_join(df: DataFrame, column: str, terms: list[str], above: float) ->
 
 
 def word_lookup(df: DataFrame, column: str, terms: list[str], above: float) -> DataFrame:
-    """(column, term, similarity) of rows and terms whose word similarity is above a bound (0 at least), met through a shared trigram."""
+    """(column, term, similarity) of rows and terms whose word similarity is above a bound (0 at least), met through shared trigrams: no run can
+    be more similar than the share of the term's trigrams that the whole text has, so rows that share too few are not measured."""
     spark = df.sparkSession
     # a list of literals, so its size is known
-    wanted = F.broadcast(spark.createDataFrame([(x,) for x in terms], "term string").select("term", F.explode(trigrams(F.col("term"))).alias("gram")))
-    met = df.select(column).distinct().select(column, F.explode(trigrams(F.col(column))).alias("gram")).join(wanted, "gram").select(column, "term").distinct()
-    measured = met.withColumn("similarity", word_similarity(F.col("term"), F.col(column)))
+    wanted = F.broadcast(spark.createDataFrame([(x,) for x in terms], "term string").select("term", trigrams(F.col("term")).alias("q")).select("term", F.size("q").alias("nq"), F.explode("q").alias("gram")))
+    met = df.select(column).distinct().select(column, F.explode(trigrams(F.col(column))).alias("gram")).join(wanted, "gram").groupBy(column, "term", "nq").agg(F.count(F.lit(1)).alias("shared"))
+    measured = met.where(F.col("shared") > F.lit(above) * F.col("nq")).select(column, "term", word_similarity(F.col("term"), F.col(column)).alias("similarity"))
     return measured.where(F.col("similarity") > above).withColumn("similarity", F.round("similarity", 6))
 
 
 def word_similarity(term: Column, text: Column) -> Column:
     """The greatest |Q and E| / |Q or E| over all runs E of the text's trigrams in order, Q the term's set.
-    Only runs that start and end at trigrams of Q can be greatest."""
+
+    Only runs that start and end at trigrams of Q can be greatest.  From each start one pass goes on with running counts: a trigram
+    is new to the run if it last stood before the start."""
 
     def over(pair: Column) -> Column:
         q, seq = pair["q"], pair["s"]
-        hits = F.filter(F.transform(seq, lambda g, i: F.when(F.array_contains(q, g), i + 1)), lambda x: x.isNotNull())
-        values = F.flatten(F.transform(hits, lambda a: F.transform(F.filter(hits, lambda b: b >= a), lambda b: _extent(q, F.slice(seq, a, b - a + 1)))))
-        return F.coalesce(F.array_max(values), F.lit(0.0))
+        # 1-based places; the place where a trigram stood last, 0 if nowhere
+        marked = F.transform(seq, lambda g, i: F.struct(F.array_contains(q, g).alias("own"), F.when(i == 0, 0).otherwise(_last(seq, g, i)).alias("last")))
+        starts = F.filter(F.transform(marked, lambda x, i: F.when(x["own"], i + 1)), lambda i: i.isNotNull())
+
+        def best_from(a: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("both"), F.size(q).alias("any"), F.lit(0.0).alias("best"))
+
+            def step(s: Column, x: Column) -> Column:
+                new = (x["last"] < a).cast("int")
+                both, all_ = s["both"] + F.when(x["own"], new).otherwise(0), s["any"] + F.when(x["own"], 0).otherwise(new)
+                return F.struct(both.alias("both"), all_.alias("any"), F.when(x["own"], F.greatest(s["best"], both / all_)).otherwise(s["best"]).alias("best"))
+
+            return F.aggregate(F.slice(marked, a, F.size(seq)), zero, step, lambda s: s["best"])
+
+        return F.coalesce(F.array_max(F.transform(starts, best_from)), F.lit(0.0))
 
     return F.element_at(F.transform(F.array(F.struct(trigrams(term).alias("q"), ordered_trigrams(text).alias("s"))), over), 1)
 
 
-def _extent(q: Column, run: Column) -> Column:
-    return F.size(F.array_intersect(q, run)) / F.size(F.array_union(q, run))
+def _last(seq: Column, gram: Column, i: Column) -> Column:
+    """The place of a trigram's last occurrence among the first i."""
+    back = F.array_position(F.reverse(F.slice(seq, F.lit(1), i)), gram).cast("int")
+    return F.when(back == 0, 0).otherwise(i - back + 1)
 
 
 def torque_excess(nm: Column, kgm: Column, lbft: Column) -> tuple[Column, Column]:

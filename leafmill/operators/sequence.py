@@ -69,6 +69,18 @@ def ranges(starts: DataFrame, start: str, by: list[str] | None = None) -> DataFr
     return starts.withColumn("end", F.lead(start).over(w) - 1)
 
 
+def placed(df: DataFrame, order: list[str], keep, name: str = "id") -> DataFrame:
+    """df with each row's place, from 1, in an order of columns of any kind: sorted runs of ranges of the order are written with the rows' numbers in
+    their run, and runs start where those before them end, so no task sorts all rows.  ``keep(df, name)`` writes a table and reads it again."""
+    runs = keep(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "runs")
+    run, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    # a row a partition
+    sizes = sorted((r["run"], r["n"]) for r in runs.groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = [(r, sum(n for _, n in sizes[:i])) for i, (r, _) in enumerate(sizes)]
+    first = df.sparkSession.createDataFrame(before, "__run bigint, __first bigint")
+    return runs.join(F.broadcast(first), run == F.col("__run")).select(*df.columns, (F.col("__first") + within + 1).alias(name))
+
+
 #: Intervals that may be sent to every task; stretches that many intervals are cut into.
 FEW_INTERVALS = 10_000
 STRETCHES = 256

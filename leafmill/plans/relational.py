@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lookup as L
-from ..operators import ranking, spatial
+from ..operators import ranking, sequence, spatial
 from ..sources.scratch import Keeper
 from . import query
 from .base import t
@@ -257,7 +256,7 @@ def keyed_update(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY p_name, p_partkey) AS id, p_partkey FROM part")
 def surrogate_ids(spark, sf_dir):
     """B2: ids from the natural order, the same at every run."""
-    return t(spark, sf_dir, "part").select(F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("bigint").alias("id"), "p_partkey")
+    return sequence.placed(t(spark, sf_dir, "part").select("p_name", "p_partkey"), ["p_name", "p_partkey"], Keeper(spark, "ids")).select("id", "p_partkey")
 
 
 @query("SELECT page_id, replace(url, '/', chr(92)) AS stored, url AS repaired FROM pages")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import chunking, ranking, sequence
+from ..sources.scratch import Keeper
 from . import query
 from .base import t
 
@@ -23,7 +24,9 @@ def section_of_page(spark, sf_dir):
     """Sections from their starts, each page with the greatest start not above it."""
     p = t(spark, sf_dir, "pages").select("page_id")
     starts = p.where("page_id % 25 = 0").select(F.col("page_id").alias("page_start"))
-    sections = starts.withColumn("number", F.row_number().over(Window.orderBy("page_start")).cast("bigint")).withColumn("page_end", F.lead("page_start").over(Window.orderBy("page_start")) - 1)
+    numbered = sequence.placed(starts, ["page_start"], Keeper(spark, "sections"), "number")
+    after = numbered.select((F.col("number") - 1).alias("number"), (F.col("page_start") - 1).alias("page_end"))
+    sections = numbered.join(after, "number", "left")
     return sequence.assign(p, "page_id", sections, "page_start", ["number", "page_start", "page_end"]).select("page_id", "number", "page_start", "page_end")
 
 
