@@ -111,6 +111,6 @@ def unread(files: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def best_footer(footers: DataFrame) -> DataFrame:
-    """(pdf_page, label): of both corners the reading with the greatest confidence that is a label."""
+    """(pdf_page, label): of both corners the reading with the greatest confidence that is a label; of equal ones the greater."""
     sides = footers.select("pdf_page", F.explode(F.array("left", "right")).alias("s")).select("pdf_page", F.replace("s.text", F.lit(" "), F.lit("")).alias("text"), "s.conf")
-    return sides.where(F.col("text").rlike(r"^\d{1,2}-\d{1,3}$")).groupBy("pdf_page").agg(F.max_by("text", "conf").alias("label"))
+    return sides.where(F.col("text").rlike(r"^\d{1,2}-\d{1,3}$")).groupBy("pdf_page").agg(F.max_by("text", F.struct("conf", "text")).alias("label"))

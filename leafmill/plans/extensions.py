@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import python_udfs as U
 from ..functions import text as X
 from ..operators import alignment, external, sequence
+from ..sources.scratch import shared_root
 from ..streaming import events as E
 from . import query
 from .base import t
@@ -87,12 +87,7 @@ def streamed_sessions(spark, sf_dir):
 
 
 def _streamed(spark, sf_dir, operator, columns: list[str]):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='leafmill-stream-')}"
-    root = f"{base}/stream-{uuid.uuid4().hex[:8]}"
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex[:8]}"
     t(spark, sf_dir, "events").write.parquet(f"{root}/in")
     E.run_once(operator(E.read(spark, f"{root}/in", t(spark, sf_dir, "events"))), f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").selectExpr(*columns)
