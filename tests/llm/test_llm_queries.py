@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no fixture table
 @pytest.fixture(scope="module")
 def duck():
     con = pytest.importorskip("duckdb").connect()
-    for name in ("documents", "embeddings", "labels"):
+    for name in ("documents", "embeddings", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{DIR}/{name}.parquet')")
     return con
 
