@@ -71,8 +71,9 @@ def docs():
 @pytest.fixture(scope="module", params=[False, True])
 def index(request, spark, docs, tmp_path_factory):
     df = spark.createDataFrame([*docs, (None, "bolt")], "doc_id bigint, text string")
-    textindex.SPAN = 8
-    return textindex.build(df, f"file://{tmp_path_factory.mktemp('index')}", english=request.param)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(textindex, "SPAN", 8)
+        return textindex.build(df, f"file://{tmp_path_factory.mktemp('index')}", english=request.param)
 
 
 def test_same_lists_as_a_search_of_all_texts(spark, index, docs):
