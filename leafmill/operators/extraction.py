@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lookup as L
 from ..functions import text as X
-from .sequence import running_rows
+from .sequence import run_id, running_rows
+from .spatial import touching
 
 # Distances on a page in pixels.
 FASTENER_ASIDE, FASTENER_ABOVE = 140, 70
@@ -15,6 +16,7 @@ LABEL_ASIDE, LABEL_ABOVE, LABEL_BELOW = 120, 220, 120
 NEAR_LABEL, STEP_ABOVE = 520, 1900
 STEP_LINES, STEP_CHARS = 4, 170
 TOOLS_LEFT, QUANTITY_LEFT, QUANTITY_WIDTH, REFERENCE_LEFT, HEAD_BELOW, ROW_HEIGHT = 450, 60, 140, 40, 10, 22
+SPARSE_CONF, FIGURE_AROUND, WORD_AROUND, SAME_LINE, WORD_GAP = 60, 400, 4, 0.6, 90
 _CAPITALS = r"^[A-Z0-9/()\- ]{4,}$"
 _HEADING = r"^(?i:((?:D\w{4}(?:,\s*)?)+)\s+engine)"
 _STEP = r"^(\d{1,2})\.\s+\S"
@@ -103,3 +105,21 @@ def special_tools(words: DataFrame) -> DataFrame:
     lent = F.col("name").isNull() & F.coalesce(F.lead("alternate").over(line), F.lit(False))
     filled = {k: F.when(lent, F.lead(k).over(line)).otherwise(F.col(k)) for k in ("name", "page_ref")}
     return rows.select("pdf_page", "row", "tool_number", *(v.alias(k) for k, v in filled.items()), "alternate")
+
+
+def sparse_extras(words: DataFrame, known: DataFrame, figures: DataFrame) -> DataFrame:
+    """Loose words around figures that the page's reading doesn't have, with their line.
+
+    All three are (pdf_page, x0, y0, x1, y1), words also with i, their order, and conf.  A word stays if it is sure enough, its centre is in a
+    figure's surroundings and in no known word.  In order of centre and left border a line ends where the next centre is further down than a
+    part of its word's height, or the word begins far behind the last."""
+    corners = ("x0", "y0", "x1", "y1")
+    around = lambda by: tuple(F.col(c) - by if c in ("x0", "y0") else F.col(c) + by for c in corners)
+    sure = words.where(F.col("conf") >= SPARSE_CONF).withColumns({"cx": (F.col("x0") + F.col("x1")) / 2, "cy": (F.col("y0") + F.col("y1")) / 2})
+    point = (F.col("cx"), F.col("cy"), F.col("cx"), F.col("cy"))
+    met = lambda others, by: touching(sure, point, others.select("pdf_page", *corners), around(by), ["pdf_page"]).select(F.col("l__pdf_page").alias("pdf_page"), F.col("l__i").alias("i"))
+    kept = sure.join(met(figures, FIGURE_AROUND), ["pdf_page", "i"], "left_semi").join(met(known, WORD_AROUND), ["pdf_page", "i"], "left_anti")
+    before = Window.partitionBy("pdf_page").orderBy("cy", "x0", "i")
+    far = (F.abs(F.col("cy") - F.lag("cy").over(before)) > SAME_LINE * (F.col("y1") - F.col("y0"))) | (F.col("x0") - F.lag("x1").over(before) > WORD_GAP)
+    marked = kept.withColumn("far", F.coalesce(far, F.lit(False)))
+    return marked.withColumn("line", run_id(F.col("far"), ["pdf_page"], ["cy", "x0", "i"])).select(*words.columns, "line")

@@ -80,3 +80,24 @@ def evaluation_questions(spark, sf_dir):
 def spread_ids(spark, sf_dir):
     """B2: ids from the natural order of a table too long for one task."""
     return ingest.numbered(t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("id", "o_orderkey")
+
+
+@query("""
+WITH words AS (SELECT c_nationkey AS pdf_page, c_custkey AS i, 50 + c_custkey % 50 AS conf, c_mktsegment, c_acctbal AS x0, (c_custkey * 13 % 1000)::DOUBLE AS y0, c_acctbal + 60 AS x1, c_custkey * 13 % 1000 + 20.0 AS y1 FROM customer),
+figures AS (SELECT s_nationkey AS pdf_page, s_acctbal AS x0, s_suppkey * 7 % 1000 AS y0, s_acctbal + 300 AS x1, s_suppkey * 7 % 1000 + 100 AS y1 FROM supplier),
+sure AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy FROM words WHERE c_mktsegment <> 'BUILDING' AND conf >= 60),
+kept AS (SELECT * FROM sure w WHERE EXISTS (FROM figures f WHERE f.pdf_page = w.pdf_page AND cx BETWEEN f.x0 - 400 AND f.x1 + 400 AND cy BETWEEN f.y0 - 400 AND f.y1 + 400)
+  AND NOT EXISTS (FROM words k WHERE k.c_mktsegment = 'BUILDING' AND k.pdf_page = w.pdf_page AND cx BETWEEN k.x0 - 4 AND k.x1 + 4 AND cy BETWEEN k.y0 - 4 AND k.y1 + 4)),
+marked AS (SELECT *, coalesce(abs(cy - lag(cy) OVER w) > 0.6 * (y1 - y0) OR x0 - lag(x1) OVER w > 90, false) AS far FROM kept WINDOW w AS (PARTITION BY pdf_page ORDER BY cy, x0, i))
+SELECT pdf_page, i, sum(far::INT) OVER (PARTITION BY pdf_page ORDER BY cy, x0, i ROWS UNBOUNDED PRECEDING)::BIGINT AS line FROM marked""")
+def sparse_extras(spark, sf_dir):
+    """Words around figures that aren't known yet, in lines."""
+    top = (F.col("c_custkey") * 13 % 1000).cast("double")
+    all_ = t(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("pdf_page"), F.col("c_custkey").alias("i"), (50 + F.col("c_custkey") % 50).alias("conf"), "c_mktsegment",
+        F.col("c_acctbal").alias("x0"), top.alias("y0"), (F.col("c_acctbal") + 60).alias("x1"), (top + 20).alias("y1"),
+    )
+    high = F.col("s_suppkey") * 7 % 1000
+    figures = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pdf_page"), F.col("s_acctbal").alias("x0"), high.alias("y0"), (F.col("s_acctbal") + 300).alias("x1"), (high + 100).alias("y1"))
+    found = extraction.sparse_extras(all_.where("c_mktsegment <> 'BUILDING'"), all_.where("c_mktsegment = 'BUILDING'"), figures)
+    return found.select("pdf_page", "i", F.col("line").cast("bigint").alias("line"))
