@@ -25,5 +25,5 @@ def unit(a: Column) -> Column:
 
 
 def stored(a: Column, decimals: int = 6) -> Column:
-    """Components as they are stored, in six decimals."""
-    return F.transform(a, lambda x: F.round(x.cast("double"), decimals))
+    """Components as they are stored, in six decimals; what is rounded to zero keeps its sign."""
+    return F.transform(a, lambda x: F.signum(x.cast("double")) * F.abs(F.round(x.cast("double"), decimals)))
