@@ -90,7 +90,9 @@ def hybrid_variants(spark, sf_dir):
     of the first, all after the filter, fused by reciprocal ranks."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
     asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words[0].alias("a"), words[1].alias("b"), words[2].alias("c"))
-    texts = F.map_from_arrays(F.array(*map(F.lit, ("f0", "f1", "fo"))), F.array(F.concat_ws(" ", "a", "b"), F.concat(F.lit('"'), F.concat_ws(" ", "b", "c"), F.lit('"')), F.concat_ws(" or ", "a", "b", "c")))
+    # quoted, since a bare ``or`` parts branches
+    asked = asked.withColumn("said", F.struct(*(F.concat(F.lit('"'), F.col(c), F.lit('"')).alias(c) for c in "abc")))
+    texts = F.map_from_arrays(F.array(*map(F.lit, ("f0", "f1", "fo"))), F.array(F.expr("concat_ws(' ', said.a, said.b)"), F.concat(F.lit('"'), F.concat_ws(" ", "b", "c"), F.lit('"')), F.expr("concat_ws(' or ', said.a, said.b, said.c)")))
     variants = asked.select("query_id", F.explode(texts).alias("list", "text")).select(F.struct("query_id", "list").alias("q"), "text")
     allowed = t(spark, sf_dir, "documents").where("lang IS NULL OR lang = 'en'").select(F.col("doc_id").alias("item"))
     ranked = textindex.ranked_search(text_index(spark, sf_dir, False), variants, 20, scratch.Keeper(spark, "variants"), "q", only=allowed)

@@ -25,3 +25,25 @@ def test_what_is_stored_as_zero_keeps_its_sign(spark, tmp_path):
     mine, theirs = same_as_sql(spark, tmp_path, "vector_storage", {"embeddings": spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")})
     assert mine == theirs
     assert str(spark.range(1).select(stored(F.array(F.lit(-1e-7), F.lit(1e-7)))).first()[0]) == "[-0.0, 0.0]"
+
+
+WORDS = "or bolt pump oil seal gasket".split()
+
+
+@pytest.fixture(scope="module")
+def told(spark):
+    """Documents and benchmark items of every kind of query, some of whose words are ``or``."""
+    texts = [(i, " ".join(WORDS[(i * j) % 6] for j in range(1, 9)), [None, "en", "de"][i % 3]) for i in range(60)] + [(60, None, "en"), (61, "", "en")]
+    items = [(i, " ".join(WORDS[(i + k) % 6] for k in range(3))) for i in range(30)]
+    vectors = [(i, [float(i % 7) + 0.5, float(i % 5) - 1.0, 1.0]) for i in range(60)]
+    return {
+        "documents": spark.createDataFrame(texts, "doc_id bigint, text string, lang string"),
+        "benchmark": spark.createDataFrame(items, "item_id bigint, text string"),
+        "embeddings": spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>"),
+    }
+
+
+@pytest.mark.parametrize("name", ["hybrid_variants", "ranked_search", "web_search"])
+def test_words_that_read_or(spark, told, tmp_path, name):
+    mine, theirs = same_as_sql(spark, tmp_path, name, told)
+    assert mine == theirs
