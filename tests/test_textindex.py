@@ -117,3 +117,13 @@ def test_filter_before_the_cut(spark, index, docs):
     kept = [d for d in docs if d[0] % 14 == 0 and d[0] < 2000]
     for i, q in enumerate(QUERIES):
         assert sorted(got.get(i, []), key=lambda x: x[2]) == plain_search(kept, q, 4, index.english), q
+
+
+def test_lists_are_dealt_out_by_block_alone(spark, index):
+    """However many queries ask for a lexeme, its lists cross the shuffle once."""
+    asked = spark.createDataFrame([(i, "bolt pump") for i in range(50)], "query_id bigint, text string")
+    terms = textindex.asked_terms(index, asked, "query_id", "text")
+    chosen = asked.select("query_id").crossJoin(index.items(spark).select("block").distinct())
+    plan = textindex.scores(textindex._asked(index, spark, terms), terms, chosen, "query_id", 100)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "positions" in line and "Exchange hashpartitioning" in line]
+    assert "CoGroup" in plan and not re.search(r"hashpartitioning\([^)]*\bitem#", plan) and all("hashpartitioning(block#" in line for line in dealt)
