@@ -200,11 +200,8 @@ QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dy, s_suppkey) = 1"""
 def label_above(spark, sf_dir):
     """The nearest label above a callout within a window."""
     c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("page"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).alias("y"))
-    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"), F.col("s_nationkey").alias("page"), F.col("s_acctbal").alias("bx"), (F.col("s_suppkey") * 7 % 1000).alias("by"))
-    reach = (F.col("bx") - 1400, F.col("by"), F.col("bx") + 1400, F.col("by") + 219)
-    pairs = spatial.touching(c, _point(), s, reach, ["page"]).select(F.col("l__c_custkey").alias("c_custkey"), F.col("r__label").alias("label"), F.col("l__x").alias("x"), F.col("r__bx").alias("bx"), (F.col("l__y") - F.col("r__by")).alias("dy"))
-    near = pairs.where((F.abs(F.col("x") - F.col("bx")) < 1400) & F.col("dy").between(1, 219))
-    return ranking.first_wins(near, ["c_custkey"], [F.col("dy"), F.col("label")]).select("c_custkey", "label", "dy")
+    s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"), F.col("s_nationkey").alias("page"), F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 7 % 1000).alias("y"))
+    return spatial.above(c, s, ["page"], "c_custkey", "label", 1400, 220).select("c_custkey", "label", F.col("dy").cast("bigint").alias("dy"))
 
 
 @query("""SELECT s_suppkey, greatest(0, s_acctbal - 30) AS x0, least(9000, s_acctbal + 200 + 30) AS x1 FROM supplier""")
