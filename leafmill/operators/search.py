@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import dot, unit
 from .ranking import fuse, top_k
 
 #: Queries in one plan; their vectors are what is broadcast.
 MOST_QUERIES = 10_000
+#: Matches that a task holds before it hands them on.
+_MATCHES = 100_000
+_WEB_WORD = re.compile("[a-z0-9]+")
 
 
 def small(df: DataFrame, rows: int = MOST_QUERIES) -> DataFrame:
@@ -110,17 +117,58 @@ def clauses(queries: DataFrame, query: str, text: str) -> DataFrame:
 
 
 def web_matches(docs: DataFrame, queries: DataFrame, query: str = "query_id", asked: str = "text", item: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query, item) where a branch of the query holds.  Only the places of words asked for are dealt out; a phrase holds where
-    its words' places, each less its offset, agree."""
-    wanted = clauses(queries, query, asked)
-    parts = wanted.select(query, "branch", "clause", "negated", F.size("words").alias("need"), F.posexplode("words").alias("offset", "term"))
-    places = docs.select(item, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))).alias("place", "term"))
-    met = places.join(small(parts), "term").select(query, "branch", "clause", "negated", "need", item, "offset", (F.col("place") - F.col("offset")).alias("start"))
-    whole = met.groupBy(query, "branch", "clause", "negated", "need", item, "start").agg(F.count_distinct("offset").alias("have")).where("have = need")
-    held = whole.groupBy(query, "branch", item).agg(F.count_distinct(F.when(~F.col("negated"), F.col("clause"))).alias("have"), F.max("negated").alias("barred"))
-    need = wanted.groupBy(query, "branch").agg(F.count_if(~F.col("negated")).alias("need"))
-    some = held.join(small(need), [query, "branch"]).where((F.col("have") == F.col("need")) & (F.col("need") > 0) & ~F.col("barred")).select(query, item)
-    # a branch of exclusions alone holds for all other items
-    open_ = docs.select(item).distinct().crossJoin(small(need.where("need = 0").select(query, "branch")))
-    others = open_.join(held.where("barred").select(query, "branch", item), [query, "branch", item], "left_anti").select(query, item)
-    return some.unionByName(others).distinct()
+    """(query, item) where a branch of the query holds.  Each text is read once for MOST_QUERIES queries, which go out with the task, and judged where it
+    lies: nothing is dealt out.  A branch is looked at if its first word is there; one of exclusions alone is looked at for every text."""
+    n = queries.count()
+    blocks, found = -(-n // MOST_QUERIES) or 1, None
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query), F.lit(2 * blocks)).between(2 * b, 2 * b + 1))
+        part = _web_matches(docs.select(item, F.lower(text).alias("__text")), clauses(mine, query, asked), query, item)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _web_matches(docs: DataFrame, parsed: DataFrame, query: str, item: str) -> DataFrame:
+    wanted = parsed.toArrow()  # of MOST_QUERIES queries at most
+    names = [tuple(q.values()) if isinstance(q, dict) else q for q in wanted.column(query).to_pylist()]
+    branches: dict[tuple, tuple[int, list]] = {}
+    for i, (name, branch, negated, words) in enumerate(zip(names, *(wanted.column(c).to_pylist() for c in ("branch", "negated", "words")))):
+        branches.setdefault((name, branch), (i, []))[1].append((negated, tuple(words)))
+    # a query is named by the row of its first clause
+    first: dict = {}
+    rules = [(first.setdefault(name, i), sorted(told)) for (name, _), (i, told) in branches.items()]
+    asked = {w for _, told in rules for _, words in told for w in words}
+    begins: dict[str | None, list] = {}
+    for rule in rules:
+        negated, words = rule[1][0]
+        begins.setdefault(None if negated else words[0], []).append(rule)
+
+    def held(tokens: list[str]) -> set[int]:
+        places, known, out = {}, {}, set()
+        for at, word in enumerate(tokens):
+            if word in asked:
+                places.setdefault(word, set()).add(at)
+
+        def stands(words: tuple[str, ...]) -> bool:
+            if words not in known:
+                known[words] = all(w in places for w in words) and (len(words) == 1 or any(all(p + i in places[w] for i, w in enumerate(words)) for p in places[words[0]]))
+            return known[words]
+
+        for word in (None, *places):
+            for name, told in begins.get(word, ()):
+                if name not in out and all(stands(words) != negated for negated, words in told):
+                    out.add(name)
+        return out
+
+    def matches(batches):
+        for batch in batches:
+            rows, hits = [], []
+            for i, body in enumerate(batch.column(1)):
+                names = held(_WEB_WORD.findall(body.as_py() or ""))
+                hits += names
+                rows += [i] * len(names)
+                if len(rows) > _MATCHES or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([wanted.column(query).take(pa.array(hits, pa.int64())).combine_chunks(), batch.column(0).take(pa.array(rows, pa.int64()))], [query, item])
+                    rows, hits = [], []
+
+    return docs.select(item, "__text").mapInArrow(matches, T.StructType([parsed.schema[query], docs.schema[item]]))
