@@ -8,10 +8,12 @@ texts of so few characters that the bound says nothing are also met by their sin
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.python_udfs import ratio
+from ..functions.python_udfs import ratio_from
 
 #: Texts up to this length are also met by single characters.
 SHORT = 8
@@ -34,7 +36,9 @@ def _grams(rows: DataFrame, by: list[str], text: str) -> DataFrame:
 def candidates(left: DataFrame, right: DataFrame, by: list[str], least: float, within: bool = False) -> DataFrame:
     """(by, a, b, contained) of distinct texts a of ``left`` (by, a) and b of ``right`` (by, b) that may be alike by ``least``; with ``within``
     also those where a stands in b."""
-    met = _grams(left.distinct(), by, "a").join(_grams(right.distinct(), by, "b"), [*by, "__g", "__k"])
+    # few bytes make many pairs, so texts are spread over all tasks whatever their size
+    spread = left.distinct().repartition(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "a")
+    met = _grams(spread, by, "a").join(_grams(right.distinct(), by, "b"), [*by, "__g", "__k"])
     shared = met.groupBy(*by, "a", "b").agg(F.count_if(~F.col("__g").startswith("\u0001")).alias("pairs"))
     a, b = F.char_length("a"), F.char_length("b")
     total = a + b
@@ -45,7 +49,7 @@ def candidates(left: DataFrame, right: DataFrame, by: list[str], least: float, w
 
 def alike(left: DataFrame, right: DataFrame, by: list[str], least: float, within: bool = False) -> DataFrame:
     """candidates with ``likeness``; those that are neither alike nor contained are left out."""
-    measured = candidates(left, right, by, least, within).withColumn("likeness", ratio(F.col("a"), F.col("b")))
+    measured = candidates(left, right, by, least, within).withColumn("likeness", ratio_from(least)(F.col("a"), F.col("b"), F.col("contained")))
     return measured.where((F.col("likeness") >= least) | F.col("contained"))
 
 
@@ -88,25 +92,39 @@ def page_titles(df: DataFrame, document: str, page: str, title: str, subtitle: s
         met = met.join(of.select("document", F.col("x").alias(own), F.struct("titles", "subs").alias(name)), ["document", own], "left")
     none = F.array().cast("array<string>")
     part = lambda s, f: F.coalesce(F.col(f"{s}.{f}"), none).alias(f"{s}_{f}")
-    items = F.array_sort(F.collect_list(F.struct("page", "title", "sub", "conf", "size", part("t", "titles"), part("t", "subs"), part("s", "subs"))))
-    start = F.struct(F.lit(None).cast("string").alias("title"), F.lit("").alias("sub"), none.alias("seen"), F.array().cast("array<struct<page:bigint,entry:string>>").alias("made"))
-
-    def step(state: Column, x: Column) -> Column:
-        opened, headed = state["title"].isNotNull(), x["title"] != ""
-        known = F.when((F.char_length(x["title"]) >= LETTERS) & opened, F.get(F.filter(state["seen"], lambda s: F.array_contains(x["t_titles"], F.lower(s))), F.lit(0)))
-        below = headed & opened & known.isNull() & (x["size"] < SUBTITLE_HEIGHT) & (x["sub"] == "")
-        skipped = (~headed & opened) | (headed & opened & known.isNull() & ~below & (x["conf"] < SURE))
-        name = F.when(~headed, F.lit(FIRST_TITLE)).when(below, state["title"]).otherwise(F.coalesce(known, x["title"]))
-        raw = F.when(~headed, F.lit("")).when(below, x["title"]).otherwise(x["sub"])
-        under = F.when(F.char_length(F.regexp_replace(raw, "[^A-Za-z]", "")) >= LETTERS, raw).otherwise(F.lit(""))
-        same = (under == "") | (state["sub"] == "") | F.array_contains(F.when(below, x["t_subs"]).otherwise(x["s_subs"]), F.lower(state["sub"]))
-        stays = skipped | (opened & (name == state["title"]) & same)
-        entry = F.when(under != "", F.concat(name, F.lit(" › "), under)).otherwise(name)
-        seen = F.when(F.array_contains(state["seen"], name), state["seen"]).otherwise(F.concat(state["seen"], F.array(name)))
-        return F.struct(
-            F.when(stays, state["title"]).otherwise(name).alias("title"), F.when(stays, state["sub"]).otherwise(under).alias("sub"), F.when(stays, state["seen"]).otherwise(seen).alias("seen"),
-            F.when(stays, state["made"]).otherwise(F.concat(state["made"], F.array(F.struct(x["page"].alias("page"), entry.alias("entry"))))).alias("made"),
-        )
-
-    folded = met.groupBy("document").agg(F.aggregate(items, start, step, lambda s: s["made"]).alias("made"))
-    return folded.select("document", F.explode("made").alias("m")).select("document", "m.page", "m.entry")
+    pages = met.select("document", "page", "title", "lt", "sub", "ls", "conf", "size", part("t", "titles"), part("t", "subs"), part("s", "subs"))
+    schema = T.StructType([rows.schema["document"], T.StructField("page", T.LongType()), T.StructField("entry", T.StringType())])
+    return pages.groupBy("document").applyInArrow(_entries, schema)
+
+
+def _entries(pages):
+    """The fold of page_titles over one document's pages."""
+    known = lambda values: tuple((v is not None, v if v is not None else 0) for v in values)
+    made, title, sub, low_sub = [], None, "", ""
+    seen, first, lower = set(), {}, {FIRST_TITLE: FIRST_TITLE.lower()}  # titles; by their lower case the first in order; lower cases
+    for x in sorted(pages.to_pylist(), key=lambda x: known((x["page"], x["title"], x["sub"], x["conf"], x["size"]))):
+        opened, headed = title is not None, x["title"] != ""
+        met = None
+        if len(x["title"]) >= LETTERS and opened:
+            met = min((first[low] for low in x["t_titles"] if low in first), default=(0, None))[1]
+        below = headed and opened and met is None and x["sub"] == ""
+        if below:
+            below = None if x["size"] is None else x["size"] < SUBTITLE_HEIGHT
+        # what is not known about a page decides nothing
+        unsure = headed and opened and met is None and below is False and x["conf"] is not None and x["conf"] < SURE
+        if (not headed and opened) or unsure:
+            continue
+        name = FIRST_TITLE if not headed else title if below else met or x["title"]
+        raw, low = ("", "") if not headed else (x["title"], x["lt"]) if below else (x["sub"], x["ls"])
+        under = raw if sum(c.isascii() and c.isalpha() for c in raw) >= LETTERS else ""
+        same = under == "" or sub == "" or low_sub in (x["t_subs"] if below else x["s_subs"])
+        if opened and name == title and same:
+            continue
+        lower.setdefault(name, x["lt"])
+        if name not in seen:
+            seen.add(name)
+            first.setdefault(lower[name], (len(seen), name))
+        title, sub, low_sub = name, under, low
+        made.append((x["page"], f"{name} › {under}" if under else name))
+    document = pages.column("document").take(pa.array([0] * len(made), pa.int64()))
+    return pa.table({"document": document, "page": pa.array([p for p, _ in made], pa.int64()), "entry": pa.array([e for _, e in made], pa.string())})

@@ -108,3 +108,22 @@ def test_queries_on_tables(spark):
         assert got[i] == ((-best[1], pytest.approx(best[0], abs=1e-8)) if best[0] >= 0.8 else (None, None))
     rows = [(i % 10, i, h1[i], "", 60 + i % 40, 50 + i % 30) for i in pages]
     assert sorted(tuple(r) for r in QUERIES["synthetic_entries"](spark, DIR).collect()) == sorted(plain_titles(rows))
+
+
+def test_only_likely_texts_are_measured():
+    """A common subsequence bounds the likeness, so most candidates are never measured; none that is alike is lost."""
+    import difflib
+    import random
+
+    import pandas as pd
+
+    from leafmill.functions.python_udfs import common, ratio_from
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("abcde ", k=rnd.randint(0, 30))) for _ in range(60)]
+    texts += [t[:-1] + "x" for t in texts]
+    pairs = [(a, b) for a in texts for b in texts if a and b]
+    exact = [difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    assert all(2 * common(a, b) >= r * (len(a) + len(b)) - 1e-9 for (a, b), r in zip(pairs, exact))
+    got = ratio_from(0.8).func(*(pd.Series(x) for x in zip(*pairs)), pd.Series([False] * len(pairs)))
+    assert [g if g >= 0.8 else None for g in got] == [r if r >= 0.8 else None for r in exact] and got.isna().sum() > len(pairs) / 2
