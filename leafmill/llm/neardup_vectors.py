@@ -4,8 +4,8 @@ Each pass orders the vectors lexicographically by concatenated random hashes (th
 with its neighbours in that order, ``window`` rows on; pairs with cosine >= the threshold are united across passes.  The order is made of
 range-partitioned, sorted runs that are written with their ranks; the ranks cut it into tiles of bounded size, and a tile is given the rows that
 follow it, so windows run on over the borders of partitions and tiles.  A pair at the threshold agrees in its first ``depth`` bits with
-a chance that doesn't depend on the other vectors, and then lies within the window if no more rows than that share those bits.  How many do is measured
-on a sample; the width and the number of passes that find such a pair with the chance RECALL at the least cost follow from it.  Rows of a dense
+a chance that doesn't depend on the other vectors, and then lies within the window if no more rows than that share those bits.  How many do is counted
+over all rows, at every depth; the width and the number of passes that find such a pair with the chance RECALL at the least cost follow from it.  Rows of a dense
 group, of which more share their bits than the widest window holds, are linked to those next to them, which are nearer than most.  A small table
 is compared whole.  Inside a component all links are then counted exactly in blocks; nothing is emitted for each pair.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, bounded, lean
+from .base import Scratch, lean
 from .components import components
 from .vectors import matrix, sound
 
@@ -38,8 +38,8 @@ BITS = 62
 HELD = 0.95
 #: Members of a key or component that one task compares with as many others.
 BLOCK = 2048
-#: Rows and passes on which the occupancy of keys is measured, for the choice of window and passes only.
-SAMPLE_ROWS, SAMPLE_PASSES = 20_000, 4
+#: Passes whose keys are counted, of all rows, before window and passes are chosen.
+COUNTED = 4
 
 
 def passes_at(depth: float, threshold: float, recall: float) -> int:
@@ -57,17 +57,12 @@ def planes_of(p: int, dimension: int) -> np.ndarray:
     return np.random.default_rng(1000 + p).normal(size=(dimension, BITS))
 
 
-def windows_for(sample: np.ndarray, n: int, threshold: float, window: int, recall: float) -> tuple[int, int]:
-    """(neighbours, passes) of the least cost for n vectors whose bits are shared as those of ``sample`` are."""
-    if n <= max(window, BLOCK) or len(sample) < 2:
-        return n, 1
-    m, sharers = len(sample), np.zeros((SAMPLE_PASSES, BITS + 1))
-    for p in range(SAMPLE_PASSES):
-        bits = (sample @ planes_of(p, sample.shape[1]) > 0).astype(np.int64)
-        keys = np.sort(bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)))
-        for depth in range(BITS + 1):
-            held = np.unique(keys >> (BITS - depth), return_counts=True)[1]
-            sharers[p, depth] = np.quantile(np.repeat(held, held) - 1, HELD) * n / m
+def keys_of(x: np.ndarray, p: int) -> np.ndarray:
+    return (x @ planes_of(p, x.shape[1]) > 0).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+
+
+def windows_of(sharers: np.ndarray, threshold: float, window: int, recall: float) -> tuple[int, int]:
+    """(neighbours, passes) of the least cost where so many others share a row's bits in each counted pass (rows) at each depth (columns)."""
     wide = np.clip(sharers.mean(axis=0), window, None)
     cost = [passes_at(depth, threshold, recall) * (DEALING + wide[depth]) for depth in range(BITS + 1)]
     # a window wider than the widest is cut to it
@@ -76,6 +71,66 @@ def windows_for(sample: np.ndarray, n: int, threshold: float, window: int, recal
     return int(min(wide[best], WIDEST)), passes_at(best, threshold, recall)
 
 
+def windows_for(x: np.ndarray, n: int, threshold: float, window: int, recall: float) -> tuple[int, int]:
+    """(neighbours, passes) for n vectors whose bits are shared as those of the rows of ``x`` are."""
+    if n <= max(window, BLOCK) or len(x) < 2:
+        return n, 1
+    sharers = np.zeros((COUNTED, BITS + 1))
+    for p in range(COUNTED):
+        keys = np.sort(keys_of(x, p))
+        for depth in range(BITS + 1):
+            held = np.unique(keys >> (BITS - depth), return_counts=True)[1]
+            sharers[p, depth] = np.quantile(np.repeat(held, held) - 1, HELD) * n / len(x)
+    return windows_of(sharers, threshold, window, recall)
+
+
+def sharers_of(rows: DataFrame) -> np.ndarray:
+    """For each counted pass and depth how many others, of all rows (vector, rep), share the bits of one at the share HELD of them.
+
+    Keys are sorted in range-partitioned runs.  A run counts the groups that lie inside it; of the first and the last, which may go on in the
+    next one, parts are added up.  A driver gets a number for each pass and depth."""
+
+    def keys(batches):
+        for batch in lean(batches):
+            x = matrix(batch.column(0))
+            if len(x):
+                turn = np.repeat(np.arange(COUNTED, dtype=np.int32), len(x))
+                reps = np.tile(np.asarray(batch.column(1)), COUNTED)
+                yield pa.RecordBatch.from_arrays([pa.array(turn), pa.array(np.concatenate([keys_of(x, p) for p in range(COUNTED)])), pa.array(reps)], ["pass", "key", "rep"])
+
+    def groups(batches):
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in lean(batches):
+            turn, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for p in np.unique(turn).tolist():
+                held.setdefault(p, []).append(key[turn == p])
+        for p, parts in held.items():
+            run = np.concatenate(parts)
+            for depth in range(BITS + 1):
+                bits = run >> (BITS - depth)
+                starts = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1]])
+                sizes = np.diff(np.r_[starts, len(run)])
+                inner, times = np.unique(sizes[1:-1], return_counts=True)
+                edges = [0, len(sizes) - 1] if len(sizes) > 1 else [0]
+                edge = [*bits[starts[edges]].tolist(), *[None] * len(inner)]
+                n, many = np.r_[sizes[edges], inner], np.r_[np.ones(len(edges), np.int64), times]
+                cols = [pa.array(np.full(len(n), p, np.int32)), pa.array(np.full(len(n), depth, np.int32)), pa.array(edge, pa.int64()), pa.array(n.astype(np.int64)), pa.array(many.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, ["pass", "depth", "bits", "held", "times"])
+
+    runs = rows.select("vector", "rep").mapInArrow(keys, "pass int, key bigint, rep bigint").repartitionByRange("pass", "key", "rep").sortWithinPartitions("pass", "key", "rep")
+    found = runs.mapInArrow(groups, "pass int, depth int, bits bigint, held bigint, times bigint")
+    # parts of one group are added up, whole groups are of one size
+    parts = F.when(F.col("bits").isNull(), F.col("held"))
+    whole = found.groupBy("pass", "depth", "bits", parts.alias("size")).agg(F.sum("held").alias("sum"), F.sum("times").alias("times"))
+    sized = whole.select("pass", "depth", F.coalesce("size", "sum").alias("held"), F.when(F.col("size").isNull(), F.lit(1)).otherwise(F.col("times")).alias("times"))
+    sized = sized.groupBy("pass", "depth", "held").agg(F.sum("times").alias("times"))
+    shared = sized.groupBy("pass", "depth").agg(F.percentile(F.col("held") - 1, F.lit(HELD), F.col("held") * F.col("times")).alias("shared"))
+    out = np.zeros((COUNTED, BITS + 1))
+    for r in shared.collect():
+        out[r["pass"], r["depth"]] = r["shared"]
+    return out
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows / np.abs(rows).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(rows).max(axis=1, keepdims=True) if len(rows) else rows
 
@@ -126,8 +181,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
     classes = scratch.keep(unnumbered.withColumn("rep", F.monotonically_increasing_id()), "classes")
     scratch.drop("distinct")
     n = classes.count()
-    few = np.array(bounded(classes, SAMPLE_ROWS, "hash", "hash2").select("vector").toPandas()["vector"].tolist()) if n > max(window, BLOCK) else np.zeros((0, 0))
-    wide, passes = windows_for(few, n, threshold, window, RECALL)
+    wide, passes = windows_of(sharers_of(classes), threshold, window, RECALL) if n > max(window, BLOCK) else (n, 1)
     tile_rows = max(BLOCK, wide)
 
     def keys(batches):
@@ -137,7 +191,7 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
                 continue
             found = np.zeros((len(x), passes), np.int64)
             for p in range(passes):
-                found[:, p] = (x @ planes_of(p, x.shape[1]) > 0).astype(np.int64) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
+                found[:, p] = keys_of(x, p)
             values = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, passes, dtype=np.int32)), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), values], ["rep", "vector", "keys"])
 

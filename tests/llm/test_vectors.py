@@ -185,3 +185,21 @@ def test_windows_far_narrower_than_the_table(spark, monkeypatch):
     got = {r.vec_id: r for r in neardup_vectors.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), window=16).collect()}
     assert np.mean([got[5000 + i].component_id == i and got[i].n_links == 1 for i in range(500)]) >= 0.97
     assert all(got[i].n_links == 0 for i in range(500, 5000))
+
+
+def test_sharers_are_counted_over_all_rows(spark, monkeypatch):
+    """25,000 vectors, a group of 40 among them: window and passes are those that all rows give, not those of some."""
+    rng = np.random.default_rng(12)
+    x = np.vstack([rng.normal(size=(25_000, 8)), rng.normal(size=8) + 0.01 * rng.normal(size=(40, 8))])
+    asked = []
+    choose = neardup_vectors.windows_of
+    monkeypatch.setattr(neardup_vectors, "windows_of", lambda sharers, *rest: asked.append((sharers, choose(sharers, *rest))) or asked[-1][1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    assert neardup_vectors.near_duplicates(df, window=64).columns == ["vec_id", "n_links", "component_id", "kept"]
+    (sharers, chosen), = asked
+    for p in range(neardup_vectors.COUNTED):
+        keys = neardup_vectors.keys_of(x, p)
+        for depth in range(0, neardup_vectors.BITS + 1):
+            held = np.unique(keys >> (neardup_vectors.BITS - depth), return_counts=True)[1]
+            assert sharers[p, depth] == pytest.approx(np.quantile(np.repeat(held, held) - 1, neardup_vectors.HELD), abs=1e-6)
+    assert chosen == neardup_vectors.windows_for(x, len(x), 0.9, 64, neardup_vectors.RECALL)
