@@ -64,7 +64,8 @@ def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = toxicity.fit(toxicity.labelled(docs, labels.where(~held_out(F.col("doc_id")))))
+    known = ~held_out(F.col("doc_id"))
+    model = toxicity.fit(toxicity.labelled(docs.where(known), labels.where(known)))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -5,6 +5,8 @@ is nothing; a repeated letter may be nothing.  A Viterbi search finds the likeli
 fitted texts.  The restored words and their beginnings are looked up in a lexicon of those found in toxic texts much more often than in
 others (by the lower end of the interval of their share), and a logistic regression turns a text's strongest finds into a probability.  In
 fitting, a text's own counts are taken off before its words are judged, so that a beginning seen once says nothing about the text it is from.
+All labelled texts are fitted on: counts and the regression's sums are made where the rows lie, the driver gets the letters' model, the finds of
+the lexicon's candidates and sums of a fixed size.
 
 Cases: null and empty texts have no words and get the score of a text without finds; rows without label, text or id train nothing, a
 document with several labels has their mean, equal texts train once; without labels (an empty table, too) every score is 0; an empty table
@@ -17,16 +19,19 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, bounded, lean, unused
+from ..operators.search import small
+from .base import Scratch, lean, unused
+from .vectors import matrix
 
-#: Fit on about so many labelled rows at most, and the language model on so many of them.
-SAMPLE_ROWS, MODEL_ROWS = 20_000, 4_000
+#: Labelled ids that are broadcast at most; above, documents and labels are dealt out by id.
+SENT = 1_000_000
 #: Letters of context and one more; the discount of each count; n-grams counted less often are left out.
 ORDER, DISCOUNT, SELDOM = 4, 0.5, 3
 #: Lengths of the beginnings of words that are looked up beside whole words.
@@ -47,8 +52,10 @@ _STRETCHED = re.compile(r"(.)\1\1|(.)\2.*(.)\3", re.S)
 _AGAIN = re.compile(r"(.)\1+", re.S)
 _MANY = re.compile(r"(\S)(?:[ \t]*\1){3,}")
 _ENDS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "$@|+!(*") + "«»“”„‘’…–—¿·"
-#: Tokens whose reading a worker remembers.
-HELD = 200_000
+#: Tokens whose reading a worker remembers, names whose counts it holds.
+HELD, COUNTS = 200_000, 1_000_000
+#: The regression's sums are whole numbers of this size, so that their order doesn't matter.
+UNIT = 2.0**-30
 
 
 def folded(text: str) -> str:
@@ -159,26 +166,17 @@ def _measures(finds: list[float], n_tokens: int) -> list[float]:
     return [1.0, a, max(0.0, a - 0.5), max(0.0, a - 0.7), max(0.0, a - 0.85), b, max(0.0, b - 0.5), math.log1p(sum(f > 0.5 for f in finds)), size, size * a]
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, y) of about ``rows`` labelled documents at most; equal texts are one, with their mean label."""
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(text, y) of all labelled documents; equal texts are one, with their mean label."""
     mean = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.avg(label).alias("__y"))
-    few = bounded(mean, rows, "__id")
-    met = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(few), "__id")
+    met = docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(small(mean, SENT), "__id")
     return met.groupBy("text").agg((F.avg("__y") >= 0.5).cast("int").alias("y"))
 
 
-def _sums(rows: DataFrame, count, kind: str = "double") -> dict[str, float]:
-    """Sums by name of what ``count(batch)`` yields; names come from the bounded sample."""
-
-    def run(batches):
-        total: dict[str, float] = {}
-        for batch in lean(batches):
-            for name, n in count(batch):
-                total[name] = total.get(name, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(map(float, total.values())))], ["name", "n"])
-
-    found = rows.coalesce(8).mapInArrow(run, "name string, n double").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= (SELDOM if kind == "grams" else 0)).toPandas()
-    return dict(zip(found["name"].tolist(), found["n"].tolist()))
+def _counted(*counts: Counter) -> pa.RecordBatch:
+    """The names of the first of some counts with how often each has them."""
+    names = list(counts[0])
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[k] for k in names], pa.int64()) for c in counts)], ["name", *(f"n{i}" for i in range(len(counts)))])
 
 
 def fit(known: DataFrame) -> dict:
@@ -193,16 +191,26 @@ def fit(known: DataFrame) -> dict:
 
     seen = scratch.keep(known.select("text", "y").mapInArrow(tokens, "tokens array<string>, y int"), "tokens")
 
-    def grams(batch):
-        for word in batch.column(0).to_pylist():
-            if word.isalpha():
-                marked = " " + word + " "
-                for i in range(1, len(marked)):
-                    for n in range(min(ORDER, i + 1)):
-                        yield marked[i - n : i + 1], 1
-
-    plain = bounded(seen, MODEL_ROWS, "tokens").select(F.explode("tokens").alias("token")).select(F.regexp_replace("token", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"))
-    letters = Letters(_sums(plain.where(F.length("word") > 1), grams, "grams"))
+    def grams(batches):
+        total: Counter = Counter()
+        for batch in lean(batches):
+            for word, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if word.isalpha():
+                    marked = " " + word + " "
+                    for i in range(1, len(marked)):
+                        for n in range(min(ORDER, i + 1)):
+                            total[marked[i - n : i + 1]] += times
+            if len(total) > COUNTS:
+                yield _counted(total)
+                total.clear()
+        yield _counted(total)
+
+    # each token is taken apart once, with the number of texts that have it
+    plain = seen.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
+    plain = plain.select(F.regexp_replace("token", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("word"), "times").where(F.length("word") > 1)
+    # as many as the alphabets' runs of ORDER letters, whatever the size of the table
+    seldom = plain.mapInArrow(grams, "name string, n0 bigint").groupBy("name").agg(F.sum("n0").alias("n")).where(F.col("n") >= SELDOM).toPandas()
+    letters = Letters(dict(zip(seldom["name"].tolist(), map(float, seldom["n"].tolist()))))
     if not letters.counts:
         scratch.drop()
         return {"letters": None, "lexicon": {}, "weights": None}
@@ -224,39 +232,55 @@ def fit(known: DataFrame) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), batch.column(1), pa.array([len(f) for f in batch.column(0).to_pylist()], pa.int32())], ["words", "y", "n"])
 
     read = scratch.keep(seen.mapInArrow(words, "words array<string>, y int, n int"), "words")
+    scratch.drop("tokens")
 
-    def toxic(batch):
-        for found in batch.column(0).to_pylist():
-            yield from ((f, 1) for f in {f for w in found for f in features(w)})
-
-    there = {f: n for f, n in _sums(read.where("y = 1"), toxic).items() if n >= 2}
-    names = spark.sparkContext.broadcast(set(there))
-
-    def clean(batch):
-        wanted = names.value
-        for found in batch.column(0).to_pylist():
-            yield from ((f, 1) for f in {f for w in found for f in features(w) if f in wanted})
-
-    else_ = _sums(read.where("y = 0"), clean)
-    counts = {f: (n, n + else_.get(f, 0.0)) for f, n in there.items()}
-    # a clean text is judged without itself, so what its own count keeps out of the lexicon is needed too
+    def texts_with(batches):
+        texts, toxic, held = Counter(), Counter(), {}
+        for batch in lean(batches):
+            for found, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                mine: set[str] = set()
+                for word in found:
+                    if (names := held.get(word)) is None:
+                        if len(held) > HELD:
+                            held.clear()
+                        names = held[word] = features(word)
+                    mine.update(names)
+                texts.update(mine)
+                if y:
+                    toxic.update(mine)
+            if len(texts) > COUNTS:
+                yield _counted(texts, toxic)
+                texts.clear(), toxic.clear()
+        yield _counted(texts, toxic)
+
+    # a clean text is judged without itself, so what its own count keeps out of the lexicon is needed too; the interval's lower end is below the share
+    tally = read.mapInArrow(texts_with, "name string, n0 bigint, n1 bigint").groupBy("name").agg(F.sum("n1").alias("t"), F.sum("n0").alias("n"))
+    some = tally.where((F.col("t") >= 2) & (F.col("t") >= SURE * F.greatest("t", F.col("n") - 1))).toPandas()
+    counts = {f: (float(t), float(n)) for f, t, n in zip(some["name"].tolist(), some["t"].tolist(), some["n"].tolist())}
     near = _lexicon({f: (t, max(t, n - 1)) for f, (t, n) in counts.items()})
-    names.unpersist()
-    lex = spark.sparkContext.broadcast({f: counts[f] for f in near})
+    # what the finds are worth to a clean text and to a toxic one, each without its own count
+    ends = spark.sparkContext.broadcast((near, _lexicon({f: (counts[f][0] - 1, counts[f][1] - 1) for f in near})))
 
     def measured(batches):
+        held: tuple[dict, dict] = {}, {}
         for batch in lean(batches):
             rows = []
             for found, y, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                mine = {f for w in found for f in features(w) if f in lex.value}
-                rows.append(_measures(_best(found, _lexicon({f: (lex.value[f][0] - y, lex.value[f][1] - 1) for f in sorted(mine)})), n))
+                finds, mine = {}, held[y]
+                for word in found:
+                    if word not in mine:
+                        if len(mine) > HELD:
+                            mine.clear()
+                        mine[word] = _surest(word, ends.value[y])
+                    if mine[word]:
+                        finds[mine[word][1]] = mine[word][0]
+                rows.append(_measures(list(finds.values()), n))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    pairs = read.mapInArrow(measured, "x array<double>, y int").toPandas()  # bounded by the sample
-    x, y = np.array(pairs["x"].tolist()), pairs["y"].to_numpy().astype(float)
-    order = np.lexsort((*x.T, y))
+    pairs = scratch.keep(read.mapInArrow(measured, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    weights = _logistic(pairs)
     scratch.drop()
-    return {"letters": letters.counts, "lexicon": _lexicon(counts), "weights": _logistic(x[order], y[order])}
+    return {"letters": letters.counts, "lexicon": _lexicon(counts), "weights": weights}
 
 
 def _lexicon(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
@@ -265,24 +289,33 @@ def _lexicon(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     return {f: e for (f, (t, _)), e in zip(counts.items(), ends.tolist()) if t >= 2 and e >= SURE}
 
 
-def _best(words, ends: dict[str, float]) -> list[float]:
-    """The surest find of each word; words that share it count once."""
-    finds: dict[str, float] = {}
-    for word in words:
-        mine = [(ends[f], f) for f in features(word) if f in ends]
-        if mine:
-            end, f = max(mine)
-            finds[f] = end
-    return list(finds.values())
+def _surest(word: str, ends: dict[str, float]) -> tuple[float, str] | None:
+    """The surest find of a word; words that share it count once."""
+    return max(((ends[f], f) for f in features(word) if f in ends), default=None)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
-    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+def _logistic(pairs: DataFrame, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
+    """Weights for (x, y, n rows of these) by Newton's steps, each from one pass's sums."""
+    side = len(_measures([], 0))
+    w, keep = np.zeros(side), ridge * np.eye(side)
     keep[0, 0] = 1e-6
+
+    def sums(batches):
+        total = np.zeros((side + 1, side), np.int64)
+        for batch in lean(batches):
+            x = matrix(batch.column(0))
+            if len(x):
+                y, n = np.asarray(batch.column(1), np.float64), np.asarray(batch.column(2))
+                p = 1 / (1 + np.exp(-np.clip((x * w).sum(axis=1), -30, 30)))
+                each = np.concatenate([x[:, :, None] * x[:, None, :] * (p * (1 - p) + 1e-9)[:, None, None], (x * (y - p)[:, None])[:, None, :]], axis=1)
+                total += (np.rint(each / UNIT).astype(np.int64) * n[:, None, None]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(total.ravel()), pa.array(np.arange(total.size))], ["sum", "at"])
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + keep, x.T @ (y - p) - keep @ w)
-        w += step
+        found = pairs.mapInArrow(sums, "sum bigint, at bigint").groupBy("at").agg(F.sum(F.col("sum").cast("decimal(38,0)")).alias("sum")).collect()
+        total = np.array([float(r["sum"]) * UNIT for r in sorted(found, key=lambda r: r["at"])]).reshape(side + 1, side)
+        step = np.linalg.solve(total[:-1] + keep, total[-1] - keep @ w)
+        w = w + step
         if np.abs(step).max() < 1e-9:
             break
     return np.round(w, 9)

@@ -138,3 +138,15 @@ def test_query(spark):
     right = [r.predicted == labels[r.doc_id] for r in rows if r.held_out and r.doc_id in labels]
     assert sum(right) / len(right) >= 0.9
     assert sorted(rows) == sorted(QUERIES["op11_toxicity"](spark, DIR).collect())
+
+
+def test_all_labelled_texts_are_fitted_on(spark):
+    """21,000 texts of a word and a name of letters; the rare toxic word is in three of them."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in f"{i:05d}")
+    docs = spark.createDataFrame([(i, f"garden {name(i)}" + (" zwqk" if i % 7000 == 5 else "")) for i in range(21_000)], "doc_id bigint, text string")
+    known = toxicity.labelled(docs, docs.selectExpr("doc_id", "cast(doc_id % 7000 = 5 AS int) AS toxic"))
+    assert known.count() == 21_000 and known.where("y = 1").count() == 3
+    model = toxicity.fit(known)
+    assert model["letters"]["gard"] == 21_000 and model["letters"]["zwqk"] == 3
+    assert model["lexicon"]["zwqk "] == pytest.approx(float(toxicity.lower_end(3.0, 3.0))) and "garden " not in model["lexicon"]
+    assert sorted(known.collect()) and (model["weights"] == toxicity.fit(known.repartition(3))["weights"]).all()
