@@ -1,7 +1,9 @@
 """Constraints as plans: a declared schema compiled to queries that list what breaks it, and to deletions that follow its references.
 
-All row rules of a table (not null, checks, generated columns) are one scan.  A unique key is an aggregate, combined before rows are dealt out.  A
-reference is an anti-join of its distinct values, counted first, so a value that a third of all rows share is one row when it is dealt out.
+All row rules of a table (not null, checks, generated columns) are one scan.  A unique key is an aggregate; most keys differ, so combining
+would only hold them in memory, and they are dealt out at once, about ROWS a task.  Keys with texts are named by a hash first: only rows whose hash
+is repeated are compared by their texts, combined before they are dealt out.  A reference is an anti-join of its distinct values; those to a small
+table are counted first, so a value that a third of all rows share is one row when it is dealt out, others are dealt out like keys.
 A deletion goes from parents to children in topological order, each table's keys once; references within a table, or in a ring, are
 followed until nothing is added.  As in SQL a check that is null holds, and a key with a null part neither repeats nor refers.
 """
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from .search import small
 
 CASCADE, SET_NULL, RESTRICT = "cascade", "set null", "restrict"
+#: Keys that a task holds, about.
+ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -55,9 +59,26 @@ def _whole(columns) -> Column:
     return reduce(Column.__and__, (F.col(c).isNotNull() for c in columns))
 
 
+def _dealt(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """df in as many parts by some columns as ROWS a part make of ``rows``."""
+    return df.repartition(max(1, -(-rows // ROWS)), *columns)
+
+
+def _repeated(df: DataFrame, columns, rows: int) -> DataFrame:
+    """The values of some columns that more than one row has, with how many (__n); rows with a null part have none."""
+    keys = df.where(_whole(columns)).select(*columns)
+    if any(keys.schema[c].dataType.typeName() in ("string", "binary") for c in columns):
+        named = keys.withColumn("__h", F.xxhash64(*columns))
+        again = _dealt(named.select("__h"), rows, "__h").groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h")
+        counted = named.join(small(again, ROWS), "__h", "left_semi").groupBy(*columns)
+    else:
+        counted = _dealt(keys, rows, *columns).groupBy(*columns)
+    return counted.agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+
+
 def violations(schema: dict[str, Table], tables: dict[str, DataFrame]) -> DataFrame:
     """(table, kind, rule, key, n): broken row rules with the row's key; repeated keys, and values that refer to nothing, with how many rows have them."""
-    found = []
+    found, sizes = [], {name: tables[name].count() for name in schema}
     for name, rules in schema.items():
         df = tables[name]
         said = [(c, "not null", F.col(c).isNull()) for c in dict.fromkeys((*rules.key, *rules.not_null))]
@@ -67,12 +88,15 @@ def violations(schema: dict[str, Table], tables: dict[str, DataFrame]) -> DataFr
         rows = df.select(_name(rules.key).alias("key"), F.explode(broken).alias("b"))
         found.append(rows.select(F.lit(name).alias("table"), "b.kind", "b.rule", "key", F.lit(1).cast("bigint").alias("n")))
         for columns in (rules.key, *rules.unique):
-            again = df.where(_whole(columns)).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+            again = _repeated(df, columns, sizes[name])
             found.append(again.select(F.lit(name).alias("table"), F.lit("unique").alias("kind"), F.lit(", ".join(columns)).alias("rule"), _name(columns).alias("key"), F.col("__n").alias("n")))
         for ref in rules.references:
             to = ref.to or schema[ref.table].key
-            values = df.where(_whole(ref.columns)).groupBy(*ref.columns).agg(F.count(F.lit(1)).alias("__n"))
+            values, most = df.where(_whole(ref.columns)).select(*ref.columns), max(sizes[name], sizes[ref.table])
             there = tables[ref.table].select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(to)))
+            if sizes[ref.table] > ROWS:
+                values, there = _dealt(values, most, *ref.columns), _dealt(there, most, *there.columns)
+            values = values.groupBy(*ref.columns).agg(F.count(F.lit(1)).alias("__n"))
             lost = values.join(there, [F.col(c) == F.col(f"__{i}") for i, c in enumerate(ref.columns)], "left_anti")
             found.append(lost.select(F.lit(name).alias("table"), F.lit("reference").alias("kind"), F.lit(f"{', '.join(ref.columns)} -> {ref.table}").alias("rule"), _name(ref.columns).alias("key"), F.col("__n").alias("n")))
     return reduce(DataFrame.unionByName, found)

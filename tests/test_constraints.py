@@ -59,3 +59,16 @@ def test_order():
     assert sorted(flat) == sorted(C.KNOWLEDGE_BASE) and all(flat.index(r.table) < flat.index(n) for n, t in C.KNOWLEDGE_BASE.items() for r in t.references)
     ring = {"a": C.Table(("id",), references=(C.Reference(("b",), "b"),)), "b": C.Table(("id",), references=(C.Reference(("a",), "a"),)), "c": C.Table(("id",))}
     assert C.order_of(ring) == [["c"], ["a", "b"]]
+
+
+def test_keys_are_dealt_out_by_their_number(spark, tables, monkeypatch):
+    """A task holds about so many keys, however small they are when they are packed; the rows found are the same."""
+    whole = sorted(map(tuple, C.violations(SCHEMA, tables).collect()))
+    monkeypatch.setattr(C, "ROWS", 2)
+    assert sorted(map(tuple, C.violations(SCHEMA, tables).collect())) == whole
+    monkeypatch.setattr(C, "ROWS", 1000)
+    schema = {"a": C.Table(("id",), unique=(("name",),), references=(C.Reference(("to",), "b"),)), "b": C.Table(("id",))}
+    rows = spark.range(20_000).selectExpr("id", "concat('n', id % 19999) AS name", "cast(id + 1 AS bigint) AS to")
+    found = C.violations(schema, {"a": rows, "b": spark.range(20_000)})
+    assert sorted(map(tuple, found.collect())) == [("a", "reference", "to -> b", "20000", 1), ("a", "unique", "name", "n0", 2)]
+    assert C._repeated(rows, ("id",), 20_000).rdd.getNumPartitions() == 20
