@@ -20,9 +20,11 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +51,11 @@ LOOK, STAR, AGAIN, NOTHING, DIGIT, SPACED, PART = -0.7, -2.5, -1.2, -1.0, -3.5,
 _NO_SIGHT = re.compile("[\u00ad\u200b-\u200d\u2060\ufe00-\ufe0f\ufeff]")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}(?!\S)")
 _STRETCHED = re.compile(r"(.)\1\1|(.)\2.*(.)\3", re.S)
+_APART = re.compile(r"[ \t]\S[ \t]+\S(?!\S)")
 _AGAIN = re.compile(r"(.)\1+", re.S)
 _MANY = re.compile(r"(\S)(?:[ \t]*\1){3,}")
 _ENDS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) not in "$@|+!(*") + "«»“”„‘’…–—¿·"
-#: Tokens whose reading a worker remembers, names whose counts it holds.
+#: Tokens and lattices whose reading a worker remembers, names whose counts it holds.
 HELD, COUNTS = 200_000, 1_000_000
 #: The regression's sums are whole numbers of this size, so that their order doesn't matter.
 UNIT = 2.0**-30
@@ -69,7 +72,7 @@ class Letters:
     """A character model of words: interpolated, discounted counts of up to ORDER letters."""
 
     def __init__(self, counts: dict[str, float]):
-        self.counts, self.after, self.kinds, self.known = counts, {}, {}, {}
+        self.counts, self.after, self.kinds, self.known, self.tails = counts, {}, {}, {}, {}
         for gram, n in counts.items():
             self.after[gram[:-1]] = self.after.get(gram[:-1], 0.0) + n
             self.kinds[gram[:-1]] = self.kinds.get(gram[:-1], 0) + 1
@@ -88,6 +91,7 @@ class Letters:
         return found
 
 
+@lru_cache(4096)
 def readings(sign: str, before: str) -> list[tuple[str, float]]:
     """What a sign of a lattice may be ('' nothing, ' ' the end of a word), with log chances; before: the last sign that isn't a blank."""
     if sign.isspace():
@@ -103,34 +107,51 @@ def readings(sign: str, before: str) -> list[tuple[str, float]]:
 
 
 def restored(span: str, letters: Letters) -> str:
-    """The likeliest words behind the signs of a span, by exact Viterbi search over contexts of ORDER - 1 letters."""
-    paths, before = {" ": (0.0, ("", None))}, ""
-    for sign in _MANY.sub(lambda m: m[1] * 3, span):
+    """The likeliest words behind the signs of a span, by exact Viterbi search over contexts of ORDER - 1 letters.
+
+    Signs that are only themselves lead to one context; what follows it is read alike whatever stands before, and remembered."""
+    span, n = _MANY.sub(lambda m: m[1] * 3, span), 0
+    while n < len(span) and len(readings(span[n], span[n - 1 : n])) == 1:
+        n += 1
+    head, rest = span[:n], span[n:]
+    if (tail := letters.tails.get(key := ((" " + head)[1 - ORDER :], rest))) is None:
+        if len(letters.tails) > HELD:
+            letters.tails.clear()
+        tail = letters.tails[key] = _searched(*key, letters)
+    return (head + tail).strip()
+
+
+def _searched(start: str, span: str, letters: Letters) -> str:
+    """The likeliest reading of a span after a context."""
+    paths, before, known = {start: (0.0, ("", None))}, start[-1:].strip(), letters.known.get
+    for sign in span:
         found: dict[str, tuple] = {}
         for letter, cost in readings(sign, before):
             for context, (total, trace) in paths.items():
-                if letter == " " and context == " ":
-                    here, after, there = total + cost, context, trace  # no empty words
-                elif letter:
-                    here = total + cost + letters.log(context, letter)
-                    after, there = " " if letter == " " else (context + letter)[1 - ORDER :], (letter, trace)
-                else:
-                    here, after, there = total + cost, context, trace
+                if not letter or letter == context == " ":  # no empty words
+                    here, after = total + cost, context
+                    if after not in found or here > found[after][0]:
+                        found[after] = here, trace
+                    continue
+                key = context + letter
+                if (chance := known(key)) is None:
+                    chance = letters.log(context, letter)
+                here, after = total + cost + chance, " " if letter == " " else key[1 - ORDER :]
                 if after not in found or here > found[after][0]:
-                    found[after] = here, there
+                    found[after] = here, (letter, trace)
         paths, before = found, before if sign.isspace() else sign
-    _, trace = max(((total + letters.log(context, " ") if context != " " else total), trace) for context, (total, trace) in paths.items())
+    _, trace = max(((total + (known(context + " ") or letters.log(context, " ")) if context != " " else total), trace) for context, (total, trace) in paths.items())
     out = []
     while trace is not None:
         out.append(trace[0])
         trace = trace[1]
-    return "".join(reversed(out)).strip()
+    return "".join(reversed(out))
 
 
 def disguised(token: str) -> bool:
     """Whether a token without its marks at the ends is more than a plain word or number."""
     if token.isalpha():
-        return _STRETCHED.search(token) is not None or not token.isascii() and any(c in LOOKS for c in token)
+        return _STRETCHED.search(token) is not None or not token.isascii() and not LOOKS.keys().isdisjoint(token)
     return any(map(str.isalpha, token))
 
 
@@ -145,7 +166,10 @@ def words_of(token: str, letters: Letters | None) -> list[str]:
 
 def tokens_of(low: str) -> set[str]:
     """The distinct tokens of a folded text and its spaced runs."""
-    return {*low.split(), *(m.group() for m in _SPACED.finditer(low))}
+    found = set(low.split())
+    if _APART.search(low):  # else no three single signs follow each other
+        found.update(m.group() for m in _SPACED.finditer(low))
+    return found
 
 
 def features(word: str) -> list[str]:
@@ -173,10 +197,76 @@ def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     return met.groupBy("text").agg((F.avg("__y") >= 0.5).cast("int").alias("y"))
 
 
-def _counted(*counts: Counter) -> pa.RecordBatch:
-    """The names of the first of some counts with how often each has them."""
-    names = list(counts[0])
-    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[k] for k in names], pa.int64()) for c in counts)], ["name", *(f"n{i}" for i in range(len(counts)))])
+def _counted(names: pa.Array, *counts) -> pa.RecordBatch:
+    """Names with their counts of each kind."""
+    return pa.RecordBatch.from_arrays([names, *(pa.array(c, pa.int64()) for c in counts)], ["name", *(f"n{i}" for i in range(len(counts)))])
+
+
+def _coded(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The list of each item of lists of strings, the items as numbers, and what the numbers stand for."""
+    items = lists.flatten().dictionary_encode()
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), items.indices.to_numpy(), items.dictionary
+
+
+def _read(tokens: pa.ListArray, letters: Letters) -> pa.ListArray:
+    """The distinct words of each list of tokens, in order; each token is read once."""
+    rows, codes, names = _coded(tokens)
+    found = [words_of(token, letters) for token in names.to_numpy(zero_copy_only=False)]
+    words = sorted({w for f in found for w in f})
+    place = {w: i for i, w in enumerate(words)}
+    flat, many = np.array([place[w] for f in found for w in f], np.int64), np.array([len(f) for f in found], np.int64)
+    each = many[codes]
+    at = np.repeat((np.cumsum(many) - many)[codes] - np.cumsum(each) + each, each) + np.arange(each.sum())
+    rows, of = np.divmod(np.unique(np.repeat(rows, each) * len(words) + flat[at]), max(1, len(words)))
+    ends = np.cumsum(np.bincount(rows, minlength=len(tokens)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(words, pa.string()).take(pa.array(of)))
+
+
+def _texts_with(words: pa.ListArray, y: np.ndarray) -> list[pa.RecordBatch]:
+    """The features of some texts' words, which are in order, with the texts and the toxic texts that have them.
+
+    Words with one beginning follow each other in a text, so only the first of them is counted."""
+    rows, codes, names = _coded(words)
+    toxic, fresh, length = y[rows] > 0, rows[1:] != rows[:-1], pc.utf8_length(names).to_numpy()
+    found = []
+    for n in (0, *BEGIN):
+        cut = (pc.utf8_slice_codeunits(names, 0, n) if n else pc.binary_join_element_wise(names, " ", "")).dictionary_encode()
+        here = np.where(length >= max(n, 3), cut.indices.to_numpy(), -1)[codes]
+        new = here >= 0
+        new[1:] &= fresh | (here[1:] != here[:-1])
+        counts = [np.bincount(here[of], minlength=len(cut.dictionary)) for of in (new, new & toxic)]
+        there = np.flatnonzero(counts[0])
+        found.append(_counted(cut.dictionary.take(pa.array(there)), *(c[there] for c in counts)))
+    return pa.Table.from_batches(found).combine_chunks().to_batches()
+
+
+def _starting(ends: dict[str, float]) -> dict[str, tuple[str, ...]]:
+    """The finds of a lexicon by their first four signs."""
+    found: dict[str, list[str]] = {}
+    for f in ends:
+        found.setdefault(f[:4], []).append(f)
+    return {k: tuple(v) for k, v in found.items()}
+
+
+def _surest(word: str, ends: dict[str, float], starting: dict[str, tuple[str, ...]]) -> tuple[float, str] | None:
+    """The surest find among a word's features; words that share it count once."""
+    marked = word + " "
+    if (some := starting.get(marked[:4])) is None or not marked.startswith(some):
+        return None
+    return max((ends[f], f) for f in some if marked.startswith(f))
+
+
+def _found(words: pa.ListArray, y: np.ndarray, lexicons: list[tuple[dict, dict]]) -> list[list[float]]:
+    """The finds of each text in the lexicon of its label; each word is looked up once."""
+    rows, codes, names = _coded(words)
+    names = names.to_numpy(zero_copy_only=False).tolist()
+    best = [[_surest(word, *those) for word in names] for those in lexicons]
+    hit = np.array([[b is not None for b in mine] for mine in best], bool)
+    out: list[dict[str, float]] = [{} for _ in y]
+    for i in np.flatnonzero(hit[y[rows], codes]).tolist():
+        share, find = best[y[rows[i]]][codes[i]]
+        out[rows[i]][find] = share
+    return [list(f.values()) for f in out]
 
 
 def fit(known: DataFrame) -> dict:
@@ -186,7 +276,7 @@ def fit(known: DataFrame) -> dict:
 
     def tokens(batches):
         for batch in lean(batches):
-            found = [sorted(tokens_of(folded(t))) for t in batch.column(0).to_pylist()]
+            found = [list(tokens_of(folded(t))) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], ["tokens", "y"])
 
     seen = scratch.keep(known.select("text", "y").mapInArrow(tokens, "tokens array<string>, y int"), "tokens")
@@ -201,9 +291,9 @@ def fit(known: DataFrame) -> dict:
                         for n in range(min(ORDER, i + 1)):
                             total[marked[i - n : i + 1]] += times
             if len(total) > COUNTS:
-                yield _counted(total)
+                yield _counted(pa.array(total, pa.string()), list(total.values()))
                 total.clear()
-        yield _counted(total)
+        yield _counted(pa.array(total, pa.string()), list(total.values()))
 
     # each token is taken apart once, with the number of texts that have it
     plain = seen.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times"))
@@ -217,41 +307,16 @@ def fit(known: DataFrame) -> dict:
     sent = spark.sparkContext.broadcast(letters.counts)
 
     def words(batches):
-        model, held = Letters(sent.value), {}
+        model = Letters(sent.value)
         for batch in lean(batches):
-            rows = []
-            for found in batch.column(0).to_pylist():
-                mine: set[str] = set()
-                for token in found:
-                    if token not in held:
-                        if len(held) > HELD:
-                            held.clear()
-                        held[token] = words_of(token, model)
-                    mine.update(held[token])
-                rows.append(sorted(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string())), batch.column(1), pa.array([len(f) for f in batch.column(0).to_pylist()], pa.int32())], ["words", "y", "n"])
+            yield pa.RecordBatch.from_arrays([_read(batch.column(0), model), batch.column(1), batch.column(0).value_lengths()], ["words", "y", "n"])
 
     read = scratch.keep(seen.mapInArrow(words, "words array<string>, y int, n int"), "words")
     scratch.drop("tokens")
 
     def texts_with(batches):
-        texts, toxic, held = Counter(), Counter(), {}
         for batch in lean(batches):
-            for found, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine: set[str] = set()
-                for word in found:
-                    if (names := held.get(word)) is None:
-                        if len(held) > HELD:
-                            held.clear()
-                        names = held[word] = features(word)
-                    mine.update(names)
-                texts.update(mine)
-                if y:
-                    toxic.update(mine)
-            if len(texts) > COUNTS:
-                yield _counted(texts, toxic)
-                texts.clear(), toxic.clear()
-        yield _counted(texts, toxic)
+            yield from _texts_with(batch.column(0), batch.column(1).to_numpy())
 
     # a clean text is judged without itself, so what its own count keeps out of the lexicon is needed too; the interval's lower end is below the share
     tally = read.mapInArrow(texts_with, "name string, n0 bigint, n1 bigint").groupBy("name").agg(F.sum("n1").alias("t"), F.sum("n0").alias("n"))
@@ -262,19 +327,10 @@ def fit(known: DataFrame) -> dict:
     ends = spark.sparkContext.broadcast((near, _lexicon({f: (counts[f][0] - 1, counts[f][1] - 1) for f in near})))
 
     def measured(batches):
-        held: tuple[dict, dict] = {}, {}
+        lexicons = [(those, _starting(those)) for those in ends.value]
         for batch in lean(batches):
-            rows = []
-            for found, y, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                finds, mine = {}, held[y]
-                for word in found:
-                    if word not in mine:
-                        if len(mine) > HELD:
-                            mine.clear()
-                        mine[word] = _surest(word, ends.value[y])
-                    if mine[word]:
-                        finds[mine[word][1]] = mine[word][0]
-                rows.append(_measures(list(finds.values()), n))
+            found = _found(batch.column(0), batch.column(1).to_numpy(), lexicons)
+            rows = [_measures(f, n) for f, n in zip(found, batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     pairs = scratch.keep(read.mapInArrow(measured, "x array<double>, y int").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")), "pairs")
@@ -289,11 +345,6 @@ def _lexicon(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     return {f: e for (f, (t, _)), e in zip(counts.items(), ends.tolist()) if t >= 2 and e >= SURE}
 
 
-def _surest(word: str, ends: dict[str, float]) -> tuple[float, str] | None:
-    """The surest find of a word; words that share it count once."""
-    return max(((ends[f], f) for f in features(word) if f in ends), default=None)
-
-
 def _logistic(pairs: DataFrame, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
     """Weights for (x, y, n rows of these) by Newton's steps, each from one pass's sums."""
     side = len(_measures([], 0))
@@ -322,25 +373,26 @@ def _logistic(pairs: DataFrame, ridge: float = 0.3, rounds: int = 40) -> np.ndar
 
 
 class Reader:
-    """Finds of texts; what a token holds is remembered."""
+    """Finds of texts; what a token holds is remembered, and which tokens hold nothing."""
 
     def __init__(self, model: dict):
         self.ends, self.weights = model["lexicon"], model["weights"]
         self.letters = Letters(model["letters"]) if model["letters"] else None
-        self.starts, self.whole, self.held = {f[:4] for f in self.ends}, {_AGAIN.sub(r"\1", f.strip()) for f in self.ends}, {}
+        self.starting, self.whole, self.held = _starting(self.ends), {_AGAIN.sub(r"\1", f.strip()) for f in self.ends}, {}
+        self.dull: set[str] = set()
         self.parts = {f[:n] for f in self.whole for n in range(1, len(f))}
 
     def finds(self, token: str) -> dict[str, float]:
-        core = token.strip(_ENDS).rstrip("!")
-        plain, found = core.isalpha() and core.isascii() and _STRETCHED.search(core) is None, {}
-        for word in [core] if plain else words_of(token, self.letters) if self._may_hide(core) else []:
-            if (word + " ")[:4] in self.starts:
-                mine = [(self.ends[f], f) for f in features(word) if f in self.ends]
-                if mine:
-                    found[max(mine)[1]] = max(mine)[0]
-        if len(self.held) > HELD:
-            self.held.clear()
-        self.held[token] = found
+        core, found = token if token.isalpha() else token.strip(_ENDS).rstrip("!"), {}
+        for word in [core] if core.isalpha() and not disguised(core) else words_of(token, self.letters) if self._may_hide(core) else []:
+            if mine := _surest(word, self.ends, self.starting):
+                found[mine[1]] = mine[0]
+        if len(self.held) + len(self.dull) > HELD:
+            self.held.clear(), self.dull.clear()
+        if found:
+            self.held[token] = found
+        else:
+            self.dull.add(token)
         return found
 
     def _may_hide(self, core: str) -> bool:
@@ -367,12 +419,8 @@ class Reader:
         if self.weights is None:
             return 0.0
         tokens, found, held = tokens_of(folded(text or "")), {}, self.held.get
-        for token in tokens:
-            mine = held(token)
-            if mine is None:
-                mine = self.finds(token)
-            if mine:
-                found.update(mine)
+        for token in tokens - self.dull:
+            found.update(held(token) or self.finds(token))
         z = float(np.dot(_measures(list(found.values()), len(tokens)), self.weights))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 

@@ -4,8 +4,12 @@ import itertools
 import math
 import os
 import random
+import sys
 import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafmill.llm import toxicity
@@ -150,3 +154,52 @@ def test_all_labelled_texts_are_fitted_on(spark):
     assert model["letters"]["gard"] == 21_000 and model["letters"]["zwqk"] == 3
     assert model["lexicon"]["zwqk "] == pytest.approx(float(toxicity.lower_end(3.0, 3.0))) and "garden " not in model["lexicon"]
     assert sorted(known.collect()) and (model["weights"] == toxicity.fit(known.repartition(3))["weights"]).all()
+
+
+def calls_of(f, *args):
+    """How many functions a call of f calls, built-in ones too."""
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        f(*args)
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_known_words_cost_no_call_each(model, letters):
+    """A text's words that hold nothing are passed over together, and equal endings of lattices are searched once."""
+    reader, names = toxicity.Reader(model), ["".join(p) for p in itertools.product("abcdefgh", repeat=4)][:3000]
+    assert reader.score(" ".join(names)) == reader.score(" ".join(names[::-1])) < 0.3
+    assert calls_of(reader.score, " ".join(names)) < 300
+    first, again = calls_of(toxicity.restored, "garden***", letters), calls_of(toxicity.restored, "wooden***", letters)
+    assert again * 5 < first and toxicity.restored("warden***", letters) == toxicity._searched(" ", "warden***", letters).strip()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_batches_against_plain_loops(model, letters, seed):
+    """Words, counts of features and finds of batches, against one text after another; some texts have no words."""
+    rnd, lexicon = random.Random(seed), {"idiot ": 0.9, "idio": 0.8, "moro": 0.7, "gard": 0.4, "abc ": 0.9}
+    some = [*GOOD, *BAD, "idiots", "idiotic", "ab", "abc", "éclair", "éclairs", "1d10t", "m*r*n", "10:30", "(window)!!", "a b c", "idiot-garden"]
+    tokens = [rnd.sample(some, rnd.randint(0, 12)) for _ in range(60)] * (seed > 0)
+    y = np.array([rnd.randint(0, 1) for _ in tokens], np.int32)
+    words = [sorted({w for t in ts for w in toxicity.words_of(t, letters)}) for ts in tokens]
+    column = pa.array([[], *tokens], pa.list_(pa.string()))[1:]
+    read = toxicity._read(column, letters)
+    assert read.to_pylist() == words
+    texts, toxic = Counter(), Counter()
+    for found, bad in zip(words, y.tolist()):
+        mine = {f for w in found for f in toxicity.features(w)}
+        texts.update(mine)
+        toxic.update(dict.fromkeys(mine, bad))
+    rows = [tuple(r.values()) for batch in toxicity._texts_with(read, y) for r in batch.to_pylist()]
+    assert sorted(rows) == sorted((f, n, toxic[f]) for f, n in texts.items())
+    lexicons = [lexicon, {f: e for f, e in lexicon.items() if f != "idiot "}]
+    plain = [dict.fromkeys(max(mine) for w in found if (mine := [(lexicons[bad][f], f) for f in toxicity.features(w) if f in lexicons[bad]])) for found, bad in zip(words, y.tolist())]
+    got = toxicity._found(read, y, [(those, toxicity._starting(those)) for those in lexicons])
+    assert [sorted(f) for f in got] == [sorted(share for share, _ in found) for found in plain]
