@@ -240,20 +240,20 @@ def _texts_with(words: pa.ListArray, y: np.ndarray) -> list[pa.RecordBatch]:
     return pa.Table.from_batches(found).combine_chunks().to_batches()
 
 
-def _starting(ends: dict[str, float]) -> dict[str, tuple[str, ...]]:
-    """The finds of a lexicon by their first four signs."""
-    found: dict[str, list[str]] = {}
+def _starting(ends: dict[str, float]) -> dict[str, set[int]]:
+    """How long the finds of a lexicon are (0: whole words), by their first four signs."""
+    found: dict[str, set[int]] = {}
     for f in ends:
-        found.setdefault(f[:4], []).append(f)
-    return {k: tuple(v) for k, v in found.items()}
+        found.setdefault(f[:4], set()).add(0 if f[-1] == " " else len(f))
+    return found
 
 
-def _surest(word: str, ends: dict[str, float], starting: dict[str, tuple[str, ...]]) -> tuple[float, str] | None:
+def _surest(word: str, ends: dict[str, float], starting: dict[str, set[int]]) -> tuple[float, str] | None:
     """The surest find among a word's features; words that share it count once."""
     marked = word + " "
-    if (some := starting.get(marked[:4])) is None or not marked.startswith(some):
+    if (lengths := starting.get(marked[:4])) is None:
         return None
-    return max((ends[f], f) for f in some if marked.startswith(f))
+    return max(((ends[f], f) for n in lengths if (f := word[:n] if n else marked) in ends), default=None)
 
 
 def _found(words: pa.ListArray, y: np.ndarray, lexicons: list[tuple[dict, dict]]) -> list[list[float]]:
