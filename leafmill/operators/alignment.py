@@ -8,15 +8,22 @@ texts of so few characters that the bound says nothing are also met by their sin
 
 from __future__ import annotations
 
+import difflib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.python_udfs import ratio_from
+from ..functions.python_udfs import common, ratio_from
 
 #: Texts up to this length are also met by single characters.
 SHORT = 8
+#: Words of 64 bits for the pairs of a title met in a fold, and how many titles are looked through at once.
+SIGNATURE, BLOCK = 8, 8192
+#: Tasks for documents, at least: their rows are few and their folds long, so they aren't put together by size.
+FOLDS = 64
 
 
 def squeezed(text: Column) -> Column:
@@ -76,37 +83,77 @@ FIRST_TITLE, SAME_TITLE, SAME_SUBTITLE, LETTERS, SUBTITLE_HEIGHT, SURE = "Electr
 def page_titles(df: DataFrame, document: str, page: str, title: str, subtitle: str, confidence: str, size: str) -> DataFrame:
     """Entries for pages that a table of contents doesn't cover: (document, page, entry).
 
-    What is like what is measured beforehand, within each document; then one fold over its pages in order keeps the open title and subtitle and the
-    titles met so far.  A heading is the first title met that contains it or is like it; else it opens a title, unless one is open and
+    One fold over a document's pages in order keeps the open title and subtitle and the titles met so far.  A heading is the first title met that contains it or is like it; else it opens a title, unless one is open and
     the heading is as small as a subtitle and has none itself (then it is one), or is unsure (then the page goes on).  A page without
     a heading goes on too, but the first page opens FIRST_TITLE.  An entry is made where title or subtitle change."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     rows = df.select(F.col(document).alias("document"), F.col(page).cast("bigint").alias("page"), text(title).alias("title"), text(subtitle).alias("sub"), F.col(confidence).alias("conf"), F.col(size).alias("size"))
-    low = rows.select("document", F.explode(F.array(F.lower("title"), F.lower("sub"))).alias("x")).where("x <> ''").distinct()
-    near = alike(low.withColumnRenamed("x", "a"), low.withColumnRenamed("x", "b"), ["document"], SAME_SUBTITLE, within=True)
-    of = near.groupBy("document", F.col("a").alias("x")).agg(
-        F.collect_list(F.when((F.col("likeness") >= SAME_TITLE) | F.col("contained"), F.col("b"))).alias("titles"), F.collect_list(F.when(F.col("likeness") >= SAME_SUBTITLE, F.col("b"))).alias("subs")
-    )
-    met = rows.withColumns({"lt": F.lower("title"), "ls": F.lower("sub")})
-    for own, name in (("lt", "t"), ("ls", "s")):
-        met = met.join(of.select("document", F.col("x").alias(own), F.struct("titles", "subs").alias(name)), ["document", own], "left")
-    none = F.array().cast("array<string>")
-    part = lambda s, f: F.coalesce(F.col(f"{s}.{f}"), none).alias(f"{s}_{f}")
-    pages = met.select("document", "page", "title", "lt", "sub", "ls", "conf", "size", part("t", "titles"), part("t", "subs"), part("s", "subs"))
     schema = T.StructType([rows.schema["document"], T.StructField("page", T.LongType()), T.StructField("entry", T.StringType())])
-    return pages.groupBy("document").applyInArrow(_entries, schema)
+    tasks = max(FOLDS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, "document").groupBy("document").applyInArrow(_entries, schema)
+
+
+def _like(a: str, b: str, least: float) -> bool:
+    return 2 * common(a, b) >= least * (len(a) + len(b)) - 1e-9 and difflib.SequenceMatcher(None, a, b).ratio() >= least
+
+
+class _Met:
+    """Texts in the order they were met.  Pairs of neighbours, numbered by how often they came before, are bits by a hash: a text has no more bits
+    that another lacks than pairs, so most are passed over by the bound above without a look at their characters."""
+
+    def __init__(self):
+        self.texts, self.bits, self.length, self.set = [], np.zeros((SIGNATURE, 64), np.uint64), np.zeros(64, np.int64), np.zeros(64, np.int64)
+
+    @staticmethod
+    def signature(text: str) -> np.ndarray:
+        bits, times = 0, {}
+        for i in range(len(text) - 1):
+            gram = text[i : i + 2]
+            times[gram] = k = times.get(gram, 0) + 1
+            bits |= 1 << hash((gram, k)) % (64 * SIGNATURE)
+        return np.frombuffer(bits.to_bytes(8 * SIGNATURE, "little"), "<u8")
+
+    def add(self, text: str) -> None:
+        n = len(self.texts)
+        if n == len(self.length):
+            self.bits, self.length, self.set = (np.concatenate([x, np.zeros_like(x)], axis=-1) for x in (self.bits, self.length, self.set))
+        self.texts.append(text)
+        self.bits[:, n] = own = self.signature(text)
+        self.length[n], self.set[n] = len(text), np.bitwise_count(own).sum()
+
+    def first(self, text: str, least: float, start: int = 0) -> int | None:
+        """The first place from ``start`` on of a text that contains this one or is like it by ``least``."""
+        own, n = self.signature(text)[:, None], len(text)
+        mine = int(np.bitwise_count(own).sum())
+        for lo in range(start, len(self.texts), BLOCK):
+            at = slice(lo, min(lo + BLOCK, len(self.texts)))
+            both, m = np.bitwise_count(self.bits[:, at] & own).sum(axis=0, dtype=np.int64), self.length[at]
+            total = n + m
+            pairs = np.ceil(least / 2 * total - (1 - least) * total - 1 - 1e-9)
+            may = (n - 1 - (mine - both) >= pairs) & (m - 1 - (self.set[at] - both) >= pairs) & (2 * np.minimum(n, m) >= least * total - 1e-9)
+            for i in np.flatnonzero(may | (both == mine)):
+                other = self.texts[lo + i]
+                if text in other or may[i] and _like(text, other, least):
+                    return int(lo + i)
+        return None
 
 
 def _entries(pages):
     """The fold of page_titles over one document's pages."""
     known = lambda values: tuple((v is not None, v if v is not None else 0) for v in values)
-    made, title, sub, low_sub = [], None, "", ""
-    seen, first, lower = set(), {}, {FIRST_TITLE: FIRST_TITLE.lower()}  # titles; by their lower case the first in order; lower cases
+    made, title, sub = [], None, ""
+    # titles in lower case; of each the first as it was read, in order; their texts; for a heading the place of what it met, or how many it didn't meet
+    lows, names, told, places = set(), [], _Met(), {}
     for x in sorted(pages.to_pylist(), key=lambda x: known((x["page"], x["title"], x["sub"], x["conf"], x["size"]))):
         opened, headed = title is not None, x["title"] != ""
         met = None
         if len(x["title"]) >= LETTERS and opened:
-            met = min((first[low] for low in x["t_titles"] if low in first), default=(0, None))[1]
+            low = x["title"].lower()
+            place, none = places.get(low, (None, 0))
+            if place is None:
+                place = told.first(low, SAME_TITLE, none)
+                places[low] = place, len(names)
+            met = None if place is None else names[place]
         below = headed and opened and met is None and x["sub"] == ""
         if below:
             below = None if x["size"] is None else x["size"] < SUBTITLE_HEIGHT
@@ -115,16 +162,15 @@ def _entries(pages):
         if (not headed and opened) or unsure:
             continue
         name = FIRST_TITLE if not headed else title if below else met or x["title"]
-        raw, low = ("", "") if not headed else (x["title"], x["lt"]) if below else (x["sub"], x["ls"])
+        raw = "" if not headed else x["title"] if below else x["sub"]
         under = raw if sum(c.isascii() and c.isalpha() for c in raw) >= LETTERS else ""
-        same = under == "" or sub == "" or low_sub in (x["t_subs"] if below else x["s_subs"])
-        if opened and name == title and same:
+        if opened and name == title and (under == "" or sub == "" or _like(under.lower(), sub.lower(), SAME_SUBTITLE)):
             continue
-        lower.setdefault(name, x["lt"])
-        if name not in seen:
-            seen.add(name)
-            first.setdefault(lower[name], (len(seen), name))
-        title, sub, low_sub = name, under, low
+        if (low := name.lower()) not in lows:
+            lows.add(low)
+            names.append(name)
+            told.add(low)
+        title, sub = name, under
         made.append((x["page"], f"{name} › {under}" if under else name))
     document = pages.column("document").take(pa.array([0] * len(made), pa.int64()))
     return pa.table({"document": document, "page": pa.array([p for p, _ in made], pa.int64()), "entry": pa.array([e for _, e in made], pa.string())})

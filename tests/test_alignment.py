@@ -127,3 +127,24 @@ def test_only_likely_texts_are_measured():
     assert all(2 * common(a, b) >= r * (len(a) + len(b)) - 1e-9 for (a, b), r in zip(pairs, exact))
     got = ratio_from(0.8).func(*(pd.Series(x) for x in zip(*pairs)), pd.Series([False] * len(pairs)))
     assert [g if g >= 0.8 else None for g in got] == [r if r >= 0.8 else None for r in exact] and got.isna().sum() > len(pairs) / 2
+
+
+def test_titles_meet_in_the_fold(spark):
+    """Titles are met by those open before them: no join, no pairs of all headings."""
+    rnd = random.Random(5)
+    names = ["".join(rnd.choices(LETTERS, k=rnd.choice([3, 6, 8, 20, 40]))) for _ in range(150)]
+    names += [n[:-2] + rnd.choice(LETTERS) for n in names] + [n[2:] for n in names] + [n.upper() for n in names[:40]] + ["x" * 230, "x" * 229 + "y"]
+    rows = [(d, p, rnd.choice(names), rnd.choice(["", rnd.choice(names)]), rnd.choice([60, 70, 95]), rnd.choice([40, 60, 90])) for d in range(4) for p in range(300)]
+    found = alignment.page_titles(spark.createDataFrame(rows, "doc int, page int, title string, sub string, conf int, size int"), "doc", "page", "title", "sub", "conf", "size")
+    assert sorted(tuple(r) for r in found.collect()) == sorted(plain_titles(rows))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("least", [0.85, 0.6])
+def test_first_that_is_alike(least):
+    rnd = random.Random(8)
+    texts = list(dict.fromkeys("".join(rnd.choices("abc ", k=rnd.randint(1, 14))) for _ in range(300)))
+    met = alignment._Met()
+    for n, text in enumerate(texts):
+        assert met.first(text, least) == next((i for i, x in enumerate(texts[:n]) if text in x or close(text, x) >= least), None)
+        met.add(text)
