@@ -55,3 +55,26 @@ def test_web_search_deals_nothing_out(told):
     asked = told["benchmark"].withColumnRenamed("item_id", "query_id")
     plan = search.web_matches(told["documents"], asked)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """Words and figures that stand at few places of few pages, many on a border; some are nowhere."""
+    customers = [(i, i % 3, None if i % 97 == 0 else float(i * 37 % 40 * 60 - 4 * (i % 2)), ["BUILDING", "MACHINERY", "FURNITURE"][i % 5 % 3]) for i in range(900)]
+    suppliers = [(i, None if i % 31 == 0 else i % 3, float(i * 11 % 12 * 200)) for i in range(120)]
+    return {
+        "customer": spark.createDataFrame(customers, "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "supplier": spark.createDataFrame(suppliers, "s_suppkey bigint, s_nationkey int, s_acctbal double"),
+    }
+
+
+def pairs_made(df):
+    """Whether a plan joins by cells, so that points and boxes meet in pairs."""
+    return any("Join" in line and "cx" in line for line in df._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+@pytest.mark.parametrize("name", ["boxes_around"])
+def test_boxes_are_counted_not_met(spark, crowded, tmp_path, name):
+    mine, theirs = same_as_sql(spark, tmp_path, name, crowded)
+    assert mine == theirs and len(mine) > 200
+    assert not pairs_made(plans.QUERIES[name](spark, str(tmp_path)))
