@@ -73,7 +73,7 @@ def pairs_made(df):
     return any("Join" in line and "cx" in line for line in df._jdf.queryExecution().executedPlan().toString().split("\n"))
 
 
-@pytest.mark.parametrize("name", ["boxes_around"])
+@pytest.mark.parametrize("name", ["boxes_around", "sparse_extras"])
 def test_boxes_are_counted_not_met(spark, crowded, tmp_path, name):
     mine, theirs = same_as_sql(spark, tmp_path, name, crowded)
     assert mine == theirs and len(mine) > 200
